@@ -30,7 +30,9 @@ from ..functions import lookup, support_ceiling, support_floor, template_of_chan
 from ..session import materialize
 
 # pair rows that one cell of the join may produce
-CELL_ROWS = 4_000_000
+CELL_ROWS = 8_000_000
+# matches beyond the first that a pair must show at the probed occurrences
+EXTRA_PROBES = 3
 # rows of one time point that stay together when the join runs by time point
 POINT_ROWS = 2_000
 # members of a class that stay together when rules are written out
@@ -168,7 +170,7 @@ def _least_matches(min_conf: float) -> Column:
     return F.greatest(F.lit(1), F.col("min_abs"), by_confidence).cast("int")
 
 
-def _probes(classes: DataFrame, by: list[str], num_bins: int, min_conf: float, extra: int | None) -> DataFrame:
+def _probes(classes: DataFrame, by: list[str], num_bins: int, min_conf: float, extra: int) -> DataFrame:
     """Antecedent occurrences to join: ``m - θ + k`` of each class, at the least busy time points."""
     load_ahead = Window.partitionBy(*by).orderBy("idx").rangeBetween(0, num_bins - 1)
     load = (
@@ -179,8 +181,7 @@ def _probes(classes: DataFrame, by: list[str], num_bins: int, min_conf: float, e
         .drop("_here")
     )
     least = _least_matches(min_conf)
-    beyond = F.lit(extra) if extra is not None else F.floor(least / 2).cast("int")
-    wanted = F.least(F.col("n_open"), F.col("n_open") - F.col("theta") + 1 + beyond)
+    wanted = F.least(F.col("n_open"), F.col("n_open") - F.col("theta") + 1 + extra)
     opened = (
         classes.withColumn("theta", least)
         .where(F.col("n_open") >= F.col("theta"))
@@ -246,7 +247,7 @@ def _by_point(
 
 
 def candidate_pairs(
-    classes: DataFrame, by: Sequence[str], num_bins: int, min_conf: float, extra: int | None = None
+    classes: DataFrame, by: Sequence[str], num_bins: int, min_conf: float, extra: int = EXTRA_PROBES
 ) -> DataFrame:
     """Class pairs whose matches at the probed occurrences are enough for a rule. No rule is lost."""
     by = list(by)
@@ -392,7 +393,7 @@ def mine_profile(
     by: Sequence[str] = (),
     boundary_expiry: bool = True,
     tail_prune: bool = True,
-    extra: int | None = None,
+    extra: int = EXTRA_PROBES,
 ) -> RuleSet:
     """Mine rules from a profile that has passed a support filter (``min_abs`` set); pairs stay within ``by``."""
     classes, members = position_classes(profile, by, num_bins, boundary_expiry)
