@@ -1,5 +1,5 @@
 """Temporal dependencies between changes, mined with Spark DataFrames."""
 
-from . import functions, schemas, session
+from . import functions, operators, plans, schemas, session, sources
 
-__all__ = ["functions", "schemas", "session"]
+__all__ = ["functions", "operators", "plans", "schemas", "session", "sources"]

@@ -247,9 +247,17 @@ def _by_point(
 
 
 def candidate_pairs(
-    classes: DataFrame, by: Sequence[str], num_bins: int, min_conf: float, extra: int = EXTRA_PROBES
+    classes: DataFrame,
+    by: Sequence[str],
+    num_bins: int,
+    min_conf: float,
+    extra: int = EXTRA_PROBES,
+    layout: str = "auto",
 ) -> DataFrame:
-    """Class pairs whose matches at the probed occurrences are enough for a rule. No rule is lost."""
+    """Class pairs whose matches at the probed occurrences are enough for a rule. No rule is lost.
+
+    ``layout`` is ``blocks``, ``points``, or ``auto`` for the one that moves fewer rows.
+    """
     by = list(by)
     probes = _probes(classes, by, num_bins, min_conf, extra)
     work = probes.groupBy(*by).agg(
@@ -276,7 +284,7 @@ def candidate_pairs(
 
     pairs, rows, most = total["pairs"] or 0, total["rows"] or 0, total["most"] or 0
     side = max(1, math.ceil(math.sqrt(most / CELL_ROWS)))
-    if side == 1 or 2 * rows * side < pairs:
+    if layout == "blocks" or (layout == "auto" and (side == 1 or 2 * rows * side < pairs)):
         parallel = classes.sparkSession.sparkContext.defaultParallelism
         side = max(side, math.isqrt(parallel - 1) + 1 if pairs > CELL_ROWS // 10 and not by else 1)
         partitions = max(parallel, min(100_000, 2 * max(side * side, int(total["cells"] or 1))))
@@ -394,10 +402,11 @@ def mine_profile(
     boundary_expiry: bool = True,
     tail_prune: bool = True,
     extra: int = EXTRA_PROBES,
+    layout: str = "auto",
 ) -> RuleSet:
     """Mine rules from a profile that has passed a support filter (``min_abs`` set); pairs stay within ``by``."""
     classes, members = position_classes(profile, by, num_bins, boundary_expiry)
-    candidates = candidate_pairs(classes, by, num_bins, min_conf, extra)
+    candidates = candidate_pairs(classes, by, num_bins, min_conf, extra, layout)
     rules = class_rules(classes, candidates, by, num_bins, min_conf, tail_prune)
     return RuleSet(rules, members, tuple(by))
 
@@ -414,6 +423,7 @@ def mine_rules(
     domain_by: Sequence[str] = (),
     boundary_expiry: bool = True,
     tail_prune: bool = True,
+    layout: str = "auto",
 ) -> DataFrame:
     """Rules between all ordered pairs of different changes (within the same ``by`` values).
 
@@ -428,6 +438,7 @@ def mine_rules(
         by=by,
         boundary_expiry=boundary_expiry,
         tail_prune=tail_prune,
+        layout=layout,
     ).expand()
 
 

@@ -11,6 +11,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dense_index, lookup
+
 # fixed values: bounds that a calendar domain starts from before any occurrence is seen
 LATEST_START = "2020-11-11"
 EARLIEST_END = "1900-01-01"
@@ -67,8 +69,6 @@ def _coarse(df: DataFrame) -> Column:
 
 def index_timepoints(timepoints: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Position of each distinct ``tp`` (per ``by`` group), starting at 0."""
-    from ..functions import dense_index
-
     return dense_index(timepoints.select(*by, "tp"), ["tp"], _coarse(timepoints), "tp_idx", by)
 
 
@@ -118,8 +118,6 @@ def period_domain(
 
 def timeline_prefixes(occurrences: DataFrame, timepoints: DataFrame, steps: int = 10) -> DataFrame:
     """Occurrences up to growing cut points of the domain; adds ``num_days``, the length of the prefix."""
-    from ..functions import lookup
-
     n_points = timepoints.count()
     cuts = sorted({min(round(i * n_points / steps), n_points - 1) for i in range(1, steps + 1)})
     indexed = lookup(occurrences, timepoints.select("tp", "tp_idx"), ["tp"], right_rows=n_points)

@@ -1,0 +1,53 @@
+from .edits import read_edits
+from .mined import (
+    read_occurrence_json,
+    read_occurrence_lines,
+    read_rules,
+    read_rules_csv,
+    read_timepoints_json,
+    write_merged_rules,
+    write_occurrence_json,
+    write_report,
+    write_rules,
+    write_rules_csv,
+    write_scores,
+)
+from .tables import (
+    read_change_csv,
+    read_change_log,
+    read_download_log,
+    read_entity_changes_csv,
+    read_entity_events_csv,
+    read_snapshots,
+    read_table_list,
+    write_change_csv,
+    write_change_log,
+    write_entity_changes_csv,
+    write_new_tables,
+)
+
+__all__ = [
+    "read_change_csv",
+    "read_change_log",
+    "read_download_log",
+    "read_edits",
+    "read_entity_changes_csv",
+    "read_entity_events_csv",
+    "read_occurrence_json",
+    "read_occurrence_lines",
+    "read_rules",
+    "read_rules_csv",
+    "read_snapshots",
+    "read_table_list",
+    "read_timepoints_json",
+    "write_change_csv",
+    "write_change_log",
+    "write_entity_changes_csv",
+    "write_merged_rules",
+    "write_new_tables",
+    "write_occurrence_json",
+    "write_report",
+    "write_rules",
+    "write_rules_csv",
+    "write_scores",
+]
