@@ -294,8 +294,11 @@ def candidate_pairs(
                 *by, F.ceil(F.sqrt(F.col("pairs") / CELL_ROWS)).cast("int").alias("_blocks")
             )
         left, right, cell = _in_blocks(antecedents, consequents, by, blocks, partitions)
+        # a pair lives in one cell, so counting by cell and pair needs no shuffle
+        pair = cell
     else:
         left, right, cell = _by_point(antecedents, consequents, by)
+        pair = by
 
     left, right = left.alias("l"), right.alias("r")
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*cell, "idx"]]
@@ -306,7 +309,7 @@ def candidate_pairs(
     )
     matched = left.join(right, [*same, fits])
     return (
-        matched.groupBy(*[F.col(f"l.{k}").alias(k) for k in cell], "a", "c")
+        matched.groupBy(*[F.col(f"l.{k}").alias(k) for k in pair], "a", "c")
         .agg(F.count(F.lit(1)).alias("matches"), F.max("need").alias("need"))
         .where(F.col("matches") >= F.col("need"))
         .select(*by, "a", "c")
