@@ -122,4 +122,4 @@ def timeline_prefixes(occurrences: DataFrame, timepoints: DataFrame, steps: int
     cuts = sorted({min(round(i * n_points / steps), n_points - 1) for i in range(1, steps + 1)})
     indexed = lookup(occurrences, timepoints.select("tp", "tp_idx"), ["tp"], right_rows=n_points)
     reached = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda cut: cut >= F.col("tp_idx"))
-    return indexed.withColumn("num_days", F.explode(reached) + 1).drop("tp_idx")
+    return indexed.withColumn("num_days", F.explode(F.transform(reached, lambda cut: cut + 1))).drop("tp_idx")

@@ -1,6 +1,6 @@
 """Queries over the given tables, each with equal SQL where SQL can express it."""
 
-from . import changes
+from . import changes, mined, summaries
 
-QUERIES = {**changes.QUERIES}
-SQL = {**changes.SQL}
+QUERIES = {**changes.QUERIES, **mined.QUERIES, **summaries.QUERIES}
+SQL = {**changes.SQL, **mined.SQL, **summaries.SQL}

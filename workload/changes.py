@@ -126,7 +126,7 @@ WITH {sql.USER_DAYS.format(change=sql.USER_TYPE)}, {sql.OBSERVED},
 np AS (SELECT count(*) AS np FROM tps),
 cuts AS (SELECT DISTINCT least(CAST(round_even(i * np / 10.0, 0) AS BIGINT), np - 1) AS cut
          FROM np, (SELECT unnest(generate_series(1, 10)) AS i))
-SELECT cut + 1 AS num_days, change_id, count(*) AS n, max(tp) AS last_tp
+SELECT CAST(cut + 1 AS INTEGER) AS num_days, change_id, count(*) AS n, max(tp) AS last_tp
 FROM occ JOIN tps USING (tp) JOIN cuts ON idx <= cut GROUP BY 1, 2
 """
 )
