@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 from ..functions import lookup, support_ceiling, support_floor, template_of_change
 from ..session import materialize
 
-# pair rows that one cell of the join may produce
-CELL_ROWS = 8_000_000
+# pair rows that one cell of the join should produce; small enough for its pair counts to stay in cache
+CELL_ROWS = 3_000_000
 # matches beyond the first that a pair must show at the probed occurrences
 EXTRA_PROBES = 3
+# how much busier than the required occurrences further ones may be
+BUSIER = 1.5
 # rows of one time point that stay together when the join runs by time point
 POINT_ROWS = 2_000
 # members of a class that stay together when rules are written out
@@ -96,9 +98,9 @@ def position_classes(
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of changes with equal positions, and the members of each.
 
-    A class id is 128 bits of SHA-256 over count and positions. ``a_keys`` and ``c_keys`` hold ``idx·num_bins + lag``
-    for the positions a class covers as antecedent and can match as consequent; their intersection is the list of
-    matches.
+    A class is known by 128 bits of SHA-256 over count and positions (``signature``) and, for cheap pair keys, by a
+    number (``class_id``). ``a_keys`` and ``c_keys`` hold ``idx·num_bins + lag`` for the positions a class covers as
+    antecedent and can match as consequent; their intersection is the list of matches.
     """
     by = list(by)
     bins = F.lit(num_bins)
@@ -130,11 +132,11 @@ def position_classes(
         ",", F.col("n").cast("string"), F.col("n_points").cast("string"), F.col("points.idx").cast("array<string>")
     )
     tagged = per_change.withColumn(
-        "class_id", F.substring(F.unhex(F.sha2(signature, 256)), 1, 16).cast("binary")
+        "signature", F.substring(F.unhex(F.sha2(signature, 256)), 1, 16).cast("binary")
     )
     tagged = materialize(tagged, "classes")
-    members = tagged.select(*by, "class_id", "change_id")
-    classes = tagged.groupBy(*by, "class_id").agg(
+    members = tagged.select(*by, "signature", "change_id")
+    classes = tagged.groupBy(*by, "signature").agg(
         F.count(F.lit(1)).alias("size"),
         *[F.first(c).alias(c) for c in ("n", "n_points", "min_abs", "points")],
     )
@@ -159,7 +161,12 @@ def position_classes(
         )
     )
     classes = classes.select(
-        "*", F.size(opened).alias("n_open"), a_keys.alias("a_keys"), c_keys.alias("c_keys")
+        # the numbers are fixed by being written
+        F.monotonically_increasing_id().alias("class_id"),
+        "*",
+        F.size(opened).alias("n_open"),
+        a_keys.alias("a_keys"),
+        c_keys.alias("c_keys"),
     )
     return materialize(classes, "points"), members
 
@@ -171,7 +178,7 @@ def _least_matches(min_conf: float) -> Column:
 
 
 def _probes(classes: DataFrame, by: list[str], num_bins: int, min_conf: float, extra: int) -> DataFrame:
-    """Antecedent occurrences to join: ``m - θ + k`` of each class, at the least busy time points."""
+    """Antecedent occurrences to join: at least ``m - θ + k`` of each class, at the least busy time points."""
     load_ahead = Window.partitionBy(*by).orderBy("idx").rangeBetween(0, num_bins - 1)
     load = (
         classes.select(*by, F.explode("points.idx").alias("idx"))
@@ -181,22 +188,27 @@ def _probes(classes: DataFrame, by: list[str], num_bins: int, min_conf: float, e
         .drop("_here")
     )
     least = _least_matches(min_conf)
-    wanted = F.least(F.col("n_open"), F.col("n_open") - F.col("theta") + 1 + extra)
+    least_wanted = F.least(F.col("n_open"), F.col("n_open") - F.col("theta") + 1 + extra)
     opened = (
         classes.withColumn("theta", least)
         .where(F.col("n_open") >= F.col("theta"))
-        .withColumn("wanted", wanted)
-        .withColumn("need", F.greatest(F.lit(1), F.col("wanted") - (F.col("n_open") - F.col("theta"))))
-        .select(*by, "class_id", "size", "n", "wanted", "need", F.explode("points").alias("p"))
+        .withColumn("wanted", least_wanted)
+        .withColumn("spare", F.col("n_open") - F.col("theta"))
+        .select(*by, "class_id", "size", "theta", "wanted", "spare", F.explode("points").alias("p"))
         .where("p.open")
-        .select(*by, "class_id", "size", "n", "wanted", "need", F.col("p.idx").alias("idx"), F.col("p.hi").alias("hi"))
+        .select(*by, "class_id", "size", "theta", "wanted", "spare", F.col("p.idx").alias("idx"), F.col("p.hi").alias("hi"))
     )
-    cheapest = Window.partitionBy(*by, "class_id").orderBy("load", "idx")
+    whole = Window.partitionBy("class_id")
+    cheapest = whole.orderBy("load", "idx")
+    # further occurrences sharpen the test; they are worth it where they are not much busier than the required ones
+    worth = F.max(F.when(F.col("_rank") <= F.col("wanted"), F.col("load"))).over(whole) * BUSIER
     return (
         lookup(opened, load, [*by, "idx"])
         .withColumn("_rank", F.row_number().over(cheapest))
-        .where(F.col("_rank") <= F.col("wanted"))
-        .drop("_rank", "wanted")
+        .withColumn("_worth", worth)
+        .where((F.col("_rank") <= F.col("wanted")) | (F.col("load") <= F.col("_worth")))
+        .withColumn("need", F.greatest(F.lit(1), F.count(F.lit(1)).over(whole) - F.col("spare")).cast("int"))
+        .drop("_rank", "_worth", "wanted", "spare")
     )
 
 
@@ -213,9 +225,13 @@ def _in_blocks(
         antecedents = lookup(antecedents, blocks, by, "left")
         consequents = lookup(consequents, blocks, by, "left")
     everywhere = F.explode(F.sequence(F.lit(0), parts - 1))
-    cell = [*by, "ca", "cc"]
     left = antecedents.withColumn("ca", _block("a", parts)).withColumn("cc", everywhere)
     right = consequents.withColumn("cc", _block("c", parts)).withColumn("ca", everywhere)
+    cell = ["ca", "cc"]
+    if by:
+        # places cells; the join compares the values themselves
+        left, right = (side.withColumn("place", F.xxhash64(*by)) for side in (left, right))
+        cell = ["place", *cell]
     return left.repartition(partitions, *cell), right.repartition(partitions, *cell), cell
 
 
@@ -243,7 +259,7 @@ def _by_point(
     right = lookup(consequents, splits, key).select(
         "*", _block("c", F.col("_cs")).alias("cc"), F.explode(F.sequence(F.lit(0), F.col("_as") - 1)).alias("ca")
     )
-    return left.drop("_as", "_cs"), right.drop("_as", "_cs"), [*by, "ca", "cc"]
+    return left.drop("_as", "_cs"), right.drop("_as", "_cs"), ["ca", "cc"]
 
 
 def candidate_pairs(
@@ -272,8 +288,8 @@ def candidate_pairs(
     antecedents = probes.select(
         *by,
         F.col("class_id").alias("a"),
-        F.col("n").alias("n_a"),
         F.col("size").alias("size_a"),
+        "theta",
         "need",
         F.col("idx").alias("_from"),
         F.explode(F.sequence(F.col("idx"), F.col("hi") - 1)).alias("idx"),
@@ -298,13 +314,14 @@ def candidate_pairs(
         pair = cell
     else:
         left, right, cell = _by_point(antecedents, consequents, by)
-        pair = by
+        pair = []
 
     left, right = left.alias("l"), right.alias("r")
-    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*cell, "idx"]]
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*cell, *by, "idx"]]
+    # a consequent matches at most as often as it occurs
     fits = (
         (F.col("lag") < F.col("gap"))
-        & (F.col("n_c") / F.col("n_a") >= F.lit(float(min_conf)))
+        & (F.col("n_c") >= F.col("theta"))
         & ((F.col("a") != F.col("c")) | (F.col("size_a") > 1))
     )
     matched = left.join(right, [*same, fits])
@@ -312,7 +329,7 @@ def candidate_pairs(
         matched.groupBy(*[F.col(f"l.{k}").alias(k) for k in pair], "a", "c")
         .agg(F.count(F.lit(1)).alias("matches"), F.max("need").alias("need"))
         .where(F.col("matches") >= F.col("need"))
-        .select(*by, "a", "c")
+        .select("a", "c")
     )
 
 
@@ -329,6 +346,7 @@ def class_rules(
     ante = classes.select(
         *by,
         F.col("class_id").alias("a"),
+        F.col("signature").alias("sig_a"),
         F.col("n").alias("n_a"),
         F.col("size").alias("size_a"),
         "n_points",
@@ -336,11 +354,15 @@ def class_rules(
         "a_keys",
     )
     cons = classes.select(
-        *by, F.col("class_id").alias("c"), F.col("n").alias("n_c"), F.col("size").alias("size_c"), "c_keys"
+        F.col("class_id").alias("c"),
+        F.col("signature").alias("sig_c"),
+        F.col("n").alias("n_c"),
+        F.col("size").alias("size_c"),
+        "c_keys",
     )
     matches = (
-        candidates.join(ante, [*by, "a"])
-        .join(cons, [*by, "c"])
+        candidates.join(ante, "a")
+        .join(cons, "c")
         .withColumn("found", F.array_intersect("a_keys", "c_keys"))
         .withColumn("support", F.size("found").cast("long"))
         .withColumn("confidence", F.col("support") / F.col("n_a"))
@@ -357,8 +379,8 @@ def class_rules(
     )
     return kept.select(
         *by,
-        "a",
-        "c",
+        "sig_a",
+        "sig_c",
         "size_a",
         "size_c",
         "support",
@@ -373,22 +395,22 @@ def expand_rules(rule_set: RuleSet) -> DataFrame:
     """Write class rules out per pair of member changes."""
     by = list(rule_set.by)
     rules, members = rule_set.rules, rule_set.members
-    sizes = rules.select(*by, F.col("a").alias("class_id"), F.col("size_a").alias("size")).unionByName(
-        rules.select(*by, F.col("c").alias("class_id"), F.col("size_c").alias("size"))
+    sizes = rules.select(*by, F.col("sig_a").alias("signature"), F.col("size_a").alias("size")).unionByName(
+        rules.select(*by, F.col("sig_c").alias("signature"), F.col("size_c").alias("size"))
     )
     large = sizes.where(F.col("size") > MEMBER_CHUNK).distinct()
     chunks = lambda size: F.ceil(F.col(size) / MEMBER_CHUNK).cast("int")
-    placed = lookup(members, large, [*by, "class_id"], "left").select(
+    placed = lookup(members, large, [*by, "signature"], "left").select(
         *by,
-        "class_id",
+        "signature",
         "change_id",
         F.coalesce(F.pmod(F.xxhash64("change_id"), chunks("size")).cast("int"), F.lit(0)).alias("chunk"),
     )
 
     def with_members(df: DataFrame, side: str, name: str) -> DataFrame:
         spread = df.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks(f"size_{side}") - 1)))
-        named = placed.select(*by, F.col("class_id").alias(side), "chunk", F.col("change_id").alias(name))
-        return spread.join(named, [*by, side, "chunk"]).drop("chunk")
+        named = placed.select(*by, F.col("signature").alias(f"sig_{side}"), "chunk", F.col("change_id").alias(name))
+        return spread.join(named, [*by, f"sig_{side}", "chunk"]).drop("chunk")
 
     both = with_members(with_members(rules, "a", "antecedent"), "c", "consequent")
     return both.where(F.col("antecedent") != F.col("consequent")).select(
@@ -411,7 +433,7 @@ def mine_profile(
     classes, members = position_classes(profile, by, num_bins, boundary_expiry)
     candidates = candidate_pairs(classes, by, num_bins, min_conf, extra, layout)
     rules = class_rules(classes, candidates, by, num_bins, min_conf, tail_prune)
-    return RuleSet(rules, members, tuple(by))
+    return RuleSet(materialize(rules, "class-rules"), members, tuple(by))
 
 
 def mine_rules(
