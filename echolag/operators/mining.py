@@ -283,7 +283,6 @@ def candidate_pairs(
         F.sum("pairs").alias("pairs"),
         F.sum("rows").alias("rows"),
         F.max("pairs").alias("most"),
-        F.sum(F.ceil(F.greatest(F.lit(1), F.col("pairs") / CELL_ROWS))).alias("cells"),
     ).first()
     antecedents = probes.select(
         *by,
@@ -303,7 +302,7 @@ def candidate_pairs(
     if layout == "blocks" or (layout == "auto" and (side == 1 or 2 * rows * side < pairs)):
         parallel = classes.sparkSession.sparkContext.defaultParallelism
         side = max(side, math.isqrt(parallel - 1) + 1 if pairs > CELL_ROWS // 10 and not by else 1)
-        partitions = max(parallel, min(100_000, 2 * max(side * side, int(total["cells"] or 1))))
+        partitions = max(parallel, min(100_000, 2 * math.ceil(pairs / CELL_ROWS)))
         blocks: DataFrame | int = side
         if by and side > 1:
             blocks = work.where(F.col("pairs") > CELL_ROWS).select(
