@@ -57,5 +57,5 @@ def test_rules_from_edits(spark, tmp_path):
     listed = spark.createDataFrame([("media", "infobox-song")], "category STRING, template STRING")
     found = plans.rules_from_edits(read_edits(spark, str(path)), whitelist=listed)
     merged = found.merged.where(F.col("antecedent_page_id") == "p1").collect()
-    assert {(r.consequent_page_name, r.support, r.hist[3]) for r in merged} == {("Title p2", 60, 60), ("Title p2", 46, 46)}
+    assert {(r.consequent_page_name, r.support, r.hist[3]) for r in merged} == {("Title p2", 60, 60)}
     assert {r.page_id for r in found.clusters.collect()} == {"p1", "p2"}
