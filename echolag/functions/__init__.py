@@ -1,6 +1,6 @@
 from .arith import support_ceiling, support_floor
 from .ids import change_id, entity_columns, entity_id, key_of_change, template_of_change, type_letter
-from .numbering import dense_index
+from .numbering import dense_index, global_rank
 from .spread import fits_broadcast, join_heavy, lookup
 from .text import NULL_MARKS, json_text_is_null, json_text_to_string, sanitize, string_is_null, strip_whitespace
 
@@ -11,6 +11,7 @@ __all__ = [
     "entity_columns",
     "entity_id",
     "fits_broadcast",
+    "global_rank",
     "join_heavy",
     "json_text_is_null",
     "json_text_to_string",

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def dense_index(
     df: DataFrame, order: Sequence[str], bucket: Column, name: str, by: Sequence[str] = ()
@@ -26,3 +28,20 @@ def dense_index(
     return placed.join(starts, [*by, "_bucket"]).select(
         *df.columns, (F.col("_start") + F.col("_place")).cast("int").alias(name)
     )
+
+
+def global_rank(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Number all rows 0, 1, 2 … by ``order``, which must be unique, with one distributed sort.
+
+    The sorted rows are written with their partition and place; the partition sizes, one row each, give the offsets.
+    """
+    places = 1 << 33
+    placed = materialize(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "ranked").withColumn(
+        "_part", F.floor(F.col("_id") / places)
+    )
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    return placed.join(starts, "_part").select(
+        *df.columns, (F.col("_start") + F.col("_id") % places).alias(name)
+    )

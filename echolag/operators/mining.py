@@ -31,6 +31,8 @@ from ..session import materialize
 
 # pair rows that one cell of the join should produce; small enough for its pair counts to stay in cache
 CELL_ROWS = 3_000_000
+# most tasks of the join; with more work than this allows, cells grow
+MAX_CELLS = 100_000
 # matches beyond the first that a pair must show at the probed occurrences
 EXTRA_PROBES = 3
 # how much busier than the required occurrences further ones may be
@@ -236,7 +238,7 @@ def _in_blocks(
 
 
 def _by_point(
-    antecedents: DataFrame, consequents: DataFrame, by: list[str]
+    antecedents: DataFrame, consequents: DataFrame, by: list[str], partitions: int
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Cells are time points; a busy one is cut into a grid so that no cell has more than ``POINT_ROWS`` per side."""
     splits = (
@@ -259,7 +261,10 @@ def _by_point(
     right = lookup(consequents, splits, key).select(
         "*", _block("c", F.col("_cs")).alias("cc"), F.explode(F.sequence(F.lit(0), F.col("_as") - 1)).alias("ca")
     )
-    return left.drop("_as", "_cs"), right.drop("_as", "_cs"), ["ca", "cc"]
+    # the number of tasks follows the pairs, not the much smaller input
+    place = [*by, "idx", "ca", "cc"]
+    left, right = (side.drop("_as", "_cs").repartition(partitions, *place) for side in (left, right))
+    return left, right, ["ca", "cc"]
 
 
 def candidate_pairs(
@@ -298,21 +303,22 @@ def candidate_pairs(
     ).select(*by, "c", "n_c", F.col("p.idx").alias("idx"), F.col("p.gap").alias("gap"))
 
     pairs, rows, most = total["pairs"] or 0, total["rows"] or 0, total["most"] or 0
-    side = max(1, math.ceil(math.sqrt(most / CELL_ROWS)))
+    cell_rows = max(CELL_ROWS, math.ceil(pairs / MAX_CELLS))
+    side = max(1, math.ceil(math.sqrt(most / cell_rows)))
+    parallel = classes.sparkSession.sparkContext.defaultParallelism
+    partitions = max(parallel, 2 * math.ceil(pairs / cell_rows))
     if layout == "blocks" or (layout == "auto" and (side == 1 or 2 * rows * side < pairs)):
-        parallel = classes.sparkSession.sparkContext.defaultParallelism
         side = max(side, math.isqrt(parallel - 1) + 1 if pairs > CELL_ROWS // 10 and not by else 1)
-        partitions = max(parallel, min(100_000, 2 * math.ceil(pairs / CELL_ROWS)))
         blocks: DataFrame | int = side
         if by and side > 1:
-            blocks = work.where(F.col("pairs") > CELL_ROWS).select(
-                *by, F.ceil(F.sqrt(F.col("pairs") / CELL_ROWS)).cast("int").alias("_blocks")
+            blocks = work.where(F.col("pairs") > cell_rows).select(
+                *by, F.ceil(F.sqrt(F.col("pairs") / cell_rows)).cast("int").alias("_blocks")
             )
         left, right, cell = _in_blocks(antecedents, consequents, by, blocks, partitions)
         # a pair lives in one cell, so counting by cell and pair needs no shuffle
         pair = cell
     else:
-        left, right, cell = _by_point(antecedents, consequents, by)
+        left, right, cell = _by_point(antecedents, consequents, by, partitions)
         pair = []
 
     left, right = left.alias("l"), right.alias("r")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import global_rank
+
 _PAIR = ["antecedent", "consequent"]
 
 
@@ -45,16 +47,13 @@ def check_rejected(rules: DataFrame, rejected: DataFrame) -> DataFrame:
 def injected_in_top(ranked: DataFrame, injected: DataFrame, k: int | None = None) -> DataFrame:
     """Expected rules among the ``k`` best scored; ``k`` is their number unless given."""
     k = injected.count() if k is None else k
-    top = ranked.orderBy(F.desc("score"), *_PAIR).limit(k)
+    top = global_rank(ranked, [F.desc("score"), *_PAIR], "_rank").where(F.col("_rank") < k).drop("_rank")
     return top.join(injected.select(*_PAIR), _PAIR, "left_semi")
 
 
 def keep_changes(occurrences: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """Occurrences of ``k`` changes drawn by a seeded hash."""
-    drawn = (
-        occurrences.select("change_id")
-        .distinct()
-        .orderBy(F.xxhash64(F.lit(seed), "change_id"), "change_id")
-        .limit(k)
-    )
+    changes = occurrences.select("change_id").distinct()
+    shuffled = global_rank(changes, [F.xxhash64(F.lit(seed), "change_id"), "change_id"], "_rank")
+    drawn = shuffled.where(F.col("_rank") < k).select("change_id")
     return occurrences.join(drawn, "change_id", "left_semi")

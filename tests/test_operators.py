@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from echolag import sources
-from echolag.functions import dense_index, join_heavy, json_text_is_null, sanitize
+from echolag.functions import dense_index, global_rank, join_heavy, json_text_is_null, sanitize
 from echolag.operators import (
     components,
     domains,
@@ -66,6 +66,12 @@ def test_dense_index(spark):
     assert all(r.n == r.tp // 7 for r in got) and len(got) == 2 * 429
 
 
+def test_global_rank(spark):
+    frame = spark.range(1000).repartition(7).select((F.col("id") * 3).alias("v"))
+    got = global_rank(frame, [F.desc("v")], "n").collect()
+    assert len(got) == 1000 and all(r.n == 999 - r.v // 3 for r in got)
+
+
 # -- timeline and support ----------------------------------------------------------------------------------------------
 
 
