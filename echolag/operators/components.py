@@ -16,10 +16,11 @@ from ..session import materialize
 
 
 def _least_neighbour(links: DataFrame) -> DataFrame:
-    """For each ``u`` of ``links(u, v)`` the least of itself and its neighbours."""
-    return links.groupBy("u").agg(
+    """For each ``u`` of ``links(u, v)`` the least of itself and its neighbours, and their number."""
+    found = links.groupBy("u").agg(
         F.least(F.col("u"), F.min("v")).alias("least"), F.count(F.lit(1)).alias("weight")
     )
+    return materialize(found, "least")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import join_heavy, lookup, sanitize, strip_whitespace
 from ..functions.ids import entity_columns
+from ..session import materialize
 from .timeline import truncate
 
 _TYPE_LETTERS = {"insert": "i", "delete": "d", "update": "u"}
@@ -53,7 +54,8 @@ def property_changes(
     Every change carries the last template its infobox had on the page, so a renamed template keeps one identity.
     """
     edits = infoboxes.select("pageID", "key", "validFrom", "changes")
-    latest = latest_templates(infoboxes)
+    # read three times below, and far smaller than the edits
+    latest = materialize(latest_templates(infoboxes), "latest")
     named = join_heavy(
         edits, latest.select("pageID", "key", F.col("latest").alias("template")), ["pageID", "key"], weights=latest
     )

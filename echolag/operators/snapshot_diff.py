@@ -9,6 +9,7 @@ id are collapsed before that shuffle.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,11 +22,27 @@ _VERSION_LISTS = 100_000
 
 @dataclass(frozen=True)
 class SnapshotChanges:
-    """``field_changes`` and ``entity_events`` are sets of changes; ``new_tables`` counts new tables per date."""
+    """Result of a diff; each part is planned when it is asked for. Field changes and entity events are sets."""
 
-    field_changes: DataFrame
-    entity_events: DataFrame
-    new_tables: DataFrame
+    snapshots: DataFrame
+    timeline: DataFrame
+    distinguish_null: bool
+
+    @cached_property
+    def _pairs(self) -> DataFrame:
+        return _row_pairs(self.snapshots, self.timeline)
+
+    @cached_property
+    def field_changes(self) -> DataFrame:
+        return _field_changes(self._pairs, self.timeline, self.distinguish_null)
+
+    @cached_property
+    def entity_events(self) -> DataFrame:
+        return _entity_events(self._pairs, self.timeline)
+
+    @cached_property
+    def new_tables(self) -> DataFrame:
+        return new_tables_per_date(self.timeline)
 
 
 def versions(
@@ -244,9 +261,4 @@ def find_changes(
             .withColumn("reported", F.col("reported") & F.coalesce("_chosen", F.lit(False)))
             .drop("_chosen")
         )
-    pairs = _row_pairs(snapshots, timeline)
-    return SnapshotChanges(
-        _field_changes(pairs, timeline, distinguish_null),
-        _entity_events(pairs, timeline),
-        new_tables_per_date(timeline),
-    )
+    return SnapshotChanges(snapshots, timeline, distinguish_null)

@@ -208,3 +208,28 @@ def test_planted_rules(spark):
     for pair, golden in INJECTED.items():
         assert scores[pair] == pytest.approx(golden[3], abs=1e-9)
     assert validation.injected_in_top(scored, planted, 1000).count() == 5
+
+
+def test_busy_points_are_not_probed(spark):
+    """A day that every change shares costs the most pairs, and the rules can be told without it."""
+    rng = random.Random(2)
+    busy = 50
+    changes = {f"c{i}": {busy, *rng.sample(range(45), 9)} for i in range(60)}
+    occurrences, timepoints = frames(spark, changes, 60)
+    profile = mining.within_support(mining.profile_changes(occurrences, timepoints), 0.0, 1.0)
+    classes, _ = mining.position_classes(profile, [], 3)
+    probes = mining._probes(classes, [], 3, 0.9, mining.EXTRA_PROBES)
+    assert probes.count() > 0 and probes.where(F.col("idx") == busy).count() == 0
+    assert mine(spark, changes, 60, 3, min_sup=0.0, max_sup=1.0, min_conf=0.9) == brute_force(
+        changes, 60, 3, 0.0, 1.0, 0.9
+    )
+
+
+def test_copies_are_mined_once(spark):
+    changes = {f"copy{i}": [3, 9, 15, 21] for i in range(50)} | {"other": [4, 10, 16, 22]}
+    occurrences, timepoints = frames(spark, changes, 30)
+    profile = mining.within_support(mining.profile_changes(occurrences, timepoints), 0.0, 1.0)
+    found = mining.mine_profile(profile, num_bins=5, min_conf=0.9)
+    # copies → copies, copies → other, other → copies falls short (three of four)
+    assert found.rules.count() == 2
+    assert found.expand().count() == 50 * 49 + 50
