@@ -29,7 +29,7 @@ def query(statement: str | None = None):
     """
 WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS tp FROM orders),
 cal AS (SELECT unnest(generate_series(min(tp), max(tp), INTERVAL 1 DAY)) AS tp FROM d)
-SELECT CAST(c.tp AS DATE) AS tp, row_number() OVER (ORDER BY c.tp) - 1 AS tp_idx, count(o_orderkey) AS orders
+SELECT CAST(c.tp AS DATE) AS tp, CAST(row_number() OVER (ORDER BY c.tp) - 1 AS INTEGER) AS tp_idx, count(o_orderkey) AS orders
 FROM cal c LEFT JOIN orders ON CAST(o_orderdate AS DATE) = CAST(c.tp AS DATE) GROUP BY c.tp
 """
 )
@@ -48,7 +48,7 @@ span AS (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM even
 cal AS (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY)) AS d FROM span),
 slots AS (SELECT d, unnest(generate_series(0, 24)) AS hr FROM cal)
 SELECT strftime(d, '%Y-%m-%d') || 'T' || lpad(CAST(hr AS VARCHAR), 2, '0') AS tp,
-       row_number() OVER (ORDER BY d, hr) - 1 AS tp_idx, coalesce(h.events, 0) AS events
+       CAST(row_number() OVER (ORDER BY d, hr) - 1 AS INTEGER) AS tp_idx, coalesce(h.events, 0) AS events
 FROM slots LEFT JOIN h ON h.tp = strftime(d, '%Y-%m-%d') || 'T' || lpad(CAST(hr AS VARCHAR), 2, '0')
 """
 )
@@ -66,7 +66,7 @@ def domain_hourly(spark, sf):
 
 @query(
     """
-SELECT tp, row_number() OVER (ORDER BY tp) - 1 AS tp_idx
+SELECT tp, CAST(row_number() OVER (ORDER BY tp) - 1 AS INTEGER) AS tp_idx
 FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS tp FROM lineitem)
 """
 )
@@ -80,7 +80,7 @@ def domain_observed(spark, sf):
 WITH {sql.ORDER_DAYS},
 cal AS (SELECT unnest(generate_series(least(min(tp), DATE '2020-11-11'), greatest(max(tp), DATE '1900-01-01'),
                                       INTERVAL 1 DAY)) AS tp FROM occ)
-SELECT CAST(tp AS DATE) AS tp, row_number() OVER (ORDER BY tp) - 1 AS tp_idx FROM cal
+SELECT CAST(tp AS DATE) AS tp, CAST(row_number() OVER (ORDER BY tp) - 1 AS INTEGER) AS tp_idx FROM cal
 """
 )
 def domain_calendar(spark, sf):
