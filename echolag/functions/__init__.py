@@ -1,7 +1,7 @@
 from .arith import support_ceiling, support_floor
 from .ids import change_id, entity_columns, entity_id, key_of_change, template_of_change, type_letter
 from .numbering import dense_index, global_rank
-from .spread import fits_broadcast, join_heavy, lookup
+from .spread import join_heavy, lookup
 from .text import NULL_MARKS, json_text_is_null, json_text_to_string, sanitize, string_is_null, strip_whitespace
 
 __all__ = [
@@ -10,7 +10,6 @@ __all__ = [
     "dense_index",
     "entity_columns",
     "entity_id",
-    "fits_broadcast",
     "global_rank",
     "join_heavy",
     "json_text_is_null",

@@ -1,4 +1,4 @@
-"""Joins that hold when one key has a large share of the rows."""
+"""Joins that hold when some keys have a large share of the rows."""
 
 from __future__ import annotations
 
@@ -7,17 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# most rows a side may have to be sent to every executor
-BROADCAST_ROWS = 1_000_000
-# most keys that are treated as heavy; any further key holds less than 1/HEAVY_KEYS of the rows
-HEAVY_KEYS = 1_000
-# rows of one heavy key that stay together
+# least number of rows of one heavy key that stay together
 HEAVY_CHUNK = 500_000
-
-
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Count ``df`` up to ``limit`` and tell whether it stays within it."""
-    return df.limit(limit + 1).count() <= limit
+# a chunk is never less than this share of all rows, so at most as many keys can be heavy, whatever the data
+HEAVY_SHARE = 50_000
 
 
 def join_heavy(
@@ -28,39 +21,37 @@ def join_heavy(
     weights: DataFrame | None = None,
     chunk: int = HEAVY_CHUNK,
 ) -> DataFrame:
-    """Join ``left`` with ``right`` (few rows per key), splitting the keys that are heavy on the left.
+    """Join ``left`` with ``right`` (few rows per key), splitting every key that is heavy on the left.
 
-    ``weights`` has the key columns and ``weight``, the number of left rows; it is counted when not given. The at most
-    ``HEAVY_KEYS`` heaviest keys above ``chunk`` rows are cut into chunks and their right rows repeated per chunk.
+    ``weights`` has the key columns and ``weight``, the number of left rows; it is counted when not given. A key with
+    more than ``max(chunk, all rows / HEAVY_SHARE)`` left rows is cut into chunks of that size and its right rows are
+    repeated per chunk. Fewer than ``HEAVY_SHARE`` keys can be that heavy, so the list of them is small by construction;
+    whether it is broadcast is left to Spark, which sees its size.
     """
     on = list(on)
     if weights is None:
         weights = left.groupBy(*on).agg(F.count(F.lit(1)).alias("weight"))
-    heavy = (
-        weights.where(F.col("weight") > chunk)
-        .orderBy(F.desc("weight"), *on)
-        .limit(HEAVY_KEYS)
-        .select(*on, F.ceil(F.col("weight") / chunk).cast("int").alias("_splits"))
+    total, most = weights.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.max("weight"), F.lit(0))).first()
+    chunk = max(chunk, total // HEAVY_SHARE)
+    if most <= chunk:
+        return left.join(right, on, how)
+    heavy = weights.where(F.col("weight") > chunk).select(
+        *on, F.ceil(F.col("weight") / chunk).cast("int").alias("_splits")
     )
-    spread = left.join(F.broadcast(heavy), on, "left").withColumn(
+    spread = left.join(heavy, on, "left").withColumn(
         "_salt",
         F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_splits")).cast("int"), F.lit(0)),
     )
-    repeated = right.join(F.broadcast(heavy), on, "left").withColumn(
+    repeated = right.join(heavy, on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1))
     )
     return spread.drop("_splits").join(repeated.drop("_splits"), [*on, "_salt"], how).drop("_salt")
 
 
-def lookup(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", right_rows: int | None = None
-) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join with a lookup side that has one row per key.
 
-    The lookup side is broadcast when its counted size is within ``BROADCAST_ROWS``; beyond it, both sides are
-    shuffled with heavy keys split.
+    Spark sends the lookup side to every executor where its size in bytes is within
+    ``spark.sql.autoBroadcastJoinThreshold``, and otherwise shuffles both sides and splits skewed partitions.
     """
-    small = right_rows <= BROADCAST_ROWS if right_rows is not None else fits_broadcast(right)
-    if small:
-        return left.join(F.broadcast(right), list(on), how)
-    return join_heavy(left, right, on, how)
+    return left.join(right, list(on), how)

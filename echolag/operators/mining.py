@@ -73,11 +73,9 @@ def profile_changes(
     sizes = timepoints.groupBy(*domain_by).agg(F.count(F.lit(1)).alias("n_points"))
     if domain_by:
         placed = lookup(occurrences, sizes, domain_by)
-        n_rows = timepoints.count()
     else:
-        n_rows = sizes.first()["n_points"]
-        placed = occurrences.withColumn("n_points", F.lit(n_rows))
-    placed = lookup(placed, timepoints.select(*domain_by, "tp", "tp_idx"), [*domain_by, "tp"], "left", n_rows)
+        placed = occurrences.withColumn("n_points", F.lit(sizes.first()["n_points"]))
+    placed = lookup(placed, timepoints.select(*domain_by, "tp", "tp_idx"), [*domain_by, "tp"], "left")
     same_change = Window.partitionBy(*by, "change_id")
     return placed.select(
         *by,

@@ -14,10 +14,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fits_broadcast, join_heavy, json_text_is_null, lookup
-
-# versions whose attribute lists may be sent to every executor
-_VERSION_LISTS = 100_000
+from ..functions import join_heavy, json_text_is_null, lookup
 
 
 @dataclass(frozen=True)
@@ -159,10 +156,7 @@ def _field_changes(pairs: DataFrame, timeline: DataFrame, distinguish_null: bool
         F.coalesce("prev_attributes", F.array().cast("array<string>")).alias("prev"),
     )
     key = ["table_id", "date"]
-    if fits_broadcast(lists, _VERSION_LISTS):
-        opened = touched.join(F.broadcast(lists), key)
-    else:
-        opened = join_heavy(touched, lists, key)
+    opened = join_heavy(touched, lists, key)
 
     def change(kind: Column, column: Column) -> Column:
         return F.struct(kind.alias("change_type"), column.alias("column_id"))

@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dense_index, lookup
+from ..functions import dense_index
 
 # fixed values: bounds that a calendar domain starts from before any occurrence is seen
 LATEST_START = "2020-11-11"
@@ -117,9 +117,14 @@ def period_domain(
 
 
 def timeline_prefixes(occurrences: DataFrame, timepoints: DataFrame, steps: int = 10) -> DataFrame:
-    """Occurrences up to growing cut points of the domain; adds ``num_days``, the length of the prefix."""
+    """Occurrences up to growing cut points of the domain; adds ``num_days``, the length of the prefix.
+
+    Occurrences are compared with the cut's own ``tp``, so those that the domain does not list stay in every prefix that
+    reaches them.
+    """
     n_points = timepoints.count()
     cuts = sorted({min(round(i * n_points / steps), n_points - 1) for i in range(1, steps + 1)})
-    indexed = lookup(occurrences, timepoints.select("tp", "tp_idx"), ["tp"], right_rows=n_points)
-    reached = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda cut: cut >= F.col("tp_idx"))
-    return indexed.withColumn("num_days", F.explode(F.transform(reached, lambda cut: cut + 1))).drop("tp_idx")
+    # at most ``steps`` rows
+    ends = [(row["tp_idx"] + 1, row["tp"]) for row in timepoints.where(F.col("tp_idx").isin(cuts)).collect()]
+    reached = [F.when(F.col("tp") <= F.lit(end), F.lit(length)) for length, end in ends]
+    return occurrences.withColumn("num_days", F.explode(F.array_compact(F.array(*reached).cast("array<int>"))))

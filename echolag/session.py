@@ -2,28 +2,57 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR_CONF = "spark.checkpoint.dir"
+_scope: ContextVar[str | None] = ContextVar("echolag_scratch", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables and checkpoints.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back to a temporary folder.
-    """
+    """Shared folder for intermediate tables, named by ``spark.checkpoint.dir``; there is no other choice."""
     context = spark.sparkContext
     named = spark.conf.get(_DIR_CONF, None) or context.getConf().get(_DIR_CONF) or context.getCheckpointDir()
-    if named:
-        return named
-    if not context.master.startswith("local"):
+    if not named:
         raise ValueError(f"set {_DIR_CONF} to a folder every executor can reach")
-    named = tempfile.mkdtemp(prefix="echolag-")
-    context.setCheckpointDir(named)
-    return named
+    return named.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A path that nothing else uses, in the folder of the open ``scratch`` block or else of the application."""
+    folder = _scope.get() or f"{scratch_dir(spark)}/echolag/{spark.sparkContext.applicationId}"
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate tables from whatever store holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for the intermediate tables of one call, removed at the end of the block.
+
+    Consume the result inside the block: ``with scratch(spark): mine_rules(...).write.parquet(out)``. Outside any block
+    the tables stay in the folder of the application until ``clear_scratch``.
+    """
+    folder = f"{scratch_dir(spark)}/echolag/call-{uuid.uuid4().hex}"
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        remove_path(spark, folder)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what the application has written outside ``scratch`` blocks."""
+    remove_path(spark, f"{scratch_dir(spark)}/echolag/{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -32,13 +61,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage with files that outlive any executor, and gives the planner true sizes for what follows.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/echolag/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Runtime SQL settings the operators are planned for; all of them are ordinary session settings."""
+    """Set the runtime SQL settings the operators are planned for, in the given session and for good.
+
+    All of them are ordinary session settings; a caller who wants to keep its own passes ``spark.newSession()``.
+    """
     for key, value in {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
