@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, sql
+from . import exact_dedup, packing, quality_rules, sql
 from .text import table
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
 QUERIES = {
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 
 SQL = {
+    "op6_exact_dedup": sql.EXACT_DEDUP,
     "op9_quality_rules": sql.QUALITY_RULES,
 }

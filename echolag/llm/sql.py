@@ -39,3 +39,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AS kept
 FROM judged
 """
+
+EXACT_DEDUP = r"""
+WITH normalised AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = min(doc_id) OVER same AS kept, sha256(body) AS text_sha256
+FROM normalised WINDOW same AS (PARTITION BY body)
+"""
