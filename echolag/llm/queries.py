@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, quality_rules, sql
+from . import exact_dedup, mixing, packing, quality_rules, sql
 from .text import table
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
@@ -24,12 +29,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_source_mix": op3_source_mix,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 
 SQL = {
+    "op3_source_mix": sql.SOURCE_MIX,
     "op6_exact_dedup": sql.EXACT_DEDUP,
     "op9_quality_rules": sql.QUALITY_RULES,
 }

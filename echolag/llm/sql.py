@@ -47,3 +47,38 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = min(doc_id) OVER same AS kept, sha256(body) AS text_sha256
 FROM normalised WINDOW same AS (PARTITION BY body)
 """
+
+# the target is capped where the rate at which the rest is shared passes the cap; sources are taken in the order in which
+# they fill up
+SOURCE_MIX = r"""
+WITH sizes AS (
+  SELECT doc_id, source, md5('mix:' || doc_id) AS place,
+         len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS size
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM sizes GROUP BY source),
+filling AS (
+  SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS budget,
+         coalesce(sum(2 * source_size) OVER earlier, 0) AS full_before,
+         sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0) AS weight_left
+  FROM sources WINDOW earlier AS (ORDER BY source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rate AS (
+  SELECT max((budget - full_before)::DOUBLE / weight_left::DOUBLE) AS r FROM filling
+  WHERE weight * ((budget - full_before)::DOUBLE / weight_left::DOUBLE) <= 2 * source_size),
+targets AS (
+  SELECT source, source_size,
+         CASE WHEN weight * r > 2 * source_size THEN (2 * source_size)::DOUBLE ELSE weight * r END AS target
+  FROM sources, rate),
+laid AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place, doc_id) AS upto FROM sizes),
+queued AS (
+  SELECT s.*, t.source_size, t.target, turn, (upto + turn * t.source_size)::DOUBLE / target AS finish
+  FROM laid s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) turns(turn)),
+merged AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, turn, place, doc_id) AS line FROM queued)
+SELECT doc_id, size, source_size, target,
+       sum(CASE WHEN line <= (SELECT floor(1.5 * sum(size)) FROM sizes) THEN size ELSE 0 END)::BIGINT AS taken
+FROM merged GROUP BY doc_id, size, source_size, target
+"""
