@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality_rules, sql
+from . import exact_dedup, mixing, packing, quality_rules, sql, warc
 from .text import table
 
 
@@ -14,6 +14,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
@@ -30,12 +34,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_source_mix": op3_source_mix,
+    "op4_warc": op4_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 
 SQL = {
+    "op4_warc": sql.WARC,
     "op3_source_mix": sql.SOURCE_MIX,
     "op6_exact_dedup": sql.EXACT_DEDUP,
     "op9_quality_rules": sql.QUALITY_RULES,

@@ -82,3 +82,19 @@ SELECT doc_id, size, source_size, target,
        sum(CASE WHEN line <= (SELECT floor(1.5 * sum(size)) FROM sizes) THEN size ELSE 0 END)::BIGINT AS taken
 FROM merged GROUP BY doc_id, size, source_size, target
 """
+
+# base 32 takes five bits at a time from the 160 bits of the digest
+WARC = """
+WITH bits AS (
+  SELECT page_id, coalesce(html, '') AS payload, unhex(sha1(coalesce(html, '')))::BIT::VARCHAR AS b FROM pages),
+digests AS (
+  SELECT page_id, payload, strlen(payload) AS payload_bytes,
+         array_to_string(list_transform(range(0, 32), lambda k:
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(0, 5), lambda j:
+             CASE WHEN b[5 * k + j + 1] = '1' THEN 1 << (4 - j) ELSE 0 END))::BIGINT]), '') AS payload_digest
+  FROM bits)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = min(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> min(page_id) OVER same THEN min(page_id) OVER same END AS refers_to
+FROM digests WINDOW same AS (PARTITION BY payload)
+"""
