@@ -4,11 +4,24 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality_rules, sql, warc
+from . import exact_dedup, licenses, mixing, packing, quality_rules, sql, warc
 from .text import table
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct("matches.license"))
+    return scanned.select(
+        "doc_id",
+        "n_units",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(names, ",").alias("licenses"),
+        F.array_max("matches.dice").alias("best_dice"),
+    )
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -33,6 +46,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op3_source_mix": op3_source_mix,
     "op4_warc": op4_warc,
     "op6_exact_dedup": op6_exact_dedup,
@@ -41,6 +55,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_license_scan": sql.LICENSE_SCAN,
     "op4_warc": sql.WARC,
     "op3_source_mix": sql.SOURCE_MIX,
     "op6_exact_dedup": sql.EXACT_DEDUP,

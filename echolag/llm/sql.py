@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import licenses, quality_rules
 
 _STOP_WORDS = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 
@@ -98,3 +98,30 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id <> min(page_id) OVER same THEN min(page_id) OVER same END AS refers_to
 FROM digests WINDOW same AS (PARTITION BY payload)
 """
+
+_TEMPLATES = ", ".join(
+    f"('{name}', [{', '.join(repr(pair) for pair in pairs)}])" for name, pairs in licenses.template_rows()
+)
+
+LICENSE_SCAN = rf"""
+WITH clean AS (
+  SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS body FROM documents),
+parts AS (
+  SELECT doc_id, list_concat(string_split(body, chr(10)), string_split_regex(body, '\n *\n'), [body]) AS parts FROM clean),
+units AS (
+  SELECT doc_id, list_filter(list_distinct(list_transform(parts, lambda p:
+           trim(regexp_replace(replace(p, chr(10), ' '), ' +', ' ', 'g')))), lambda u: u <> '') AS units FROM parts),
+paired AS (
+  SELECT doc_id, unit_no, list_distinct(list_transform(range(1, len(words)), lambda i:
+           words[i] || ' ' || words[i + 1])) AS pairs
+  FROM (SELECT doc_id, generate_subscripts(units, 1) AS unit_no, string_split(unnest(units), ' ') AS words FROM units)),
+scored AS (
+  SELECT doc_id, unit_no, license, 2 * len(list_intersect(pairs, p)) / (len(pairs) + len(p)) AS dice
+  FROM paired, (VALUES {_TEMPLATES}) templates(license, p)),
+best AS (
+  SELECT * FROM scored WHERE dice >= 0.8
+  QUALIFY row_number() OVER (PARTITION BY doc_id, unit_no ORDER BY dice DESC, license) = 1)
+SELECT u.doc_id, len(units)::BIGINT AS n_units, count(license) AS n_matches,
+       coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses, max(dice) AS best_dice
+FROM units u LEFT JOIN best b ON u.doc_id = b.doc_id GROUP BY u.doc_id, units
+"""
