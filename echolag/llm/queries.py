@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, packing, quality_rules, sql, warc
+from . import exact_dedup, licenses, minhash, mixing, packing, quality_rules, sql, warc
 from .text import table
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     names = F.array_sort(F.array_distinct("matches.license"))
@@ -46,6 +50,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op2_license_scan": op2_license_scan,
     "op3_source_mix": op3_source_mix,
     "op4_warc": op4_warc,
