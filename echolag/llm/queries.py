@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, minhash, mixing, packing, quality_rules, sql, warc
+from . import exact_dedup, language_id, licenses, minhash, mixing, packing, quality_rules, sql, warc
 from .text import table
 
 
@@ -49,7 +49,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def _held_out(parts: int, part: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tree = language_id.learn(docs, _held_out(4, 2))
+    found = language_id.identify(docs.select("doc_id", "text"), tree)
+    return found.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op8_language_id": op8_language_id,
     "op1_minhash": op1_minhash,
     "op2_license_scan": op2_license_scan,
     "op3_source_mix": op3_source_mix,
