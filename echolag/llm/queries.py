@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, licenses, minhash, mixing, packing, quality_rules, sql, warc
+from . import exact_dedup, language_id, licenses, minhash, mixing, packing, quality_rules, sql, toxicity, warc
 from .text import table
 
 
@@ -53,6 +53,13 @@ def _held_out(parts: int, part: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.learn(docs, table(spark, sf_dir, "labels"), _held_out(3, 1))
+    scored = toxicity.score(docs, machine)
+    return scored.select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tree = language_id.learn(docs, _held_out(4, 2))
@@ -61,6 +68,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op8_language_id": op8_language_id,
     "op1_minhash": op1_minhash,
     "op2_license_scan": op2_license_scan,
