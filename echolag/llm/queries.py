@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, licenses, minhash, mixing, packing, quality_rules, sql, toxicity, warc
+from . import exact_dedup, language_id, licenses, minhash, mixing, packing, quality_knn, quality_rules, sql, toxicity, warc
 from .text import table
 
 
@@ -67,7 +67,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    neighbours = quality_knn.learn(docs, table(spark, sf_dir, "labels"), _held_out(5, 0))
+    scored = quality_knn.score(docs, neighbours)
+    return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op10_quality_knn": op10_quality_knn,
     "op5_toxicity": op5_toxicity,
     "op8_language_id": op8_language_id,
     "op1_minhash": op1_minhash,
