@@ -1,26 +1,56 @@
-"""A corpus from raw documents to packed sequences, each stage one operator of ``echolag.llm``."""
+"""A corpus from raw documents to packed sequences, each stage one operator of ``echolag.llm``.
+
+``run`` writes the result of every stage but the last as Parquet in the shared folder and reads it again for the next.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from echolag.llm import quality_rules
+from echolag.llm import exact_dedup, minhash, mixing, packing, quality_rules
 from echolag.session import materialize
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return quality_rules.apply_rules(docs).where("kept").select(*docs.columns)
+    return quality_rules.keep_good(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, by five-word shingles."""
+    return minhash.keep_one(docs, size=5)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mix_rows(docs)
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenized documents in sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality rules", keep_good)]
+STAGES = [
+    ("quality rules", keep_good),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("source mix", mix_sources),
+    ("packing", pack_documents),
+]
 
-# tokenization and near-duplicates are beyond SQL
+# links of near-duplicates and token ids are beyond SQL; tests compare with brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages on the documents, each stage written and read again."""
+    """The result of all stages on the documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -18,6 +18,7 @@ from .text import SPACE, text_or_empty, words_of
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
+_ROW = "_row_number"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # frequent words of English, German, French and Spanish
 STOP_WORDS = (
@@ -87,7 +88,7 @@ def _covered(starts: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the metrics that the rules read; a null text has no words.
+    """``docs`` with the metrics that the rules read, and a row number; a null text has no words.
 
     The columns named in ``BASE``, ``n_stop_words`` and ``n_lines`` are replaced if ``docs`` has them already.
     """
@@ -127,13 +128,17 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(STOP_WORDS))),
         "n_lines": F.size("_lines"),
     }
-    return ordered.select("_row.*", *[value.cast("long").alias(name) for name, value in metrics.items()])
+    # a filter on the verdict stays above this column; Spark would else copy the metrics, unshared, into the filter
+    row_number = F.monotonically_increasing_id().alias(_ROW)
+    return ordered.select("_row.*", *[value.cast("long").alias(name) for name, value in metrics.items()], row_number)
 
 
 def judge(measured: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Add ``base_failed`` and ``kept``; a text that fails the base is not kept, whatever the rules say."""
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return measured.withColumns({"base_failed": failed, "kept": ~failed & compile_rules(rules)})
+    return measured.withColumns(
+        {"base_failed": failed, "kept": ~failed & compile_rules(rules) & (F.col(_ROW) >= 0)}
+    ).drop(_ROW)
 
 
 def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
@@ -143,3 +148,9 @@ def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "tex
     its own, alike. An empty table gives an empty table. Columns of ``docs`` named like a result are replaced.
     """
     return judge(measure(docs, text), rules)
+
+
+def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns, whatever their names."""
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_whole"), F.col(text).alias("_judged"))
+    return apply_rules(rows, rules, "_judged").where("kept").select("_whole.*")
