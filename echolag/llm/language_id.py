@@ -27,10 +27,10 @@ from .arrow import byte_buffer, pieces, text_bytes
 ORDER = 4
 TRAIN_ROWS = 1_500
 # most contexts of one order and language
-CONTEXTS = 4_000
+CONTEXTS = 2_000
 # bytes that come before a text and, for the scoring, part the texts of a batch
 _START = 0x20
-_CHUNK = 1 << 20
+_CHUNK = 1 << 17
 
 
 class ContextTree:
@@ -44,17 +44,21 @@ class ContextTree:
     def code_lengths(self, joined: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Bits per language for each text of a buffer (texts by languages)."""
         totals = np.zeros((len(bounds) - 1, len(self.languages)))
-        symbols, start, n = self.symbols[joined], int(self.symbols[_START]), len(self.bits)
-        text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        start, n = int(self.symbols[_START]), len(self.bits)
         for at in range(0, len(joined), _CHUNK):
-            places = np.arange(at, min(at + _CHUNK, len(joined)))
-            texts = text_of[places]
+            # with the bytes before the chunk that its first contexts reach into
+            reach = min(at, self.order)
+            symbols = self.symbols[joined[at - reach : at + _CHUNK]]
+            places = np.arange(at, at - reach + len(symbols))
+            texts = np.searchsorted(bounds, places, side="right") - 1
             since = places - bounds[texts]
             state = np.zeros(len(places), np.int32)
             for back in range(1, self.order + 1):
-                before = np.where(since >= back, symbols[np.maximum(places - back, 0)], start)
-                state = self.children[state, before]
-            cost = self.bits[np.where(state < n, state, state - n), symbols[places]]
+                before = np.full(len(places), start, np.int32)
+                skipped = max(0, back - reach)
+                before[skipped:] = symbols[reach - back + skipped : len(symbols) - back]
+                state = self.children[state, np.where(since >= back, before, start)]
+            cost = self.bits[np.where(state < n, state, state - n), symbols[reach:]]
             edges = np.flatnonzero(np.concatenate([[True], texts[1:] != texts[:-1]]))
             totals[texts[edges]] += np.add.reduceat(cost, edges, axis=0, dtype=np.float64)
         return totals
@@ -141,7 +145,8 @@ def learn(
 ) -> ContextTree:
     """Trees of the languages of the rows that are not held out, on about ``rows`` rows of each."""
     usable = docs.where(~held_out & F.col("lang").isNotNull() & (F.octet_length(F.col(text)) > 0))
-    counted = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"))
+    # a few rows that Spark sends to every task, so that texts which are not drawn stay where they are
+    counted = materialize(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows")), "language-sizes")
     share = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = usable.join(counted, "lang").where(share * F.col("n_rows") < rows)
     sample = drawn.select(F.col("lang").cast("string").alias("lang"), F.col(text).cast("binary").alias("text"))
@@ -171,7 +176,7 @@ def identify(docs: DataFrame, tree: ContextTree, text: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 1 << 20):
                 joined, bounds = byte_buffer(part["text"])
                 predicted, scores = [None] * part.num_rows, np.zeros(part.num_rows)
                 if tree.languages:

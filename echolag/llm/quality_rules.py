@@ -55,12 +55,13 @@ def _share(part: str, whole: str) -> Column:
     return F.coalesce(F.col(part) / F.when(F.col(whole) > 0, F.col(whole)), F.lit(0.0))
 
 
+# ratios that rules may name besides the counts
 RATIOS = {
-    "mean_word_chars": _share("word_chars", "n_words"),
-    "symbols_per_word": _share("n_symbols", "n_words"),
-    "stop_word_share": _share("n_stop_words", "n_words"),
-    "dup_line_share": _share("n_dup_lines", "n_lines"),
-    "repeat_word_share": _share("n_repeat_words", "n_words"),
+    "mean_word_chars": ("word_chars", "n_words"),
+    "symbols_per_word": ("n_symbols", "n_words"),
+    "stop_word_share": ("n_stop_words", "n_words"),
+    "dup_line_share": ("n_dup_lines", "n_lines"),
+    "repeat_word_share": ("n_repeat_words", "n_words"),
 }
 
 
@@ -68,7 +69,7 @@ def compile_rules(rules: Sequence[Rule]) -> Column:
     """One boolean column: all rules hold."""
     verdict = F.lit(True)
     for rule in rules:
-        metric = RATIOS.get(rule.metric, F.col(rule.metric))
+        metric = _share(*RATIOS[rule.metric]) if rule.metric in RATIOS else F.col(rule.metric)
         if rule.low is not None:
             verdict = verdict & ((metric >= rule.low) | (F.col("n_words") < rule.from_words))
         if rule.high is not None:
