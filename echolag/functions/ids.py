@@ -38,3 +38,8 @@ def template_of_change(change: Column) -> Column:
 def key_of_change(change: Column) -> Column:
     """Second-last ``_`` token of a change id (the infobox key)."""
     return F.try_element_at(F.split(change, "_", -1), F.lit(-2))
+
+
+def seeded_digest(seed: int, *columns: str) -> Column:
+    """Digest to draw by: the same on any engine, for any layout of the rows."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *columns))

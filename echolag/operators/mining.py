@@ -26,12 +26,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import lookup, support_ceiling, support_floor, template_of_change
+from ..functions import join_heavy, lookup, support_ceiling, support_floor, template_of_change
 from ..session import materialize
 
 # pair rows that one cell of the join should produce; small enough for its pair counts to stay in cache
 CELL_ROWS = 3_000_000
-# most tasks of the join; with more work than this allows, cells grow
+# most cells of one join; with more work than this allows, antecedents are joined in several passes
 MAX_CELLS = 100_000
 # matches beyond the first that a pair must show at the probed occurrences
 EXTRA_PROBES = 3
@@ -39,6 +39,8 @@ EXTRA_PROBES = 3
 BUSIER = 1.5
 # rows of one time point that stay together when the join runs by time point
 POINT_ROWS = 2_000
+# class pairs of one cell when rules are worked out
+RULE_CELL_PAIRS = 500_000
 # members of a class that stay together when rules are written out
 MEMBER_CHUNK = 10_000
 
@@ -67,9 +69,11 @@ def profile_changes(
     """Attach to each occurrence its position (NULL outside the domain), the change's ``n`` and the domain's size.
 
     ``domain_by`` are the ``by`` columns that ``timepoints`` has too. ``n`` counts all listed occurrences, also those
-    outside the domain.
+    outside the domain; a repeated one counts once.
     """
     by, domain_by = list(by), list(domain_by)
+    occurrences = materialize(occurrences.select(*by, "change_id", "tp").distinct(), "occurrences")
+    timepoints = materialize(timepoints.select(*domain_by, "tp", "tp_idx"), "domain")
     sizes = timepoints.groupBy(*domain_by).agg(F.count(F.lit(1)).alias("n_points"))
     if domain_by:
         placed = lookup(occurrences, sizes, domain_by)
@@ -278,7 +282,20 @@ def candidate_pairs(
     ``layout`` is ``blocks``, ``points``, or ``auto`` for the one that moves fewer rows.
     """
     by = list(by)
-    probes = _probes(classes, by, num_bins, min_conf, extra)
+    probes = materialize(_probes(classes, by, num_bins, min_conf, extra), "probes")
+    pairs = probes.agg(F.sum("load")).first()[0] or 0
+    passes = math.ceil(2 * pairs / CELL_ROWS / MAX_CELLS)
+    if passes <= 1:
+        return materialize(_candidates(classes, probes, by, layout), "candidates")
+    found = None
+    for k in range(passes):
+        part = probes.where(F.pmod(F.xxhash64(F.lit("pass"), "class_id"), F.lit(passes)) == k)
+        some = materialize(_candidates(classes, part, by, layout), "candidates")
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
+def _candidates(classes: DataFrame, probes: DataFrame, by: list[str], layout: str) -> DataFrame:
     work = probes.groupBy(*by).agg(
         F.sum("load").alias("pairs"), F.sum(F.col("hi") - F.col("idx")).alias("rows")
     )
@@ -301,16 +318,15 @@ def candidate_pairs(
     ).select(*by, "c", "n_c", F.col("p.idx").alias("idx"), F.col("p.gap").alias("gap"))
 
     pairs, rows, most = total["pairs"] or 0, total["rows"] or 0, total["most"] or 0
-    cell_rows = max(CELL_ROWS, math.ceil(pairs / MAX_CELLS))
-    side = max(1, math.ceil(math.sqrt(most / cell_rows)))
+    side = max(1, math.ceil(math.sqrt(most / CELL_ROWS)))
     parallel = classes.sparkSession.sparkContext.defaultParallelism
-    partitions = max(parallel, 2 * math.ceil(pairs / cell_rows))
+    partitions = max(parallel, 2 * math.ceil(pairs / CELL_ROWS))
     if layout == "blocks" or (layout == "auto" and (side == 1 or 2 * rows * side < pairs)):
         side = max(side, math.isqrt(parallel - 1) + 1 if pairs > CELL_ROWS // 10 and not by else 1)
         blocks: DataFrame | int = side
         if by and side > 1:
-            blocks = work.where(F.col("pairs") > cell_rows).select(
-                *by, F.ceil(F.sqrt(F.col("pairs") / cell_rows)).cast("int").alias("_blocks")
+            blocks = work.where(F.col("pairs") > CELL_ROWS).select(
+                *by, F.ceil(F.sqrt(F.col("pairs") / CELL_ROWS)).cast("int").alias("_blocks")
             )
         left, right, cell = _in_blocks(antecedents, consequents, by, blocks, partitions)
         # a pair lives in one cell, so counting by cell and pair needs no shuffle
@@ -344,8 +360,16 @@ def class_rules(
     min_conf: float,
     tail_prune: bool = True,
 ) -> DataFrame:
-    """Exact support, confidence, lift and lag histogram of candidate class pairs; drops pairs below the thresholds."""
+    """Exact support, confidence, lift and lag histogram of candidate class pairs; drops pairs below the thresholds.
+
+    Pairs are dealt to cells (antecedent block × consequent block) and the classes are copied to the cells of their block, so
+    position lists move once per cell and not once per pair, and a class with many partners is spread over many cells.
+    """
     by = list(by)
+    parallel = classes.sparkSession.sparkContext.defaultParallelism
+    n_pairs = candidates.count()
+    side = max(math.isqrt(parallel - 1) + 1, math.ceil(math.sqrt(n_pairs / RULE_CELL_PAIRS)))
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
     ante = classes.select(
         *by,
         F.col("class_id").alias("a"),
@@ -355,20 +379,32 @@ def class_rules(
         "n_points",
         "min_abs",
         "a_keys",
-    )
+    ).join(candidates.select("a").distinct(), "a", "left_semi")
     cons = classes.select(
         F.col("class_id").alias("c"),
         F.col("signature").alias("sig_c"),
         F.col("n").alias("n_c"),
         F.col("size").alias("size_c"),
         "c_keys",
-    )
+    ).join(candidates.select("c").distinct(), "c", "left_semi")
+    cell = ["ca", "cc"]
+    pairs = candidates.withColumns({"ca": _block("a", F.lit(side)), "cc": _block("c", F.lit(side))})
+    ante = ante.withColumn("ca", _block("a", F.lit(side))).withColumn("cc", everywhere)
+    cons = cons.withColumn("cc", _block("c", F.lit(side))).withColumn("ca", everywhere)
+    pairs, ante, cons = (df.repartition(side * side, *cell) for df in (pairs, ante, cons))
     matches = (
-        candidates.join(ante, "a")
-        .join(cons, "c")
-        .withColumn("found", F.array_intersect("a_keys", "c_keys"))
+        pairs.join(ante, [*cell, "a"])
+        .join(cons, [*cell, "c"])
+        .select(
+            *by,
+            *["sig_a", "sig_c", "n_a", "n_c", "size_a", "size_c", "n_points", "min_abs"],
+            F.array_intersect("a_keys", "c_keys").alias("found"),
+            # keeps the filters below above this projection, so that lists are intersected once
+            F.monotonically_increasing_id().alias("_row"),
+        )
         .withColumn("support", F.size("found").cast("long"))
         .withColumn("confidence", F.col("support") / F.col("n_a"))
+        .where("_row >= 0")
     )
     kept = matches.where(
         (F.col("support") >= F.greatest(F.lit(1), F.col("min_abs"))) & (F.col("confidence") >= F.lit(float(min_conf)))
@@ -413,7 +449,8 @@ def expand_rules(rule_set: RuleSet) -> DataFrame:
     def with_members(df: DataFrame, side: str, name: str) -> DataFrame:
         spread = df.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks(f"size_{side}") - 1)))
         named = placed.select(*by, F.col("signature").alias(f"sig_{side}"), "chunk", F.col("change_id").alias(name))
-        return spread.join(named, [*by, f"sig_{side}", "chunk"]).drop("chunk")
+        # a class may be in a large share of the rules
+        return join_heavy(spread, named, [*by, f"sig_{side}", "chunk"]).drop("chunk")
 
     both = with_members(with_members(rules, "a", "antecedent"), "c", "consequent")
     return both.where(F.col("antecedent") != F.col("consequent")).select(

@@ -224,11 +224,12 @@ def _entity_events(pairs: DataFrame, timeline: DataFrame) -> DataFrame:
 
 
 def new_tables_per_date(timeline: DataFrame) -> DataFrame:
-    """Number of tables without an earlier version, for every reported date; dates without one give 0."""
+    """Number of reported tables without an earlier version, for every date in range; dates without one give 0."""
+    in_range = F.col("in_range") if "in_range" in timeline.columns else F.col("reported")
     return (
-        timeline.where("reported")
+        timeline.where(in_range)
         .groupBy(F.col("snapshot_date").alias("date"))
-        .agg(F.count(F.when(F.col("prev_date").isNull(), 1)).alias("num_new_tables"))
+        .agg(F.count(F.when(F.col("reported") & F.col("prev_date").isNull(), 1)).alias("num_new_tables"))
     )
 
 
@@ -252,6 +253,7 @@ def find_changes(
         marked = selected.select("snapshot_date", "table_id", F.lit(True).alias("_chosen"))
         timeline = (
             timeline.join(marked, ["snapshot_date", "table_id"], "left")
+            .withColumn("in_range", F.col("reported"))
             .withColumn("reported", F.col("reported") & F.coalesce("_chosen", F.lit(False)))
             .drop("_chosen")
         )

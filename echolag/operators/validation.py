@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import global_rank
+from ..functions import global_rank, seeded_digest
 
 _PAIR = ["antecedent", "consequent"]
 
@@ -54,6 +54,6 @@ def injected_in_top(ranked: DataFrame, injected: DataFrame, k: int | None = None
 def keep_changes(occurrences: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """Occurrences of ``k`` changes drawn by a seeded hash."""
     changes = occurrences.select("change_id").distinct()
-    shuffled = global_rank(changes, [F.xxhash64(F.lit(seed), "change_id"), "change_id"], "_rank")
+    shuffled = global_rank(changes, [seeded_digest(seed, "change_id"), "change_id"], "_rank")
     drawn = shuffled.where(F.col("_rank") < k).select("change_id")
     return occurrences.join(drawn, "change_id", "left_semi")

@@ -126,8 +126,8 @@ WITH {sql.USER_DAYS.format(change=sql.USER_TYPE)}, {sql.OBSERVED},
 np AS (SELECT count(*) AS np FROM tps),
 cuts AS (SELECT DISTINCT least(CAST(round_even(i * np / 10.0, 0) AS BIGINT), np - 1) AS cut
          FROM np, (SELECT unnest(generate_series(1, 10)) AS i))
-SELECT CAST(cut + 1 AS INTEGER) AS num_days, change_id, count(*) AS n, max(tp) AS last_tp
-FROM occ JOIN tps USING (tp) JOIN cuts ON idx <= cut GROUP BY 1, 2
+SELECT CAST(cut + 1 AS INTEGER) AS num_days, change_id, count(*) AS n, max(occ.tp) AS last_tp
+FROM occ JOIN (SELECT cut, tp AS last FROM cuts JOIN tps ON idx = cut) ends ON occ.tp <= last GROUP BY 1, 2
 """
 )
 def timeline_prefixes(spark, sf):
@@ -136,6 +136,24 @@ def timeline_prefixes(spark, sf):
     return cut.groupBy("num_days", "change_id").agg(F.count(F.lit(1)).alias("n"), F.max("tp").alias("last_tp"))
 
 
+@query(
+    f"""
+WITH {sql.USER_DAYS.format(change=sql.USER_TYPE)},
+tps AS (SELECT tp, row_number() OVER (ORDER BY tp) - 1 AS idx FROM (SELECT DISTINCT tp FROM occ WHERE day(tp) % 3 <> 0)),
+np AS (SELECT count(*) AS np FROM tps),
+cuts AS (SELECT DISTINCT least(CAST(round_even(i * np / 4.0, 0) AS BIGINT), np - 1) AS cut
+         FROM np, (SELECT unnest(generate_series(1, 4)) AS i))
+SELECT CAST(cut + 1 AS INTEGER) AS num_days, change_id, occ.tp
+FROM occ JOIN (SELECT cut, tp AS last FROM cuts JOIN tps ON idx = cut) ends ON occ.tp <= last
+"""
+)
+def timeline_prefixes_gaps(spark, sf):
+    """Prefixes along a domain that lacks some of the days on which changes occur."""
+    occurrences = data.user_days(spark, sf)
+    points = timeline.observed_domain(occurrences.where(F.dayofmonth("tp") % 3 != 0))
+    return timeline.timeline_prefixes(occurrences, points, 4).select("num_days", "change_id", "tp")
+
+
 # -- support -----------------------------------------------------------------------------------------------------------
 
 
@@ -389,6 +407,7 @@ def grouped_occurrences(spark, sf):
 
 
 _PERIODIC = """
+dom AS (SELECT CAST(date_diff('day', min(tp), max(tp)) + 1 AS DOUBLE) AS days FROM occ),
 n AS (SELECT change_id, count(*) AS n FROM occ GROUP BY 1),
 wd AS (SELECT change_id, isodow(tp) AS k, count(*) AS c FROM occ GROUP BY 1, 2),
 dm AS (SELECT change_id, day(tp) AS k, count(*) AS c FROM occ GROUP BY 1, 2),
@@ -396,11 +415,11 @@ gp AS (SELECT change_id, tp - lag(tp) OVER (PARTITION BY change_id ORDER BY tp)
 gc AS (SELECT change_id, max(c) AS c FROM (
   SELECT change_id, k, count(*) AS c FROM gp WHERE k IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
 wr AS (SELECT change_id, sum(c) AS c FROM (
-  SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY c DESC) AS rn FROM wd) JOIN n USING (change_id)
-  WHERE rn <= ceil(CAST(n AS DOUBLE) / 2404 * 7) GROUP BY 1),
+  SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY c DESC) AS rn FROM wd) JOIN n USING (change_id), dom
+  WHERE rn <= ceil(CAST(n AS DOUBLE) / days * 7) GROUP BY 1),
 dr AS (SELECT change_id, sum(c) AS c FROM (
-  SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY c DESC) AS rn FROM dm) JOIN n USING (change_id)
-  WHERE rn <= ceil(CAST(n AS DOUBLE) / 2404 * (CAST(2404 AS DOUBLE) / 12)) GROUP BY 1),
+  SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY c DESC) AS rn FROM dm) JOIN n USING (change_id), dom
+  WHERE rn <= ceil(CAST(n AS DOUBLE) / days * (days / 12)) GROUP BY 1),
 shares AS (
   SELECT change_id, n, CAST(wr.c AS DOUBLE) / n AS weekday_share, coalesce(CAST(gc.c AS DOUBLE) / n, 0) AS gap_share,
          CAST(dr.c AS DOUBLE) / n AS date_share
@@ -408,24 +427,26 @@ shares AS (
 periodic AS (
   SELECT *, weekday_share >= 0.9 OR gap_share >= 0.9 OR date_share >= 0.9 AS is_periodic FROM shares)
 """
-# 2404 days
-_ORDER_SPAN = ("1995-01-01", "2001-07-31")
 
 
-@query(f"WITH {sql.ORDER_DAYS.replace('FROM orders', '''FROM orders WHERE o_orderdate <= DATE '2001-07-31' ''')}, {_PERIODIC} SELECT * FROM periodic")
+def _order_span(occurrences):
+    """First and last day of the data."""
+    span = occurrences.agg(F.min("tp").cast("string").alias("first"), F.max("tp").cast("string").alias("last")).first()
+    return span["first"], span["last"]
+
+
+@query(f"WITH {sql.ORDER_DAYS}, {_PERIODIC} SELECT * FROM periodic")
 def periodicity_shares(spark, sf):
-    return periodicity.periodicity(_orders_in_span(spark, sf), *_ORDER_SPAN)
+    days = data.order_days(spark, sf)
+    return periodicity.periodicity(days, *_order_span(days))
 
 
 @query(
     f"""
-WITH {sql.ORDER_DAYS.replace('FROM orders', '''FROM orders WHERE o_orderdate <= DATE '2001-07-31' ''')}, {_PERIODIC}
+WITH {sql.ORDER_DAYS}, {_PERIODIC}
 SELECT change_id, tp FROM occ JOIN periodic USING (change_id) WHERE NOT is_periodic
 """
 )
 def without_periodic(spark, sf):
-    return periodicity.drop_periodic(_orders_in_span(spark, sf), *_ORDER_SPAN)
-
-
-def _orders_in_span(spark, sf):
-    return data.order_days(spark, sf).where(F.col("tp") <= F.lit(_ORDER_SPAN[1]).cast("date"))
+    days = data.order_days(spark, sf)
+    return periodicity.drop_periodic(days, *_order_span(days))

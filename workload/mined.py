@@ -39,16 +39,15 @@ _DAILY = f"{sql.USER_DAYS.format(change=sql.USER_TYPE)}, {sql.OBSERVED}, {sql.pr
 @query(
     f"""
 WITH {_DAILY}, {sql.rules(7, 0.9)}
-SELECT antecedent, consequent, support, confidence, lift, lift * 30 AS lift_n, {_int_bins(7)} FROM rules
+SELECT antecedent, consequent, support, confidence, lift, lift * np AS lift_n, {_int_bins(7)} FROM rules, np
 """
 )
 def rules_daily(spark, sf):
     """All ordered pairs of (user, event type): which follows which within a week."""
     occurrences = data.user_days(spark, sf)
-    rules = mining.mine_rules(
-        occurrences, timeline.observed_domain(occurrences), num_bins=7, min_sup=0.05, max_sup=0.5, min_conf=0.9
-    )
-    return flat(rules.withColumn("lift_n", mining.lift_by_domain(F.col("lift"), 30)), 7)
+    points = timeline.observed_domain(occurrences)
+    rules = mining.mine_rules(occurrences, points, num_bins=7, min_sup=0.05, max_sup=0.5, min_conf=0.9)
+    return flat(rules.withColumn("lift_n", mining.lift_by_domain(F.col("lift"), points.count())), 7)
 
 
 @query(
@@ -277,7 +276,9 @@ long AS (
   FROM rules, np, (SELECT unnest(generate_series(0, 6)) AS k)
   WHERE confidence >= 0.9 AND CAST(support AS DOUBLE) / np >= CAST(0.1 AS DOUBLE)
     AND CAST(support AS DOUBLE) / np <= CAST(0.4 AS DOUBLE))
-SELECT antecedent, consequent,
+SELECT antecedent, consequent, row_number() OVER (ORDER BY round(
+         sum(0.5 * p * (p / greatest(1e-9, 0.5 * (p + q))) + 0.5 * q * (q / greatest(1e-9, 0.5 * (p + q)))), 6) DESC,
+         antecedent, consequent) - 1 AS rank,
        round(sum(0.5 * p * (p / greatest(1e-9, 0.5 * (p + q))) + 0.5 * q * (q / greatest(1e-9, 0.5 * (p + q)))), 6)
          AS score,
        round(sum(CASE WHEN p > 0 THEN 0.5 * p * ln(p / greatest(1e-9, 0.5 * (p + q))) ELSE 0 END
@@ -289,14 +290,23 @@ def rule_scores(spark, sf):
     """Score of each rule against the general lag distribution, and the Jensen-Shannon divergence next to it."""
     rules, n_points = _scored_rules(spark, sf)
     general = interest.general_pdf(_sample(rules, n_points), 7)
-    bounds = (n_points, 0.9, 0.1, 0.4)
-    scored = interest.rank_rules(interest.score_rules(rules, general, *bounds))
-    true = interest.score_rules(rules, general, *bounds, method="jensen_shannon")
-    both = scored.join(true.select("antecedent", "consequent", F.col("score").alias("divergence")), ["antecedent", "consequent"])
-    return both.select("antecedent", "consequent", F.round("score", 6).alias("score"), F.round("divergence", 6).alias("divergence"))
+    scored = interest.score_rules(rules, general, n_points, 0.9, 0.1, 0.4, method=("triangular", "jensen_shannon"))
+    rounded = scored.select(
+        "antecedent", "consequent", F.round("triangular", 6).alias("score"), F.round("jensen_shannon", 6).alias("divergence")
+    )
+    return interest.rank_rules(rounded)
 
 
-@query()
+@query(
+    f"""
+WITH {_SCORED_RULES},
+inside AS (
+  SELECT *, row_number() OVER (PARTITION BY antecedent ORDER BY md5('42|' || antecedent || '|' || consequent), consequent) AS rn
+  FROM rules, np WHERE confidence > 0.9 AND CAST(support AS DOUBLE) / np > CAST(0.1 AS DOUBLE)
+                   AND CAST(support AS DOUBLE) / np < CAST(0.4 AS DOUBLE))
+SELECT antecedent, consequent, {_int_bins(7)} FROM inside WHERE rn = 1
+"""
+)
 def sampled_rules(spark, sf):
     """One rule per antecedent, drawn by a seeded hash."""
     rules, n_points = _scored_rules(spark, sf)
@@ -511,7 +521,14 @@ def expected_in_top(spark, sf):
     return validation.injected_in_top(ranked, rules.where(F.get("hist", F.lit(0)) == 0))
 
 
-@query()
+@query(
+    f"""
+WITH {sql.USER_DAYS.format(change=sql.USER_TYPE)},
+drawn AS (SELECT change_id, row_number() OVER (ORDER BY md5('42|' || change_id), change_id) AS rn, count(*) OVER () AS n
+          FROM (SELECT DISTINCT change_id FROM occ))
+SELECT change_id, tp FROM occ WHERE change_id IN (SELECT change_id FROM drawn WHERE rn <= n // 2)
+"""
+)
 def drawn_changes(spark, sf):
     """A seeded draw of half of the changes."""
     occurrences = data.user_days(spark, sf)
