@@ -1,16 +1,20 @@
 from .edits import read_edits
 from .mined import (
+    read_list_map,
+    read_map,
     read_occurrence_json,
-    read_occurrence_lines,
     read_rules,
     read_rules_csv,
     read_timepoints_json,
+    write_list_map,
+    write_map,
     write_merged_rules,
     write_occurrence_json,
     write_report,
     write_rules,
     write_rules_csv,
     write_scores,
+    write_timepoints_json,
 )
 from .tables import (
     read_change_csv,
@@ -23,6 +27,7 @@ from .tables import (
     write_change_csv,
     write_change_log,
     write_entity_changes_csv,
+    write_entity_events_csv,
     write_new_tables,
 )
 
@@ -33,8 +38,9 @@ __all__ = [
     "read_edits",
     "read_entity_changes_csv",
     "read_entity_events_csv",
+    "read_list_map",
+    "read_map",
     "read_occurrence_json",
-    "read_occurrence_lines",
     "read_rules",
     "read_rules_csv",
     "read_snapshots",
@@ -43,6 +49,9 @@ __all__ = [
     "write_change_csv",
     "write_change_log",
     "write_entity_changes_csv",
+    "write_entity_events_csv",
+    "write_list_map",
+    "write_map",
     "write_merged_rules",
     "write_new_tables",
     "write_occurrence_json",
@@ -50,4 +59,5 @@ __all__ = [
     "write_rules",
     "write_rules_csv",
     "write_scores",
+    "write_timepoints_json",
 ]

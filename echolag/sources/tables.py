@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import entity_columns
-from ..schemas import SNAPSHOT_JSON
+from ..schemas import CHANGE_TYPES, SNAPSHOT_JSON
 
 _DATE_IN_PATH = r"(\d{4}-\d{2}-\d{2})"
-_FILE_DATES = "20[0-9][0-9]-[0-9][0-9]-[0-9][0-9]"
 
 
 def read_snapshots(spark: SparkSession, root: str, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -46,68 +45,82 @@ def read_change_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("date", "change_type", "table_id", "column_id", "row_id")
 
 
+def _csv_files(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
+    """Lines of all CSV files below ``path``, with the ``date`` and the ``kind`` that their paths name.
+
+    Paths are ``<date>_<kind>.csv`` as other tools write them, or ``date=<date>/kind=<kind>/…`` as the sinks here do.
+    """
+    lines = spark.read.schema(schema).csv(path, sep=";", recursiveFileLookup=True, pathGlobFilter="*.csv", **options)
+    file, name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
+
+    def part(folder: str, in_name: str) -> Column:
+        found = [F.regexp_extract(file, folder, 1), F.regexp_extract(name, in_name, 1)]
+        return F.coalesce(*[F.nullif(f, F.lit("")) for f in found])
+
+    date = part("/date=" + _DATE_IN_PATH + "/", "^" + _DATE_IN_PATH + "_")
+    return lines.select("*", date.cast("date").alias("date"), part("/kind=([a-z_]+)/", r"^[0-9-]{10}_([a-z_]+)\.csv$").alias("kind"))
+
+
 def write_change_csv(field_changes: DataFrame, path: str, mode: str = "overwrite") -> None:
     """``table;column;row`` lines, one folder per date and change type."""
-    field_changes.write.mode(mode).partitionBy("date", "change_type").csv(path, sep=";")
+    renamed = field_changes.withColumnRenamed("change_type", "kind")
+    renamed.write.mode(mode).partitionBy("date", "kind").csv(path, sep=";")
 
 
 def read_change_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Read files ``<date>_<insert|delete|update>.csv`` of ``table;column;row`` lines; a missing file has no rows."""
-    lines = spark.read.schema("table_id STRING, column_id STRING, row_id STRING").csv(
-        path, sep=";", pathGlobFilter=f"{_FILE_DATES}_{{insert,delete,update}}.csv"
-    )
-    file = F.col("_metadata.file_name")
-    return lines.select(
-        F.substring(file, 1, 10).cast("date").alias("date"),
-        F.regexp_extract(file, r"_([a-z]+)\.csv$", 1).alias("change_type"),
-        "table_id",
-        "column_id",
-        "row_id",
+    """Read ``table;column;row`` lines of either layout; a missing file has no rows."""
+    lines = _csv_files(spark, path, "table_id STRING, column_id STRING, row_id STRING")
+    kept = lines.where(F.col("kind").isin(*CHANGE_TYPES))
+    return kept.select("date", F.col("kind").alias("change_type"), "table_id", "column_id", "row_id")
+
+
+def write_entity_events_csv(entity_events: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """``change_type;table;item`` lines of columns and rows, ``table`` lines of new tables, one folder per date and kind."""
+    items = entity_events.where("level <> 'table'")
+    kind = F.concat("level", F.lit("_insert_delete")).alias("kind")
+    items.select("change_type", "table_id", "item_id", "date", kind).write.mode(mode).partitionBy("date", "kind").csv(
+        path, sep=";"
     )
+    tables = entity_events.where("level = 'table'").select("table_id", "date", F.lit("table_insert").alias("kind"))
+    tables.write.mode("append").partitionBy("date", "kind").csv(path, sep=";")
 
 
 def read_entity_events_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Read the files of column, row and table events next to the field changes."""
-    pairs = spark.read.schema("change_type STRING, table_id STRING, item_id STRING").csv(
-        path, sep=";", pathGlobFilter=f"{_FILE_DATES}_{{column,row}}_insert_delete.csv"
-    )
-    file = F.col("_metadata.file_name")
-    date = F.substring(file, 1, 10).cast("date").alias("date")
+    """Read the column, row and table events of either layout."""
+    pairs = _csv_files(spark, path, "change_type STRING, table_id STRING, item_id STRING")
+    pairs = pairs.where(F.col("kind").isin("column_insert_delete", "row_insert_delete"))
     items = pairs.select(
-        date, F.regexp_extract(file, r"_(column|row)_", 1).alias("level"), "change_type", "table_id", "item_id"
+        "date", F.substring_index("kind", "_", 1).alias("level"), "change_type", "table_id", "item_id"
     )
-    new_tables = spark.read.schema("table_id STRING").csv(
-        path, sep=";", pathGlobFilter=f"{_FILE_DATES}_table_insert.csv"
-    )
-    tables = new_tables.select(
-        date,
+    tables = _csv_files(spark, path, "table_id STRING").where("kind = 'table_insert'")
+    new = tables.select(
+        "date",
         F.lit("table").alias("level"),
         F.lit("insert").alias("change_type"),
         "table_id",
         F.lit(None).cast("string").alias("item_id"),
     )
-    return items.unionByName(tables)
+    return items.unionByName(new)
 
 
 def write_entity_changes_csv(entity_changes: DataFrame, path: str, level: str, mode: str = "overwrite") -> None:
     """Rolled-up changes of one level with a header line, one folder per date."""
     columns = [F.col(c).alias(c.removesuffix("_id")) for c in entity_columns(level)]
-    chosen = entity_changes.where(F.col("level") == level).select("date", "change_type", *columns)
-    chosen.write.mode(mode).partitionBy("date").csv(path, sep=";", header=True)
+    kind = F.lit(f"{level}_changes_aggregated").alias("kind")
+    chosen = entity_changes.where(F.col("level") == level).select("date", kind, "change_type", *columns)
+    chosen.write.mode(mode).partitionBy("date", "kind").csv(path, sep=";", header=True)
 
 
 def read_entity_changes_csv(spark: SparkSession, path: str, level: str) -> DataFrame:
-    """Read ``<date>_<level>_changes_aggregated.csv`` files, each with a header line."""
+    """Read the rolled-up changes of one level, of either layout; every file has a header line."""
     kept = entity_columns(level)
     schema = "change_type STRING, " + ", ".join(f"{c} STRING" for c in kept)
-    lines = spark.read.schema(schema).csv(
-        path, sep=";", header=True, enforceSchema=True, pathGlobFilter=f"{_FILE_DATES}_{level}_changes_aggregated.csv"
-    )
+    lines = _csv_files(spark, path, schema, header=True, enforceSchema=True)
     parts = [
         F.col(c) if c in kept else F.lit(None).cast("string").alias(c) for c in ("table_id", "column_id", "row_id")
     ]
-    date = F.substring(F.col("_metadata.file_name"), 1, 10).cast("date").alias("date")
-    return lines.select(date, F.lit(level).alias("level"), "change_type", *parts)
+    own = lines.where(F.col("kind") == f"{level}_changes_aggregated")
+    return own.select("date", F.lit(level).alias("level"), "change_type", *parts)
 
 
 def read_table_list(spark: SparkSession, path: str) -> DataFrame:

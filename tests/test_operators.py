@@ -486,7 +486,7 @@ def test_index_files(spark, tmp_path):
         ("2020-01-02", 1),
     }
     sources.write_occurrence_json(index, str(tmp_path / "out"))
-    back = sources.read_occurrence_lines(spark, str(tmp_path / "out"))
+    back = sources.read_occurrence_json(spark, str(tmp_path / "out"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, index.collect()))
     (tmp_path / "list.txt").write_text("table_id\n\n t1 \nt2\n")
     assert {r.table_id for r in sources.read_table_list(spark, str(tmp_path / "list.txt")).collect()} == {"t1", "t2"}

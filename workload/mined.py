@@ -222,12 +222,16 @@ WHERE a.domain = c.domain
 """
 )
 def rules_same_domain(spark, sf):
+    return flat(domain_rules(spark, sf), 5)
+
+
+def domain_rules(spark, sf):
     occurrences = data.user_days(spark, sf, data.publisher_change())
     rules = mining.mine_rules(
         occurrences, timeline.observed_domain(occurrences), num_bins=5, min_sup=0.05, max_sup=0.4, min_conf=0.9
     )
     tables = domains.table_domain(domains.domain_tables(data.download_log(spark, sf)))
-    return flat(domains.same_domain_rules(rules, tables), 5)
+    return domains.same_domain_rules(rules, tables)
 
 
 # -- interestingness ---------------------------------------------------------------------------------------------------
@@ -297,6 +301,12 @@ def rule_scores(spark, sf):
     return interest.rank_rules(rounded)
 
 
+def scored_with_general(spark, sf):
+    rules, n_points = _scored_rules(spark, sf)
+    general = interest.general_pdf(_sample(rules, n_points), 7)
+    return interest.score_rules(rules, general, n_points, 0.9, 0.1, 0.4), general
+
+
 @query(
     f"""
 WITH {_SCORED_RULES},
@@ -331,7 +341,7 @@ def _page_occurrences(spark, sf):
     return data.user_hours(spark, sf, data.page_change())
 
 
-def _merged(spark, sf):
+def merged(spark, sf):
     occurrences = _page_occurrences(spark, sf)
     points = timeline.observed_domain(occurrences)
     rules = mining.mine_rules(occurrences, points, num_bins=24, min_sup=0.01, max_sup=0.05, min_conf=0.7)
@@ -346,7 +356,7 @@ SELECT antecedent, antecedent_page_id, antecedent_page_name, consequent, consequ
 """
 )
 def merged_rules(spark, sf):
-    return flat(_merged(spark, sf), 24)
+    return flat(merged(spark, sf), 24)
 
 
 @query(
@@ -358,7 +368,7 @@ FROM c
 """
 )
 def external_rate(spark, sf):
-    return merge.external_rate(_merged(spark, sf))
+    return merge.external_rate(merged(spark, sf))
 
 
 _DAYS = "list_aggregate(list_sort(list_distinct(list(substr(tp, 1, length(tp) - 3)))), 'string_agg', ',')"
@@ -375,7 +385,7 @@ WHERE antecedent_page_id <> consequent_page_id
 """
 )
 def external_listing(spark, sf):
-    listed = merge.list_external(_merged(spark, sf), _page_occurrences(spark, sf))
+    listed = merge.list_external(merged(spark, sf), _page_occurrences(spark, sf))
     return listed.select(
         "antecedent",
         "consequent",
@@ -407,13 +417,13 @@ pages AS (
 
 @query(f"WITH RECURSIVE {_CLUSTERS} SELECT * FROM comp")
 def rule_clusters(spark, sf):
-    return merge.rule_clusters(_merged(spark, sf))
+    return merge.rule_clusters(merged(spark, sf))
 
 
 @query(f"WITH RECURSIVE {_CLUSTERS} SELECT * FROM pages")
 def cluster_pages(spark, sf):
-    merged = _merged(spark, sf)
-    return merge.cluster_pages(merged, merge.rule_clusters(merged))
+    rules = merged(spark, sf)
+    return merge.cluster_pages(rules, merge.rule_clusters(rules))
 
 
 @query(
@@ -423,8 +433,8 @@ SELECT size, count(*) AS clusters FROM sizes GROUP BY 1
 """
 )
 def cluster_sizes(spark, sf):
-    merged = _merged(spark, sf)
-    pages = merge.cluster_pages(merged, merge.rule_clusters(merged))
+    rules = merged(spark, sf)
+    pages = merge.cluster_pages(rules, merge.rule_clusters(rules))
     return merge.cluster_size_counts(merge.cluster_sizes(pages))
 
 
