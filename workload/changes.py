@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from echolag.functions import join_heavy
 from echolag.operators import edit_log, grouping, periodicity, rollup, snapshot_diff, support, timeline
 
 from . import data, sql
@@ -223,7 +224,7 @@ def field_changes_null_aware(spark, sf):
 @query(
     f"""
 WITH {sql.SNAPSHOTS}, inc AS (
-  SELECT 's' || s_suppkey AS table_id FROM supplier WHERE s_acctbal > 0),
+  SELECT 's' || s_suppkey AS table_id FROM supplier WHERE s_acctbal > 0 AND s_suppkey % 3 <> 0),
 firsts AS (SELECT table_id, v FROM (
   SELECT table_id, v, row_number() OVER (PARTITION BY v ORDER BY table_id) AS rn FROM ver) WHERE rn <= 40),
 {sql.field_changes(where='''table_id IN (SELECT table_id FROM inc) AND (table_id, v) IN (SELECT (table_id, v) FROM firsts)
@@ -232,12 +233,15 @@ SELECT * FROM fc
 """
 )
 def field_changes_selected(spark, sf):
-    """Listed tables only, 40 per date at most, in a range of dates; earlier versions still serve for comparison."""
+    """Listed tables only, 40 per date at most, in a range of dates; earlier versions still serve for comparison.
+
+    Some tables are both listed and excluded, and exclusion wins.
+    """
     snapshots = data.snapshots(spark, sf)
     suppliers = data.table(spark, sf, "supplier")
     name = F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("table_id")
-    in_credit, in_debt = suppliers.where("s_acctbal > 0").select(name), suppliers.where("s_acctbal <= 0").select(name)
-    chosen = snapshot_diff.select_tables(snapshots, include=in_credit, exclude=in_debt, num_tables=40)
+    in_credit, third = suppliers.where("s_acctbal > 0").select(name), suppliers.where("s_suppkey % 3 = 0").select(name)
+    chosen = snapshot_diff.select_tables(snapshots, include=in_credit, exclude=third, num_tables=40)
     return snapshot_diff.find_changes(snapshots, start="1996-03-01", end="2000-12-31", selected=chosen).field_changes
 
 
@@ -253,6 +257,20 @@ def new_tables(spark, sf):
     return snapshot_diff.find_changes(data.snapshots(spark, sf)).new_tables
 
 
+@query(
+    f"""
+WITH {sql.SNAPSHOTS}
+SELECT v AS date, count(*) FILTER (pv IS NULL AND table_id IN ('s1', 's2', 's3')) AS num_new_tables FROM ver GROUP BY 1
+"""
+)
+def new_tables_selected(spark, sf):
+    """Three tables are listed; dates on which only others have versions or are new count 0."""
+    snapshots = data.snapshots(spark, sf)
+    listed = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "table_id STRING")
+    chosen = snapshot_diff.select_tables(snapshots, include=listed)
+    return snapshot_diff.find_changes(snapshots, selected=chosen).new_tables
+
+
 # -- roll-up -----------------------------------------------------------------------------------------------------------
 
 _ROLLED = """
@@ -373,14 +391,17 @@ def frequent_templates(spark, sf):
 
 _GROUPS = """
 lists AS (SELECT change_id, string_agg(strftime(tp, '%Y-%m-%d'), ',' ORDER BY tp) AS tps FROM occ GROUP BY 1),
-same AS (SELECT tps, min(change_id) AS least_member, count(*) AS members FROM lists GROUP BY 1 HAVING count(*) > 1)
+same AS (
+  SELECT tps, min(change_id) AS least_member, count(*) AS members,
+         'group' || (row_number() OVER (ORDER BY substr(tps, 1, 10), min(change_id)) - 1) AS group_id
+  FROM lists GROUP BY 1 HAVING count(*) > 1)
 """
 
 
 @query(
     f"""
 WITH {sql.ORDER_MONTHS}, {_GROUPS}
-SELECT least_member, members, change_id FROM lists JOIN same USING (tps)
+SELECT group_id, least_member, members, change_id FROM lists JOIN same USING (tps)
 """
 )
 def simultaneous_groups(spark, sf):
@@ -388,7 +409,7 @@ def simultaneous_groups(spark, sf):
     named = groups.groupBy("group_id").agg(
         F.min("change_id").alias("least_member"), F.count(F.lit(1)).alias("members")
     )
-    return groups.join(named, "group_id").select("least_member", "members", "change_id")
+    return join_heavy(groups, named, ["group_id"]).select("group_id", "least_member", "members", "change_id")
 
 
 @query(

@@ -341,11 +341,14 @@ def _page_occurrences(spark, sf):
     return data.user_hours(spark, sf, data.page_change())
 
 
-def merged(spark, sf):
+def page_rules(spark, sf):
     occurrences = _page_occurrences(spark, sf)
     points = timeline.observed_domain(occurrences)
-    rules = mining.mine_rules(occurrences, points, num_bins=24, min_sup=0.01, max_sup=0.05, min_conf=0.7)
-    return materialize(merge.merge_rules(rules, *data.user_pages(spark, sf)), "merged")
+    return mining.mine_rules(occurrences, points, num_bins=24, min_sup=0.01, max_sup=0.05, min_conf=0.7)
+
+
+def merged(spark, sf):
+    return materialize(merge.merge_rules(page_rules(spark, sf), *data.user_pages(spark, sf)), "merged")
 
 
 @query(
