@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import join_heavy, json_text_is_null, lookup
+from ..session import materialize
 
 
 @dataclass(frozen=True)
@@ -27,7 +28,11 @@ class SnapshotChanges:
 
     @cached_property
     def _pairs(self) -> DataFrame:
-        return _row_pairs(self.snapshots, self.timeline)
+        """The rows that differ, written once for all that is asked for."""
+        differing = F.filter("new", lambda fields: fields != F.col("old"))
+        pairs = _row_pairs(self.snapshots, self.timeline).withColumn("differing", differing)
+        touched = F.col("old_width").isNull() | F.col("new_width").isNull() | F.col("lost") | (F.size("differing") > 0)
+        return materialize(pairs.where(touched).drop("new"), "row-pairs")
 
     @cached_property
     def field_changes(self) -> DataFrame:
@@ -145,10 +150,6 @@ def _row_pairs(snapshots: DataFrame, timeline: DataFrame) -> DataFrame:
 
 
 def _field_changes(pairs: DataFrame, timeline: DataFrame, distinguish_null: bool) -> DataFrame:
-    differing = F.filter("new", lambda fields: fields != F.col("old"))
-    touched = pairs.withColumn("differing", differing).where(
-        F.col("old_width").isNull() | F.col("new_width").isNull() | F.col("lost") | (F.size("differing") > 0)
-    )
     lists = timeline.where("reported").select(
         "table_id",
         F.col("snapshot_date").alias("date"),
@@ -156,7 +157,7 @@ def _field_changes(pairs: DataFrame, timeline: DataFrame, distinguish_null: bool
         F.coalesce("prev_attributes", F.array().cast("array<string>")).alias("prev"),
     )
     key = ["table_id", "date"]
-    opened = join_heavy(touched, lists, key)
+    opened = join_heavy(pairs, lists, key)
 
     def change(kind: Column, column: Column) -> Column:
         return F.struct(kind.alias("change_type"), column.alias("column_id"))
@@ -257,4 +258,4 @@ def find_changes(
             .withColumn("reported", F.col("reported") & F.coalesce("_chosen", F.lit(False)))
             .drop("_chosen")
         )
-    return SnapshotChanges(snapshots, timeline, distinguish_null)
+    return SnapshotChanges(snapshots, materialize(timeline, "versions"), distinguish_null)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import entity_columns, json_text_is_null, json_text_to_string
 from ..schemas import LEVELS
+from ..session import materialize
 
 
 def change_counts(
@@ -153,10 +156,12 @@ def rare_shares(frequencies: DataFrame, most: int = 20) -> DataFrame:
 
 def occurrence_histogram(frequencies: DataFrame, width: int = 10) -> DataFrame:
     """(bin_start, changes) in bins of ``width`` from the least n on; the last bin includes its end."""
-    least, most = frequencies.agg(F.min("n")).scalar(), frequencies.agg(F.max("n")).scalar()
-    last = F.greatest(F.ceil((most - least) / width) - 1, F.lit(0))
-    place = F.least(F.floor((F.col("n") - least) / width), last)
-    return frequencies.groupBy((least + place * width).alias("bin_start")).agg(F.sum("changes").alias("changes"))
+    frequencies = materialize(frequencies, "frequencies")
+    bounds = frequencies.agg(F.min("n").alias("least"), F.max("n").alias("most")).first()
+    least, most = bounds["least"] or 0, bounds["most"] or 0
+    last = max(math.ceil((most - least) / width) - 1, 0)
+    place = F.least(F.floor((F.col("n") - F.lit(least)) / width), F.lit(last))
+    return frequencies.groupBy((F.lit(least) + place * width).alias("bin_start")).agg(F.sum("changes").alias("changes"))
 
 
 def mean_runtimes(bench: DataFrame) -> DataFrame:

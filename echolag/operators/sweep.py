@@ -1,4 +1,4 @@
-"""Mining over periods, categories, support bands and window sizes in one job."""
+"""Mining over periods, categories and support bands at once, from one profile for all window sizes."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lookup, support_ceiling, support_floor, template_of_change
+from ..session import materialize
 from .mining import mine_profile, profile_changes
 
 # fixed values: bounds of the support bands; the first lower bound shrinks to 20 days where that is less
@@ -73,7 +74,8 @@ def mine_sweep(
         by = ["period", "category"]
     profile = profile_changes(changes, timepoints, by, domain_by=["period"])
     days = timepoints.select("period", "days").distinct()
-    banded = assign_bands(lookup(profile, days, ["period"]), hourly=granularity == "h")
+    # one profile serves all window sizes
+    banded = materialize(assign_bands(lookup(profile, days, ["period"]), hourly=granularity == "h"), "banded")
     found = None
     for bins in num_bins or WINDOWS[granularity]:
         rules = mine_profile(

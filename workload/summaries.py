@@ -168,7 +168,7 @@ def rare_shares(spark, sf):
 
 @query(
     f"""
-WITH {sql.USER_DAYS.format(change="CAST(user_id AS VARCHAR)")},
+WITH {sql.USER_HOURS.format(change="event_type || '_' || CAST(user_id AS BIGINT) % 7")},
 cnt AS (SELECT change_id, count(*) AS n FROM occ GROUP BY 1),
 b AS (SELECT min(n) AS lo, max(n) AS hi FROM cnt)
 SELECT CAST(lo + least(floor((n - lo) / 10.0), greatest(ceil((hi - lo) / 10.0) - 1, 0)) * 10 AS BIGINT) AS bin_start,
@@ -177,7 +177,8 @@ FROM cnt, b GROUP BY 1
 """
 )
 def occurrence_histogram(spark, sf):
-    occurrences = data.user_days(spark, sf, F.col("user_id").cast("string"))
+    change = F.concat_ws("_", "event_type", F.col("user_id").cast("long") % 7)
+    occurrences = data.user_hours(spark, sf, change)
     return statistics.occurrence_histogram(statistics.occurrence_frequencies(occurrences))
 
 
