@@ -1,6 +1,6 @@
 """Queries over the given tables, each with equal SQL where SQL can express it."""
 
-from . import changes, exchange, mined, summaries
+from . import changes, exchange, flow, mined, summaries
 
-QUERIES = {**changes.QUERIES, **mined.QUERIES, **exchange.QUERIES, **summaries.QUERIES}
-SQL = {**changes.SQL, **mined.SQL, **exchange.SQL, **summaries.SQL}
+QUERIES = {**changes.QUERIES, **mined.QUERIES, **exchange.QUERIES, **flow.QUERIES, **summaries.QUERIES}
+SQL = {**changes.SQL, **mined.SQL, **exchange.SQL, **flow.SQL, **summaries.SQL}

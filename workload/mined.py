@@ -108,7 +108,7 @@ def rules_hourly_whitelisted(spark, sf):
     return flat(rules, 24)
 
 
-def _sweep_sql(source: str, points: str, hourly: bool, windows: tuple[int, ...], conf: float) -> str:
+def sweep_sql(source: str, points: str, hourly: bool, windows: tuple[int, ...], conf: float) -> str:
     scale = "(CAST(1 AS DOUBLE) / 24)" if hourly else "CAST(1 AS DOUBLE)"
     parts = ", ".join(sql.rules(b, conf, suffix=f"_{b}") for b in windows)
     widest = max(windows)
@@ -160,7 +160,7 @@ tps AS (
 """
 
 
-@query(_sweep_sql(f"{sql.NATION_DAYS}, {_PERIOD_SPAN}", _PERIOD_POINTS, False, (7, 31), 0.3))
+@query(sweep_sql(f"{sql.NATION_DAYS}, {_PERIOD_SPAN}", _PERIOD_POINTS, False, (7, 31), 0.3))
 def rules_sweep_daily(spark, sf):
     """Orders of a nation by priority: four-year periods × regions × support bands × windows of 7 and 31 days."""
     split = timeline.split_by_period(data.nation_days(spark, sf), 1995, 2001, 4)
@@ -173,7 +173,7 @@ _HOURLY_SPAN = f"""
 {sql.USER_HOURS.format(change="event_type || '_' || user_id").replace('occ AS', 'hours AS')},
 occ AS (SELECT '2024-2024' AS period, split_part(change_id, '_', 1) AS category, change_id, tp FROM hours)
 """
-_HOURLY_POINTS = """
+HOURLY_POINTS = """
 tps AS (
   SELECT '2024-2024' AS period, strftime(d, '%Y-%m-%d') || 'T' || lpad(CAST(hr AS VARCHAR), 2, '0') AS tp,
          row_number() OVER (ORDER BY d, hr) - 1 AS idx, 366 AS days
@@ -182,7 +182,7 @@ tps AS (
 """
 
 
-@query(_sweep_sql(_HOURLY_SPAN, _HOURLY_POINTS, True, (24,), 0.5))
+@query(sweep_sql(_HOURLY_SPAN, HOURLY_POINTS, True, (24,), 0.5))
 def rules_sweep_hourly(spark, sf):
     """Hours of a year with 25 hours per day: event types × hourly support bands, window of 24 hours."""
     occurrences = data.user_hours(spark, sf, F.concat_ws("_", "event_type", "user_id"))
