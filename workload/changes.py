@@ -102,8 +102,8 @@ def truncated_hours(spark, sf):
     return cut.groupBy("day", "hour").agg(F.count(F.lit(1)).alias("events"))
 
 
-_PERIODS = """
-years AS (SELECT unnest(generate_series(1995, 1998)) AS y),
+_PERIODS = f"""
+{sql.ORDER_PERIODS.strip()},
 per AS (SELECT o.*, y || '-' || (y + 3) AS period, y FROM occ o JOIN years ON year(tp) BETWEEN y AND y + 3)
 """
 
@@ -115,7 +115,7 @@ SELECT period, change_id, count(*) AS n, min(tp) AS first_tp, max(tp) AS last_tp
 """
 )
 def sliding_periods(spark, sf):
-    split = timeline.split_by_period(data.order_days(spark, sf), 1995, 2001, 4)
+    split = timeline.split_by_period(data.order_days(spark, sf), *data.order_years(spark, sf), 4)
     return split.groupBy("period", "change_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("tp").alias("first_tp"), F.max("tp").alias("last_tp")
     )
@@ -192,7 +192,7 @@ WHERE c >= ceil(CAST(0.001 AS DOUBLE) * np) AND c <= floor(CAST(0.003 AS DOUBLE)
 """
 )
 def support_periods(spark, sf):
-    split = timeline.split_by_period(data.order_days(spark, sf), 1995, 2001, 4)
+    split = timeline.split_by_period(data.order_days(spark, sf), *data.order_years(spark, sf), 4)
     return support.filter_support_periods(split, 0.001, 0.003)
 
 
@@ -316,7 +316,7 @@ FROM prop_changes WHERE change_type IS NOT NULL
 """
 )
 def edit_occurrences(spark, sf):
-    boxes = edit_log.infobox_edits(data.edits(spark, sf), 2003, 2024)
+    boxes = edit_log.infobox_edits(data.edits(spark, sf), *data.event_years(spark, sf))
     return edit_log.edit_occurrences(edit_log.property_changes(boxes, "h"))
 
 
@@ -332,7 +332,7 @@ FROM prop_changes WHERE change_type IS NOT NULL AND template IN (SELECT template
 )
 def edit_occurrences_whitelisted(spark, sf):
     whitelist = data.valued_event_types(spark, sf).select(F.concat(F.lit("infobox-"), "template").alias("template"))
-    boxes = edit_log.infobox_edits(data.edits(spark, sf), 2003, 2024)
+    boxes = edit_log.infobox_edits(data.edits(spark, sf), *data.event_years(spark, sf))
     return edit_log.edit_occurrences(edit_log.property_changes(boxes, "d", whitelist), "column")
 
 
@@ -343,7 +343,7 @@ SELECT page_id, string_agg(title, '|' ORDER BY title) AS titles FROM (SELECT DIS
 """
 )
 def page_titles(spark, sf):
-    boxes = edit_log.infobox_edits(data.edits(spark, sf), 2003, 2024)
+    boxes = edit_log.infobox_edits(data.edits(spark, sf), *data.event_years(spark, sf))
     return edit_log.page_title_lists(boxes).select("page_id", F.concat_ws("|", "titles").alias("titles"))
 
 
@@ -355,12 +355,12 @@ aliases AS (SELECT key, latest, template, count(*) AS n FROM box JOIN last_name
 
 @query(f"WITH {sql.EDITS}, {_ALIASES} SELECT * FROM aliases")
 def template_aliases(spark, sf):
-    return edit_log.template_aliases(edit_log.infobox_edits(data.edits(spark, sf), 2003, 2024))
+    return edit_log.template_aliases(edit_log.infobox_edits(data.edits(spark, sf), *data.event_years(spark, sf)))
 
 
 @query(f"WITH {sql.EDITS} SELECT key, arg_max(page_id, place) AS page_id FROM box GROUP BY 1")
 def key_pages(spark, sf):
-    return edit_log.key_pages(edit_log.infobox_edits(data.edits(spark, sf), 2003, 2024))
+    return edit_log.key_pages(edit_log.infobox_edits(data.edits(spark, sf), *data.event_years(spark, sf)))
 
 
 @query(f"WITH {sql.EDITS} SELECT key, arg_max(page_id, place) AS page_id FROM ordered GROUP BY 1")
@@ -376,7 +376,7 @@ def infoboxes_per_template(spark, sf):
 
 @query(f"WITH {sql.EDITS}, {_ALIASES} SELECT latest AS template, count(*) AS n FROM last_name GROUP BY 1")
 def keys_per_template(spark, sf):
-    boxes = edit_log.infobox_edits(data.edits(spark, sf), 2003, 2024)
+    boxes = edit_log.infobox_edits(data.edits(spark, sf), *data.event_years(spark, sf))
     return edit_log.keys_per_template(edit_log.template_aliases(boxes))
 
 

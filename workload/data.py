@@ -12,6 +12,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def years_of(df: DataFrame, column: str) -> tuple[int, int]:
+    """First and last year of a date or time column."""
+    return tuple(df.agg(F.min(F.year(column)), F.max(F.year(column))).first())
+
+
+def order_years(spark: SparkSession, sf: str) -> tuple[int, int]:
+    return years_of(table(spark, sf, "orders"), "o_orderdate")
+
+
+def event_years(spark: SparkSession, sf: str) -> tuple[int, int]:
+    return years_of(table(spark, sf, "events"), "ts")
+
+
 # -- occurrences -------------------------------------------------------------------------------------------------------
 
 

@@ -11,10 +11,11 @@ from . import data, mined, sql
 _LETTER = "substr(change_type, 1, 1)"
 _EDIT_HOURS = f"""
 {sql.EDITS},
+{sql.EVENT_YEARS.strip()},
 listed AS (SELECT DISTINCT event_type AS category, 'infobox-' || event_type || plus AS template
            FROM events, (VALUES (''), ('-plus')) marks(plus)),
 occ AS (
-  SELECT DISTINCT '2024-2024' AS period, category, template || '_' || property || '_' || key || '_' || {_LETTER} AS change_id, tp
+  SELECT DISTINCT substr(tp, 1, 4) || '-' || substr(tp, 1, 4) AS period, category, template || '_' || property || '_' || key || '_' || {_LETTER} AS change_id, tp
   FROM prop_changes JOIN listed USING (template) WHERE change_type IS NOT NULL)
 """
 _PAGES = """
@@ -25,19 +26,19 @@ _BODY, _UNION = mined.sweep_sql(_EDIT_HOURS, mined.HOURLY_POINTS, True, (24,), 0
 
 
 def edit_rules(spark, sf):
-    """Rules between property changes of a year, merged with the pages of both sides."""
+    """Rules between property changes of each year, merged with the pages of both sides."""
+    first, last = data.event_years(spark, sf)
     types = data.table(spark, sf, "events").select("event_type").distinct()
     names = F.array(*[F.concat(F.lit("infobox-"), "event_type", F.lit(plus)) for plus in ("", "-plus")])
     whitelist = types.select(F.col("event_type").alias("category"), F.explode(names).alias("template"))
     found = rules_from_edits(
         data.edits(spark, sf),
         whitelist=whitelist,
-        first_year=2024,
-        last_year=2024,
+        first_year=first,
+        last_year=last,
         period_years=1,
         hours_per_day=25,
         min_conf=0.5,
-        period="2024-2024",
         num_bins=24,
     )
     return mined.flat(

@@ -144,8 +144,8 @@ prof AS (
 """
 
 
-_PERIOD_SPAN = """
-years AS (SELECT unnest(generate_series(1995, 1998)) AS y),
+_PERIOD_SPAN = f"""
+{sql.ORDER_PERIODS.strip()},
 occ AS (
   SELECT y || '-' || (y + 3) AS period, r_name AS category, d.change_id, d.tp
   FROM nation_days d JOIN years ON year(tp) BETWEEN y AND y + 3
@@ -163,31 +163,36 @@ tps AS (
 @query(sweep_sql(f"{sql.NATION_DAYS}, {_PERIOD_SPAN}", _PERIOD_POINTS, False, (7, 31), 0.3))
 def rules_sweep_daily(spark, sf):
     """Orders of a nation by priority: four-year periods × regions × support bands × windows of 7 and 31 days."""
-    split = timeline.split_by_period(data.nation_days(spark, sf), 1995, 2001, 4)
-    points = timeline.period_domain(spark, 1995, 2001, 4)
+    years = data.order_years(spark, sf)
+    split = timeline.split_by_period(data.nation_days(spark, sf), *years, 4)
+    points = timeline.period_domain(spark, *years, 4)
     rules = sweep.mine_sweep(split, points, whitelist=data.nation_whitelist(spark, sf), min_conf=0.3)
     return flat(rules, 31)
 
 
 _HOURLY_SPAN = f"""
 {sql.USER_HOURS.format(change="event_type || '_' || user_id").replace('occ AS', 'hours AS')},
-occ AS (SELECT '2024-2024' AS period, split_part(change_id, '_', 1) AS category, change_id, tp FROM hours)
+{sql.EVENT_YEARS.strip()},
+occ AS (SELECT substr(tp, 1, 4) || '-' || substr(tp, 1, 4) AS period, split_part(change_id, '_', 1) AS category, change_id, tp
+        FROM hours)
 """
 HOURLY_POINTS = """
 tps AS (
-  SELECT '2024-2024' AS period, strftime(d, '%Y-%m-%d') || 'T' || lpad(CAST(hr AS VARCHAR), 2, '0') AS tp,
-         row_number() OVER (ORDER BY d, hr) - 1 AS idx, 366 AS days
-  FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS d),
+  SELECT y || '-' || y AS period, strftime(d, '%Y-%m-%d') || 'T' || lpad(CAST(hr AS VARCHAR), 2, '0') AS tp,
+         row_number() OVER (PARTITION BY y ORDER BY d, hr) - 1 AS idx,
+         date_diff('day', make_date(y, 1, 1), make_date(y, 12, 31)) + 1 AS days
+  FROM (SELECT y, unnest(generate_series(make_date(y, 1, 1), make_date(y, 12, 31), INTERVAL 1 DAY)) AS d FROM event_years),
        (SELECT unnest(generate_series(0, 24)) AS hr))
 """
 
 
 @query(sweep_sql(_HOURLY_SPAN, HOURLY_POINTS, True, (24,), 0.5))
 def rules_sweep_hourly(spark, sf):
-    """Hours of a year with 25 hours per day: event types × hourly support bands, window of 24 hours."""
+    """Hours of each year with 25 hours per day: event types × hourly support bands, window of 24 hours."""
     occurrences = data.user_hours(spark, sf, F.concat_ws("_", "event_type", "user_id"))
-    split = timeline.split_by_period(occurrences, 2024, 2024, 1)
-    points = timeline.period_domain(spark, 2024, 2024, 1, hours_per_day=25)
+    years = data.event_years(spark, sf)
+    split = timeline.split_by_period(occurrences, *years, 1)
+    points = timeline.period_domain(spark, *years, 1, hours_per_day=25)
     types = data.table(spark, sf, "events").select("event_type").distinct()
     whitelist = types.select(F.col("event_type").alias("category"), F.col("event_type").alias("template"))
     rules = sweep.mine_sweep(split, points, whitelist=whitelist, granularity="h", min_conf=0.5)

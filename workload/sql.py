@@ -16,6 +16,15 @@ ORDER_DAYS = """
 occ AS (SELECT DISTINCT o_custkey || '_' || substr(o_orderpriority, 1, 1) AS change_id, CAST(o_orderdate AS DATE) AS tp
         FROM orders)
 """
+# first years of the four-year periods that lie within the orders' years
+ORDER_PERIODS = """
+years AS (SELECT unnest(generate_series(lo, hi - 3)) AS y FROM (
+  SELECT min(year(CAST(o_orderdate AS DATE))) AS lo, max(year(CAST(o_orderdate AS DATE))) AS hi FROM orders))
+"""
+EVENT_YEARS = """
+event_years AS (SELECT unnest(generate_series(lo, hi)) AS y FROM (
+  SELECT min(year(ts)) AS lo, max(year(ts)) AS hi FROM events))
+"""
 ORDER_MONTHS = """
 occ AS (SELECT DISTINCT o_custkey || '_' || substr(o_orderpriority, 1, 1) AS change_id,
                CAST(date_trunc('month', o_orderdate) AS DATE) AS tp
