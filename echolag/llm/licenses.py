@@ -4,12 +4,22 @@ A unit is a line, a paragraph or the whole text. Units and templates are normali
 letters and digits as one space) and compared as sets of word pairs, A and B, by 2 |A ∩ B| / (|A| + |B|). At least ``t``
 needs t / (2 - t) |B| <= |A| <= (2 - t) / t |B|, so the size of a unit's set leaves few templates to compare it with. All of it
 happens inside the row, in one pass over the texts.
+
+A licence that no unit shows may still lie inside a longer line or paragraph, or run over several. So the whole text is also
+searched for windows of words. At least ``t`` needs t / (2 - t) of a template's pairs to be there, hence some of its longest
+pairs, of which a text is asked first. Templates of up to ``EXACT_PAIRS`` pairs are compared with every window that can be
+best: one that begins and ends with runs of the template's pairs, of a size within the bounds above. Longer ones, whole
+licences, are compared with the window in which 2 |A ∩ B| - t |A|, counted by occurrence, is largest.
+
+Of windows of several licences that overlap the one with most words in common counts: a shorter notice inside a longer licence
+says nothing of its own, in a unit neither. Where a text names another version or variant after the same word (version 2 for version 3, NC-SA for NC), it does not match.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +27,10 @@ from pyspark.sql import functions as F
 from .text import text_or_empty
 
 THRESHOLD = 0.8
+# templates of at most so many pairs are compared with every window that can be best
+EXACT_PAIRS = 300
+# a window is judged with so many more words on either side, where a version or variant may follow
+MARGIN = 3
 
 # fixed values: licence notices and short forms
 TEMPLATES = {
@@ -73,9 +87,86 @@ TEMPLATES = {
 }
 
 
+# GNU notices by name in front of "General Public License", word for the work, version
+_GNU = {
+    "GPL-1.0": ("", "program", "1"),
+    "GPL-2.0": ("", "program", "2"),
+    "GPL-3.0": ("", "program", "3"),
+    "LGPL-2.0": ("Library ", "library", "2"),
+    "LGPL-2.1": ("Lesser ", "library", "2.1"),
+    "LGPL-3.0": ("Lesser ", "library", "3"),
+    "AGPL-3.0": ("Affero ", "program", "3"),
+}
+# Creative Commons licences by their words
+_CC = {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+
+
+def _add(name: str, *texts: str) -> None:
+    known = TEMPLATES.setdefault(name, [])
+    known += [t for t in texts if t not in known]
+
+
+for _name, (_kind, _work, _version) in _GNU.items():
+    _full = f"GNU {_kind}General Public License"
+    _terms = f"you can redistribute it and/or modify it under the terms of the {_full}"
+    _add(
+        _name,
+        f"This work is licensed under the {_full}, version {_version}",
+        f"Licensed under the {_full} v{_version if '.' in _version else _version + '.0'}",
+        f"This {_work} is free software: {_terms} as published by the Free Software Foundation, either version {_version} of the"
+        " License, or (at your option) any later version.",
+        f"This {_work} is free software; {_terms} version {_version} as published by the Free Software Foundation.",
+    )
+for _name, _kind in (("GPL", ""), ("LGPL", "Lesser "), ("AGPL", "Affero ")):
+    _full = f"GNU {_kind}General Public License"
+    _add(_name, f"Licensed under the {_full}", f"This work is licensed under the {_full}")
+for _kind, _title in _CC.items():
+    for _version, _scope in (("4.0", "International"), ("3.0", "Unported")):
+        _add(
+            f"CC-{_kind}-{_version}",
+            f"Licensed under CC {_kind} {_version}",
+            f"This work is licensed under a Creative Commons {_title} {_version} {_scope} License",
+        )
+_add("BSD-2-Clause", "Licensed under the BSD 2-Clause License")
+_add(
+    "0BSD",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+)
+_add("MIT-0", TEMPLATES["MIT"][2].replace(", subject to the following conditions:", "."))
+
+# whole licences, one file each
+BODIES = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+for _name, _text in BODIES.items():
+    _add(_name, _text)
+
+# word pairs that part siblings of a family; a text shows the same ones as its template
+_FAMILIES = [
+    {"gnu general", "gnu lesser", "gnu library", "gnu affero"},
+    {f"{a} {b}" for a in ("by", "nc") for b in ("nc", "sa", "nd")}
+    | {
+        f"{a} {b}"
+        for a in ("attribution", "noncommercial")
+        for b in ("noncommercial", "sharealike", "noderivatives", "noderivs")
+    },
+]
+_NUMBERED = r"[^ ]+ v?[0-9]{1,2}"
+_VERSION = r"(version v?|[^ ]+ v)[0-9]{1,2}"
+
+
+def _words(text: str) -> list[str]:
+    return re.sub(r"[\W_]+", " ", text.lower()).split()
+
+
 def word_pairs(text: str) -> list[str]:
     """The distinct word pairs of a template."""
-    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    words = _words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
@@ -84,6 +175,19 @@ def template_rows(templates: Mapping[str, list[str]] = TEMPLATES) -> list[tuple[
     return [(name, word_pairs(text)) for name, texts in templates.items() for text in texts]
 
 
+def _marks(pairs: list[str]) -> tuple[list[str], list[str], list[str]]:
+    """The pairs that name a version, those that name a variant, and all such pairs of the family.
+
+    A whole licence speaks of others too; there only its version counts.
+    """
+    numbered = [p for p in pairs if re.fullmatch(_NUMBERED, p)]
+    if len(pairs) > EXACT_PAIRS:
+        return [p for p in numbered if p.startswith("version ")], [], []
+    words = {w for p in pairs for w in p.split()}
+    family = set().union(*(f for f, signs in zip(_FAMILIES, (["gnu"], ["cc", "commons"]), strict=True) if words & {*signs}))
+    return numbered, sorted(family & set(pairs)), sorted(family)
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -98,6 +202,140 @@ def _pairs(unit: Column) -> Column:
     return _let(F.split(unit, " "), of)
 
 
+def _strings(values: list[str]) -> Column:
+    """The values as one literal array; they hold no line feed."""
+    return F.split(F.lit("\n".join(values)), "\n") if values else F.array().cast("array<string>")
+
+
+def _pair(words: Column, i: Column) -> Column:
+    return F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))
+
+
+def _agrees(pairs: Column, t: Column) -> Column:
+    """Whether a text with these pairs names no other version and no other variant than the template."""
+    numbered = F.filter(pairs, lambda p: p.rlike(f"^{_NUMBERED}$") & ~F.array_contains(t["numbers"], p))
+
+    def same_word(a: Column, b: Column) -> Column:
+        return F.substring_index(a, " ", 1) == F.substring_index(b, " ", 1)
+
+    def other_version(numbered: Column) -> Column:
+        # none of the template's numbers after this word, but another
+        return F.exists(
+            t["numbers"],
+            lambda q: F.exists(numbered, lambda p: same_word(p, q))
+            & ~F.exists(t["numbers"], lambda r: same_word(r, q) & F.array_contains(pairs, r)),
+        )
+
+    versions = F.transform(F.filter(pairs, lambda p: p.rlike(f"^{_VERSION}$")), lambda p: F.regexp_replace(p, ".* v?", ""))
+    same_version = (F.size(t["versions"]) == 0) | (F.size(versions) == 0) | F.arrays_overlap(versions, t["versions"])
+    named = F.array_sort(F.array_intersect(t["family"], pairs))
+    return ~_let(numbered, other_version) & ((F.size(t["family"]) == 0) | (named == t["variants"])) & same_version
+
+
+def _windows(words: Column, t: Column, low: float) -> Column:
+    """(first pair, last pair) of the windows that begin and end with runs of the template's pairs."""
+    at = F.filter(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.array_contains(t["pairs"], _pair(words, i)))
+
+    def between_runs(at: Column) -> Column:
+        first = F.filter(at, lambda p, k: (k == 0) | (F.get(at, k - 1) != p - 1))
+        last = F.filter(at, lambda p, k: (k == F.size(at) - 1) | (F.get(at, k + 1) != p + 1))
+
+        def of(ends: Column) -> Column:
+            longest = F.floor(t["n"] / low).cast("int")
+
+            def from_run(p: Column, k: Column) -> Column:
+                # each run has a pair at least, so no more than ``longest`` of them lie in a window. Pairs count once in a
+                # set, so a window may hold more of them than the bound: ``repeats`` for those that the template repeats
+                near = F.filter(
+                    F.slice(ends, k + 1, longest + t["repeats"] + 1),
+                    lambda e: (e - p + 1 >= low * t["n"]) & (e - p + 1 <= longest + t["repeats"]),
+                )
+                return F.transform(near, lambda e: F.struct(p.alias("first"), e.alias("last")))
+
+            return F.flatten(F.transform(first, from_run))
+
+        return _let(last, of)
+
+    return _let(at, between_runs)
+
+
+def _largest(words: Column, t: Column, threshold: float) -> Column:
+    """The window with the largest sum of 2 - t per pair of the template and -t per other pair, in one pass."""
+    zero = F.struct(
+        F.lit(0.0).alias("sum"), F.lit(0).alias("from"), F.lit(0.0).alias("best"), F.lit(0).alias("first"), F.lit(0).alias("last")
+    )
+
+    def step(a: Column, i: Column) -> Column:
+        gain = F.when(F.array_contains(t["pairs"], _pair(words, i)), F.lit(2 - threshold)).otherwise(F.lit(-threshold))
+        grown = F.when(a["sum"] > 0, a["sum"] + gain).otherwise(gain)
+        start = F.when(a["sum"] > 0, a["from"]).otherwise(i)
+        better = grown > a["best"]
+        return F.struct(
+            grown.alias("sum"),
+            start.alias("from"),
+            F.when(better, grown).otherwise(a["best"]).alias("best"),
+            F.when(better, start).otherwise(a["first"]).alias("first"),
+            F.when(better, i).otherwise(a["last"]).alias("last"),
+        )
+
+    found = F.aggregate(F.sequence(F.lit(0), F.size(words) - 2), zero, step)
+    return F.transform(F.array(found), lambda w: F.struct(w["first"].alias("first"), w["last"].alias("last")))
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    return (a["first"] <= b["last"]) & (b["first"] <= a["last"])
+
+
+def _by_license(scored: Column) -> Column:
+    """The best score of each licence, in order of the names."""
+    names = F.array_sort(F.array_distinct(F.transform(scored, lambda s: s["license"])))
+
+    def of(name: Column) -> Column:
+        own = F.filter(scored, lambda s: s["license"] == name)
+        return F.struct(name.alias("license"), F.array_max(F.transform(own, lambda s: s["dice"])).alias("dice"))
+
+    return F.transform(names, of)
+
+
+def _known(templates: Mapping[str, list[str]], low: float) -> tuple[Column, str]:
+    """The templates as an array of structs, and SQL that gives the pair of words at ``w``, ``i`` if a template asks for it.
+
+    At most n - low n of a template's n pairs are absent from a text that holds it, so of ``asked`` pairs ``least`` are there.
+    """
+    made, vocabulary = [], set()
+    for name, texts in templates.items():
+        for text in texts:
+            pairs = word_pairs(text)
+            absent = int(len(pairs) * (1 - low) + 1e-9)
+            # long pairs are rare in other texts
+            asked = sorted(pairs, key=lambda p: (-len(p), p))[: max(absent + 1, len(pairs) // 2)]
+            vocabulary.update(asked)
+            numbers, variants, family = _marks(pairs)
+            # a GNU notice is of no version that the text contradicts
+            versions = sorted({re.sub(".* v?", "", p) for p in numbers if "gnu general" in family and re.fullmatch(_VERSION, p)})
+            made.append(
+                F.struct(
+                    F.lit(name).alias("license"),
+                    F.lit(len(pairs)).alias("n"),
+                    F.lit(max(0, len(_words(text)) - 1 - len(pairs))).alias("repeats"),
+                    F.lit(len(asked) - absent).alias("least"),
+                    _strings(pairs).alias("pairs"),
+                    _strings(asked).alias("asked"),
+                    _strings(numbers).alias("numbers"),
+                    _strings(variants).alias("variants"),
+                    _strings(family).alias("family"),
+                    _strings(versions).alias("versions"),
+                )
+            )
+
+    def listed(values: set[str]) -> str:
+        return ", ".join(f"'{v}'" for v in sorted(values)) or "''"
+
+    pair = "concat_ws(' ', w, get(_words, i + 1))"
+    heads = {p.split()[0] for p in vocabulary}
+    return F.array(*made), f"CASE WHEN w IN ({listed(heads)}) THEN CASE WHEN {pair} IN ({listed(vocabulary)}) THEN {pair} END END"
+
+
 def scan_licenses(
     docs: DataFrame,
     templates: Mapping[str, list[str]] = TEMPLATES,
@@ -106,7 +344,7 @@ def scan_licenses(
 ) -> DataFrame:
     """(doc_id, n_units, matches) per row; ``matches`` lists (license, dice) of the units' best templates, in text order.
 
-    Equal units of a text count once. Null and empty texts have no units. Of templates that are equally near the first by
+    After them come licences that only windows of words show, each once with its best window. Equal units of a text count once. Null and empty texts have no units. Of templates that are equally near the first by
     name is taken. Long texts are compared whole, repeated rows each on its own. An empty table gives an empty table, and
     other columns are ignored.
     """
@@ -118,23 +356,25 @@ def scan_licenses(
     whole = F.array(F.replace(F.col("_clean"), F.lit("\n"), F.lit(" ")))
     spaced = F.transform(F.concat(lines, paragraphs, whole), lambda u: F.trim(F.regexp_replace(u, " +", " ")))
     units = F.filter(F.array_distinct(spaced), lambda u: u != "")
-    rows = rows.select("doc_id", units.alias("_units"))
+    whole_words = F.split(F.trim(F.regexp_replace(F.replace(F.col("_clean"), F.lit("\n"), F.lit(" ")), " +", " ")), " ")
+    rows = rows.select("doc_id", units.alias("_units"), whole_words.alias("_words"))
 
-    known = F.array(
-        *[
-            F.struct(F.lit(name).alias("license"), F.lit(len(pairs)).alias("n"), F.array(*map(F.lit, pairs)).alias("pairs"))
-            for name, pairs in template_rows(templates)
-        ]
-    )
     low = threshold / (2 - threshold)
+    known, asked = _known(templates, low)
+
+    def dice(pairs: Column, t: Column) -> Column:
+        return 2 * F.size(F.array_intersect(pairs, t["pairs"])) / (F.size(pairs) + t["n"])
+
+    def agreed(pairs: Column, t: Column, context: Column) -> Column:
+        """The score of a template, or -1 where it is below the threshold or the context disagrees."""
+        return _let(dice(pairs, t), lambda d: F.when(d >= threshold, F.when(_agrees(context, t), d)).otherwise(F.lit(None)))
 
     def best(pairs: Column) -> Column:
-        def dice(t: Column) -> Column:
-            shared = F.size(F.array_intersect(pairs, t["pairs"]))
-            return F.struct((2 * shared / (F.size(pairs) + t["n"])).alias("dice"), t["license"].alias("license"))
+        def score(t: Column) -> Column:
+            return F.struct(F.coalesce(agreed(pairs, t, pairs), F.lit(-1.0)).alias("dice"), t["license"].alias("license"))
 
         near = F.filter(known, lambda t: (F.size(pairs) >= low * t["n"]) & (F.size(pairs) * low <= t["n"]))
-        scored = F.filter(F.transform(near, dice), lambda s: s["dice"] >= threshold)
+        scored = F.filter(F.transform(near, score), lambda s: s["dice"] >= threshold)
         # of equal scores the first licence by name
         return F.aggregate(
             scored,
@@ -144,4 +384,54 @@ def scan_licenses(
 
     found = F.filter(F.transform("_units", lambda u: _let(_pairs(u), best)), lambda s: s["dice"] >= 0)
     matches = F.transform(found, lambda s: F.struct(s["license"].alias("license"), s["dice"].alias("dice")))
-    return rows.select("doc_id", F.size("_units").cast("long").alias("n_units"), matches.alias("matches"))
+
+    hits = F.array_distinct(F.expr(f"filter(transform(_words, (w, i) -> {asked}), p -> p IS NOT NULL)"))
+    rows = rows.select("doc_id", F.size("_units").cast("long").alias("n_units"), matches.alias("_found"), "_words", hits.alias("_hits"))
+
+    def in_windows(t: Column) -> Column:
+        words = F.col("_words")
+
+        def score(w: Column) -> Column:
+            pairs = F.array_distinct(F.transform(F.sequence(w["first"], w["last"]), lambda i: _pair(words, i)))
+            ends = F.sequence(F.greatest(w["first"] - MARGIN, F.lit(0)), F.least(w["last"] + MARGIN, F.size(words) - 2))
+            context = F.transform(ends, lambda i: _pair(words, i))
+            scored = _let(pairs, lambda p: agreed(p, t, context))
+            return _let(
+                scored,
+                lambda d: F.struct(
+                    t["license"].alias("license"),
+                    d.alias("dice"),
+                    (d * d * (w["last"] - w["first"] + 1 + t["n"])).alias("weight"),
+                    w["first"].alias("first"),
+                    w["last"].alias("last"),
+                ),
+            )
+
+        where = F.when(t["n"] <= EXACT_PAIRS, _windows(words, t, low)).otherwise(_largest(words, t, threshold))
+        scored = F.filter(F.transform(where, score), lambda w: w["dice"].isNotNull())
+        # of windows of one template that overlap, the nearest
+        return _let(scored, lambda all: F.filter(all, lambda w: ~F.exists(all, lambda o: _overlap(o, w) & (o["dice"] > w["dice"]))))
+
+    # few texts hold enough of a template's longest pairs
+    here = F.filter(
+        known,
+        lambda t: (F.size("_hits") >= t["least"])
+        & (F.size(F.array_intersect(F.col("_hits"), t["asked"])) >= t["least"]),
+    )
+    windows = F.when(F.size("_hits") > 0, F.flatten(F.transform(here, in_windows)))
+    none = F.array().cast("array<struct<license:string,dice:double,weight:double,first:int,last:int>>")
+    rows = rows.select("doc_id", "n_units", "_found", F.coalesce(windows, none).alias("_windows"))
+
+    def overruled(w: Column) -> Column:
+        def stronger(o: Column) -> Column:
+            heavier = (o["weight"] > w["weight"]) | ((o["weight"] == w["weight"]) & (o["license"] < w["license"]))
+            return (o["license"] != w["license"]) & _overlap(o, w) & heavier
+
+        return F.exists("_windows", stronger)
+
+    left = F.filter("_windows", lambda w: ~overruled(w))
+    rows = rows.select("doc_id", "n_units", "_found", left.alias("_left"), F.col("_windows.license").alias("_seen"))
+    gone = F.array_except("_seen", F.col("_left.license"))
+    kept = F.filter("_found", lambda s: ~F.array_contains(gone, s["license"]))
+    more = F.filter("_left", lambda w: ~F.array_contains(F.col("_found.license"), w["license"]))
+    return rows.select("doc_id", "n_units", F.concat(kept, _by_license(more)).alias("matches"))

@@ -278,3 +278,33 @@ def test_votes_against_brute_force():
         ranked = sorted(((float(row @ v), y) for v, y in zip(vectors[:30], neighbours.labels, strict=True)), reverse=True)
         near = [(max(s, 0) ** quality_knn.SHARPNESS, y) for s, y in ranked[: quality_knn.NEIGHBOURS]]
         assert vote == pytest.approx(sum(w * y for w, y in near) / sum(w for w, _ in near))
+
+
+def test_licenses_whole_embedded_and_siblings(spark):
+    notice = "Copyright 2020 The Foo Authors. All rights reserved. {} See the LICENSE file for details."
+    prose = "the old river bank was quiet while a grey wolf ran past houses and then nobody said anything more about it "
+    body = licenses.BODIES
+    apache = "Licensed under the Apache License, Version 2.0."
+    by_name = [
+        ({"Apache-2.0"}, notice.format(apache)),
+        ({"Apache-2.0"}, f"{apache} Some words here. {apache}"),
+        ({"GPL-3.0"}, "Foo 1.2\n\n" + body["GPL-3.0"]),
+        ({"MPL-2.0"}, body["MPL-2.0"]),
+        ({"Apache-2.0"}, body["Apache-2.0"]),
+        ({"AGPL-3.0"}, body["AGPL-3.0"].replace("\n\n", "\n")),
+        ({"BSD-2-Clause"}, body["BSD-2-Clause"].replace("\n", " ")),
+        ({"GPL-2.0"}, prose * 300 + body["GPL-2.0"].replace("\n", " ") + prose * 300),
+        ({"CC-BY-NC-SA-4.0"}, notice.format("Licensed under CC BY-NC-SA 4.0.")),
+        ({"CC-BY-ND-4.0"}, "Licensed under CC BY-ND 4.0"),
+        ({"GPL-2.0"}, licenses.TEMPLATES["GPL-3.0"][2].replace("version 3", "version 2")),
+        ({"LGPL-2.1"}, notice.format("This work is licensed under the GNU Lesser General Public License, version 2.1.")),
+        ({"GPL"}, "This work is licensed under the GNU General Public License, version 7"),
+        (set(), prose * 50),
+    ]
+    rows = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(by_name)], "doc_id long, text string")
+    found = {r["doc_id"]: {m["license"] for m in r["matches"]} for r in licenses.scan_licenses(rows).collect()}
+    for k, (names, text) in enumerate(by_name):
+        assert names <= found[k] and (names or not found[k]), (k, text[:60], found[k])
+        if k not in (2, 5, 7):
+            assert found[k] == names, (k, text[:60], found[k])
+    assert not found[5] & {"GPL-3.0"} and not found[7] & {"GPL-3.0", "GPL-1.0"}
