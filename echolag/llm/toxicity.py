@@ -5,9 +5,9 @@ bias and a weight per term the inner product of the two terms' factors for every
 "Factorization Machines", 2010), so a word may count more, or less, beside another. All pairs are summed up at once as half of
 the square of the summed factors less the summed squares.
 
-Training has two steps, both by full gradients over a bounded sample of labelled documents: a linear model whose weights are
-drawn to zero picks the terms that say anything, and the machine is then fitted on these terms. The model is small, and terms
-it does not hold add nothing, however long a text is.
+Training goes by full gradients over a bounded sample of labelled documents, on all terms that enough of them hold: a term
+that says nothing by itself may say much beside another. Weights and factors are drawn to zero by their squares. The model is
+small, and terms it does not hold add nothing, however long a text is.
 """
 
 from __future__ import annotations
@@ -77,39 +77,19 @@ class _Adam:
         return self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
 
 
-def _linear(rows: np.ndarray, places: np.ndarray, labels: np.ndarray, n_terms: int, steps: int = 60) -> np.ndarray:
-    """Weights of a logistic model under an L1 penalty."""
-    n = len(labels)
-    weights, bias = np.zeros(n_terms), float(np.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3)))
-    adam, rate, penalty = _Adam(0.1), 0.1, 10.0 / n
-    for _ in range(steps):
-        error = _sigmoid(bias + np.bincount(rows, weights[places], n)) - labels
-        gradient = np.bincount(places, error[rows], n_terms) / n
-        # where the loss pulls a zero weight less than the penalty does, it stays zero
-        gradient = np.where(weights == 0, np.sign(gradient) * np.maximum(np.abs(gradient) - penalty, 0), gradient + penalty * np.sign(weights))
-        moved = weights - adam.step(gradient)
-        weights = np.where(moved * weights < 0, 0.0, moved)
-        bias -= rate * error.mean()
-    return weights
-
-
 def fit(labels: np.ndarray, terms: list[np.ndarray], factors: int = FACTORS, steps: int = 150) -> FactorizationMachine:
     """Fit on the sets of term hashes of labelled documents."""
     labels = labels.astype(float)
     n = len(labels)
     rows = np.repeat(np.arange(n), [len(t) for t in terms])
     every, places = np.unique(np.concatenate([np.zeros(0, np.int64), *terms]), return_inverse=True)
-    kept = np.zeros(len(every), bool)
-    if n and 0 < labels.mean() < 1 and len(every):
-        kept = np.abs(_linear(rows, places, labels, len(every))) > 1e-3
-    renumbered = np.cumsum(kept) - 1
-    inside = kept[places]
-    rows, places = rows[inside], renumbered[places[inside]]
-    known = every[kept]
+    known = every if n and 0 < labels.mean() < 1 else every[:0]
+    if not len(known):
+        rows, places = rows[:0], places[:0]
     share = (labels.sum() + 1) / (n + 2)
     rng = np.random.default_rng(2010)
     machine = FactorizationMachine(
-        known, float(np.log(share / (1 - share))), np.zeros(len(known)), rng.normal(0, 0.05, (len(known), factors))
+        known, float(np.log(share / (1 - share))), np.zeros(len(known)), rng.normal(0, 0.01, (len(known), factors))
     )
     by_weight, by_factor, by_bias = _Adam(0.1), _Adam(0.03), _Adam(0.05)
     for _ in range(steps if len(known) else 0):

@@ -308,3 +308,28 @@ def test_licenses_whole_embedded_and_siblings(spark):
         if k not in (2, 5, 7):
             assert found[k] == names, (k, text[:60], found[k])
     assert not found[5] & {"GPL-3.0"} and not found[7] & {"GPL-3.0", "GPL-1.0"}
+
+
+def test_machine_keeps_neutral_and_rare_terms():
+    draw = np.random.default_rng(3)
+    terms, labels = [], []
+    for k in range(4000):
+        toxic = k % 2
+        # 11 and 22 are as frequent in either class; only beside each other they are toxic
+        case = int(draw.integers(4))
+        own = ([11, 22] if case == 0 else [55]) if toxic else ([[11], [22]][case] if case < 2 else [])
+        terms.append(np.array(sorted({*own, *map(int, draw.integers(100, 400, 8))}), np.int64))
+        labels.append(toxic)
+    pure = [k for k in range(1, 4000, 2)][:6]
+    for k in pure:
+        terms[k] = np.array([77, *[t for t in terms[k] if t > 99]], np.int64)
+    machine = toxicity.fit(np.array(labels), terms)
+    assert {11, 22, 77} <= set(machine.terms.tolist())
+
+    def chance(found):
+        places = np.searchsorted(machine.terms, found)
+        return 1 / (1 + np.exp(-machine.margins(np.zeros(len(found), int), places.astype(int), 1)[0]))
+
+    assert chance([11, 22]) > 0.8 and chance([11]) < 0.3 and chance([22]) < 0.3
+    # six documents raise the odds well above the bias
+    assert chance([77]) > 2 * chance([])
