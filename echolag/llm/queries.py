@@ -6,7 +6,22 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, licenses, minhash, mixing, packing, quality_knn, quality_rules, sql, toxicity, warc
+from . import (
+    exact_dedup,
+    language_id,
+    licenses,
+    minhash,
+    mixing,
+    packing,
+    personal,
+    quality_knn,
+    quality_rules,
+    sql,
+    toxicity,
+    variants,
+    warc,
+    whitening,
+)
 from .text import table
 
 
@@ -74,7 +89,28 @@ def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_personal(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[personal.count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in personal.KINDS],
+        F.sha2(personal.spans_text(F.col("base")), 256).alias("base_sha256"),
+        personal.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_whitening": op12_whitening,
+    "op13_personal_data": op13_personal_data,
     "op10_quality_knn": op10_quality_knn,
     "op5_toxicity": op5_toxicity,
     "op8_language_id": op8_language_id,
