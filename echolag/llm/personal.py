@@ -3,8 +3,8 @@
 1. Base entities (e-mail, IP address, card, phone) are found by fixed patterns. Words that could be an identifier, those with
    digits or an at sign, are the instances; an instance that holds one base entity is a seed of its kind.
 2. Every instance induces lexical patterns: the two words before it, the two words behind it, and the word on each side. A
-   pattern needs ``SUPPORT`` different instances. How often its words occur around anything else is counted over all texts,
-   so words that are often around ordinary words make no pattern.
+   pattern needs ``SUPPORT`` different trusted instances. How often its words occur around anything else is counted over all
+   texts, so words that are often around ordinary words make no pattern.
 3. Patterns and instances form a graph that is scored in rounds, for each kind: a pattern's confidence is the part of what
    it finds that is trusted, where ordinary words and instances of other kinds count in full against it and unknown
    instances in part; an instance's score is the chance that not all of its confident patterns are wrong. Instances that
@@ -227,23 +227,41 @@ def _context_counts(docs: DataFrame, text: str, patterns: DataFrame) -> DataFram
     return counted.agg(F.count(F.lit(1)).alias("total"))
 
 
-def score_graph(edges: DataFrame, seeds: DataFrame, sizes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def score_graph(
+    edges: DataFrame, seeds: DataFrame, count: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS
+) -> DataFrame:
     """(value, kind) of the instances that ``rounds`` rounds find, those of ``seeds(value, kind)`` excepted.
 
-    ``edges(pattern, value)`` are the different pairs, and ``sizes(pattern, n_values, ordinary)`` has the number of different
-    instances of each pattern, and how often it is around anything else.
+    ``edges(pattern, value, times)`` are the different pairs and how often they occur. ``count`` gives (pattern, total), how
+    often the words of some patterns occur around anything. It is asked for a pattern once, and only where the pattern can
+    still teach something: it has enough trusted instances of one kind, others that are unknown, and would be believed if
+    its words were around nothing else.
     """
+    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n_values"), F.sum("times").alias("times"))
+    sizes = materialize(sizes.where(F.col("n_values") > SUPPORT), "sizes")
+    edges = materialize(lookup(edges, sizes, ["pattern"], "left_semi").select("pattern", "value"), "edges")
     trusted = seeds.withColumn("score", F.lit(1.0))
-    found = None
+    found = counts = None
     known = 0
     for _ in range(rounds):
         votes = edges.join(trusted, "value").groupBy("pattern", "kind")
         votes = votes.agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("support"))
         # at most one row per kind and pattern
         votes = votes.withColumn("known", F.sum("support").over(Window.partitionBy("pattern")))
-        against = F.col("known") - F.col("support") + F.col("ordinary") + UNKNOWN * (F.col("n_values") - F.col("known"))
-        confident = votes.where(F.col("support") >= SUPPORT).join(sizes, "pattern")
-        confident = confident.withColumn("confidence", F.col("sum") / (F.col("support") + against))
+        votes = votes.where(F.col("support") >= SUPPORT).join(sizes, "pattern").where("n_values > known")
+        best_case = F.col("known") + UNKNOWN * (F.col("n_values") - F.col("known"))
+        hopeful = materialize(votes.where(F.col("sum") >= CONFIDENCE * best_case), "hopeful")
+        asked = hopeful.select("pattern").distinct()
+        if counts is not None:
+            asked = asked.join(counts, "pattern", "left_anti")
+        asked = materialize(asked, "asked")
+        if not asked.isEmpty():
+            answered = materialize(asked.join(count(asked), "pattern", "left"), "counts")
+            counts = answered if counts is None else counts.unionByName(answered)
+        if counts is None:
+            break
+        ordinary = F.greatest(F.coalesce("total", F.col("times")) - F.col("times"), F.lit(0))
+        confident = hopeful.join(counts, "pattern").withColumn("confidence", F.col("sum") / (best_case + ordinary))
         confident = confident.where(F.col("confidence") >= CONFIDENCE).select("pattern", "kind", "confidence")
         confident = materialize(confident, "confident")
         if confident.isEmpty():
@@ -254,11 +272,14 @@ def score_graph(edges: DataFrame, seeds: DataFrame, sizes: DataFrame, rounds: in
             F.min_by(F.struct("kind", "score"), F.struct(-F.col("score"), "kind")).alias("b")
         )
         unseen = best.join(seeds.select("value"), "value", "left_anti").select("value", "b.kind", "b.score")
+        # what was found once stays
+        if found is not None:
+            unseen = found.unionByName(unseen.join(found.select("value"), "value", "left_anti"))
         found = materialize(unseen, "found")
-        count = found.count()
-        if count == known:
+        count_found = found.count()
+        if count_found == known:
             break
-        known = count
+        known = count_found
         trusted = seeds.withColumn("score", F.lit(1.0)).unionByName(found)
     return seeds.select("value", "kind").limit(0) if found is None else found.select("value", "kind")
 
@@ -279,22 +300,10 @@ def find_personal(docs: DataFrame, text: str = "text") -> DataFrame:
 
     seen = items.select(F.explode("patterns").alias("pattern"), "value").groupBy("pattern", "value")
     seen = materialize(seen.agg(F.count(F.lit(1)).alias("times")), "seen")
-    patterns = seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("n_values"), F.sum("times").alias("times"))
-    patterns = materialize(patterns.where(F.col("n_values") >= SUPPORT), "patterns")
-    plain = read.select("doc_id", F.col("base").alias("spans"), "base")
-    if patterns.isEmpty():
-        return plain.select("doc_id", "base", "spans")
-    ordinary = F.greatest(F.coalesce("total", F.col("times")) - F.col("times"), F.lit(0)).alias("ordinary")
-    sizes = lookup(patterns, _context_counts(docs, text, patterns), ["pattern"], "left")
-    sizes = sizes.select("pattern", "n_values", ordinary)
-    # no pattern can be trusted in more than its instances
-    likely = F.col("n_values") >= CONFIDENCE * (F.col("n_values") + F.col("ordinary"))
-    sizes = materialize(sizes.where(likely), "sizes")
-    edges = materialize(lookup(seen, sizes, ["pattern"]).select("pattern", "value"), "edges")
     seeds = items.where("kind IS NOT NULL").groupBy("value").agg(F.min("kind").alias("kind"))
-    found = score_graph(edges, materialize(seeds, "seeds"), sizes)
+    found = score_graph(seen, materialize(seeds, "seeds"), lambda asked: _context_counts(docs, text, asked))
     if found.isEmpty():
-        return plain.select("doc_id", "base", "spans")
+        return read.select("doc_id", "base", F.col("base").alias("spans"))
     added = lookup(items.where("kind IS NULL").drop("kind"), found, ["value"])
     added = added.select("key", F.struct("start", "kind", "end").alias("span")).distinct()
     added = added.groupBy("key").agg(F.collect_list("span").alias("added"))

@@ -203,23 +203,32 @@ def test_unseen_identifiers(spark):
 
 
 def test_graph_scores(spark):
-    """A second round: identifiers found by the first pattern teach the next one."""
+    """A second round: identifiers found by the first patterns teach the next one; no pattern is counted twice."""
     edges = [("p", f"s{k}") for k in range(8)] + [("p", f"u{k}") for k in range(4)]
     edges += [("q", f"u{k}") for k in range(4)] + [("q", "v0")] + [("r", "v0"), ("r", "w"), ("z", "s0"), ("z", "w")]
     seeds = spark.createDataFrame([(f"s{k}", 1) for k in range(8)], "value string, kind int")
-    sizes = [("p", 12, 0), ("q", 5, 0), ("r", 2, 0), ("z", 2, 0)]
-    found = personal.score_graph(
-        spark.createDataFrame(edges, "pattern string, value string"),
-        seeds,
-        spark.createDataFrame(sizes, "pattern string, n_values long, ordinary long"),
-    )
-    # p: 8 / (8 + 4 / 4) = 0.89 < 0.9 finds nothing alone
-    assert found.count() == 0
-    sizes = [("p", 12, 0), ("q", 5, 0)]
+    asked = []
+
+    def found(edges, **totals):
+        asked.clear()
+
+        def count(patterns):
+            names = [r["pattern"] for r in patterns.collect()]
+            asked.extend(names)
+            return spark.createDataFrame([(n, totals.get(n, 0)) for n in names], "pattern string, total long")
+
+        rows = spark.createDataFrame([(*e, 1) for e in edges], "pattern string, value string, times long")
+        return sorted(map(tuple, personal.score_graph(rows, seeds, count).collect()))
+
+    # p alone: 8 / (8 + 4 / 4) = 0.89 is confident but finds nothing
+    assert found(edges) == [] and asked == ["p"]
     edges += [("t", f"s{k}") for k in range(4)] + [("t", f"u{k}") for k in range(4)]
-    found = personal.score_graph(
-        spark.createDataFrame(edges, "pattern string, value string"),
-        seeds,
-        spark.createDataFrame([*sizes, ("t", 8, 0)], "pattern string, n_values long, ordinary long"),
-    )
-    assert sorted(map(tuple, found.collect())) == [("u0", 1), ("u1", 1), ("u2", 1), ("u3", 1), ("v0", 1)]
+    assert found(edges) == [("u0", 1), ("u1", 1), ("u2", 1), ("u3", 1), ("v0", 1)]
+    assert sorted(asked) == ["p", "q", "t"]
+    # t's words are often around others
+    assert found(edges, t=30) == []
+    # another kind counts in full
+    mixed = seeds.unionByName(spark.createDataFrame([("x0", 2)], "value string, kind int"))
+    rows = spark.createDataFrame([(*e, 1) for e in [*edges, ("t", "x0")]], "pattern string, value string, times long")
+    count = lambda patterns: patterns.selectExpr("pattern", "CAST(0 AS BIGINT) AS total")
+    assert personal.score_graph(rows, mixed, count).count() == 0
