@@ -15,6 +15,9 @@ How the work is laid out:
   same cell, so pairs are counted without a shuffle of pair rows. Where few changes share a time point, copying rows
   per block would cost more than the pairs do; then the join runs by time point, with busy points cut into a grid.
 * The pairs that pass get the exact lag histogram from the two classes' position lists.
+* A domain of up to 64 positions fits into one word. Then every class carries one bitmap per lag, and a pair is counted by
+  AND and ``bit_count`` right where the join by cell and time point meets it first, so pairs are neither counted up nor
+  written before they are known to be rules.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +45,8 @@ BUSIER = 1.5
 POINT_ROWS = 2_000
 # class pairs of one cell when rules are worked out
 RULE_CELL_PAIRS = 500_000
+# positions of a domain whose bitmaps fit into one word
+WORD = 64
 # members of a class that stay together when rules are written out
 MEMBER_CHUNK = 10_000
 
@@ -97,8 +103,17 @@ def within_support(profile: DataFrame, min_sup: float, max_sup: float) -> DataFr
     return profile.where((F.col("n") >= least) & (F.col("n") <= most)).withColumn("min_abs", least)
 
 
+def _width(num_bins: int | Sequence[int]) -> Column:
+    """The window size; of several ones that of the row, in its column ``num_bins``."""
+    return F.lit(num_bins) if isinstance(num_bins, int) else F.col("num_bins")
+
+
+def _widths(num_bins: int | Sequence[int]) -> list[int]:
+    return [num_bins] if isinstance(num_bins, int) else sorted(set(num_bins))
+
+
 def position_classes(
-    profile: DataFrame, by: Sequence[str], num_bins: int, boundary_expiry: bool = True
+    profile: DataFrame, by: Sequence[str], num_bins: int | Sequence[int], boundary_expiry: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of changes with equal positions, and the members of each.
 
@@ -107,7 +122,7 @@ def position_classes(
     antecedent and can match as consequent; their intersection is the list of matches.
     """
     by = list(by)
-    bins = F.lit(num_bins)
+    bins = _width(num_bins)
     change = Window.partitionBy(*by, "change_id").orderBy("idx")
     before, after = F.lag("idx").over(change), F.lead("idx").over(change)
     steps = profile.where(F.col("idx").isNotNull()).select(
@@ -149,9 +164,9 @@ def position_classes(
         F.transform(
             opened,
             lambda p: F.sequence(
-                p["idx"].cast("long") * num_bins,
-                p["idx"].cast("long") * num_bins + (p["hi"] - p["idx"] - 1) * (num_bins + 1),
-                F.lit(num_bins + 1).cast("long"),
+                p["idx"].cast("long") * bins,
+                p["idx"].cast("long") * bins + (p["hi"] - p["idx"] - 1) * (bins + 1),
+                (bins + 1).cast("long"),
             ),
         )
     )
@@ -159,8 +174,8 @@ def position_classes(
         F.transform(
             "points",
             lambda p: F.sequence(
-                p["idx"].cast("long") * num_bins,
-                p["idx"].cast("long") * num_bins + F.least(p["gap"], bins) - 1,
+                p["idx"].cast("long") * bins,
+                p["idx"].cast("long") * bins + F.least(p["gap"], bins) - 1,
             ),
         )
     )
@@ -181,14 +196,20 @@ def _least_matches(min_conf: float) -> Column:
     return F.greatest(F.lit(1), F.col("min_abs"), by_confidence).cast("int")
 
 
-def _probes(classes: DataFrame, by: list[str], num_bins: int, min_conf: float, extra: int) -> DataFrame:
+def _probes(
+    classes: DataFrame, by: list[str], num_bins: int | Sequence[int], min_conf: float, extra: int
+) -> DataFrame:
     """Antecedent occurrences to join: at least ``m - θ + k`` of each class, at the least busy time points."""
-    load_ahead = Window.partitionBy(*by).orderBy("idx").rangeBetween(0, num_bins - 1)
+    position = Window.partitionBy(*by).orderBy("idx")
+    ahead = [
+        F.when(_width(num_bins) == width, F.sum("_here").over(position.rangeBetween(0, width - 1)))
+        for width in _widths(num_bins)
+    ]
     load = (
         classes.select(*by, F.explode("points.idx").alias("idx"))
         .groupBy(*by, "idx")
         .agg(F.count(F.lit(1)).alias("_here"))
-        .withColumn("load", F.sum("_here").over(load_ahead))
+        .withColumn("load", F.coalesce(*ahead))
         .drop("_here")
     )
     least = _least_matches(min_conf)
@@ -272,7 +293,7 @@ def _by_point(
 def candidate_pairs(
     classes: DataFrame,
     by: Sequence[str],
-    num_bins: int,
+    num_bins: int | Sequence[int],
     min_conf: float,
     extra: int = EXTRA_PROBES,
     layout: str = "auto",
@@ -352,11 +373,125 @@ def _candidates(classes: DataFrame, probes: DataFrame, by: list[str], layout: st
     )
 
 
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+
+
+def _below(place: Column) -> Column:
+    """All positions before ``place``, which is below 64."""
+    return F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), place))
+
+
+def _bits(places: Column) -> Column:
+    """The bitmap of an array of positions below 64."""
+    return F.aggregate(places, F.lit(0).cast("bigint"), lambda word, place: word.bitwiseOR(_bit(place)))
+
+
+def word_rules(
+    classes: DataFrame, by: Sequence[str], num_bins: int | Sequence[int], min_conf: float, tail_prune: bool = True
+) -> DataFrame:
+    """The same rules as ``class_rules`` for a domain of at most ``WORD`` positions, in one join.
+
+    For lag k, ``y_k`` has the positions that an open antecedent occurrence reaches, and ``c_k`` the consequent's occurrences
+    without another one in the k positions before; their common bits are the matches with that lag. A pair meets at every
+    common position of the antecedent's probed windows and is counted at the first of them only.
+    """
+    by = list(by)
+    bins, lags = _width(num_bins), range(max(_widths(num_bins)))
+    probes = materialize(_probes(classes, by, num_bins, min_conf, 0), "probes")
+    work = probes.groupBy(*by).agg(F.sum("load").alias("pairs"))
+    total = work.agg(F.sum("pairs").alias("pairs"), F.max("pairs").alias("most")).first()
+    pairs, most = total["pairs"] or 0, total["most"] or 0
+
+    windows = probes.select("class_id", "theta", F.explode(F.sequence(F.col("idx"), F.col("hi") - 1)).alias("idx"))
+    windows = windows.groupBy("class_id", "theta").agg(F.collect_set("idx").alias("probed"))
+    opened = F.filter("points", lambda p: p["open"])
+
+    def reached(k: int) -> Column:
+        long_enough = F.filter(opened, lambda p: p["hi"] - p["idx"] > k)
+        return _bits(F.transform(long_enough, lambda p: p["idx"] + k)).alias(f"y_{k}")
+
+    def alone(k: int) -> Column:
+        return _bits(F.transform(F.filter("points", lambda p: p["gap"] > k), lambda p: p["idx"])).alias(f"c_{k}")
+
+    sizes = [F.col("n").alias("n_a"), F.col("size").alias("size_a"), F.col("signature").alias("sig_a")]
+    antecedents = classes.join(windows, "class_id").select(
+        *by, F.col("class_id").alias("a"), *sizes, "n_points", "min_abs", "theta", "probed", *[reached(k) for k in lags]
+    )
+    # a pair whose first match comes with fewer than num_bins positions left is not started
+    last = F.greatest(F.col("n_points") - bins + 1, F.lit(0)).cast("int")
+    early = F.when(last >= WORD, F.lit(-1).cast("bigint")).otherwise(_below(last))
+    antecedents = antecedents.select("*", _bits(F.col("probed")).alias("cover"), early.alias("early"))
+    antecedents = antecedents.withColumn("idx", F.explode("probed")).drop("probed")
+    antecedents = antecedents.withColumn("below", F.col("cover").bitwiseAND(_below(F.col("idx")))).drop("cover")
+    consequents = classes.select(
+        *by,
+        F.col("class_id").alias("c"),
+        F.col("n").alias("n_c"),
+        F.col("size").alias("size_c"),
+        F.col("signature").alias("sig_c"),
+        F.explode("points.idx").alias("idx"),
+        *[alone(k) for k in lags],
+    )
+    parallel = classes.sparkSession.sparkContext.defaultParallelism
+    side = max(1, math.ceil(math.sqrt(most / CELL_ROWS)))
+    side = max(side, math.isqrt(parallel - 1) + 1 if pairs > CELL_ROWS // 10 and not by else 1)
+    blocks: DataFrame | int = side
+    if by and side > 1:
+        blocks = work.where(F.col("pairs") > CELL_ROWS).select(
+            *by, F.ceil(F.sqrt(F.col("pairs") / CELL_ROWS)).cast("int").alias("_blocks")
+        )
+    partitions = max(parallel, 2 * math.ceil(pairs / CELL_ROWS))
+    left, right, cell = _in_blocks(antecedents, consequents, by, blocks, partitions)
+    left, right = left.alias("l"), right.alias("r")
+
+    def matches(k: int) -> Column:
+        return F.col(f"y_{k}").bitwiseAND(F.col(f"c_{k}"))
+
+    support = sum((F.bit_count(matches(k)) for k in lags), F.lit(0))
+    fits = [
+        (F.col("below").bitwiseAND(F.col("c_0")) == 0),
+        F.col("n_c") >= F.col("theta"),
+        (F.col("a") != F.col("c")) | (F.col("size_a") > 1),
+        support >= F.col("theta"),
+    ]
+    if tail_prune:
+        found = [matches(k) for k in lags]
+        fits.append(reduce(Column.bitwiseOR, found).bitwiseAND(F.col("early")) != 0)
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*cell, *by, "idx"]]
+    met = left.join(right, [*same, *fits])
+    counts = met.select(
+        *[F.col(f"l.{k}").alias(k) for k in by],
+        "sig_a",
+        "sig_c",
+        "size_a",
+        "size_c",
+        support.cast("long").alias("support"),
+        "n_a",
+        "n_c",
+        F.slice(F.array(*[F.bit_count(matches(k)) for k in lags]), F.lit(1), bins).cast("array<int>").alias("hist"),
+        "n_points",
+    )
+    confidence = F.col("support") / F.col("n_a")
+    return counts.where(confidence >= F.lit(float(min_conf))).select(
+        *by,
+        "sig_a",
+        "sig_c",
+        "size_a",
+        "size_c",
+        "support",
+        confidence.alias("confidence"),
+        (F.col("support") / (F.col("n_a") * F.col("n_c"))).alias("lift"),
+        "hist",
+        "n_points",
+    )
+
+
 def class_rules(
     classes: DataFrame,
     candidates: DataFrame,
     by: Sequence[str],
-    num_bins: int,
+    num_bins: int | Sequence[int],
     min_conf: float,
     tail_prune: bool = True,
 ) -> DataFrame:
@@ -366,6 +501,7 @@ def class_rules(
     position lists move once per cell and not once per pair, and a class with many partners is spread over many cells.
     """
     by = list(by)
+    bins = _width(num_bins)
     parallel = classes.sparkSession.sparkContext.defaultParallelism
     n_pairs = candidates.count()
     side = max(math.isqrt(parallel - 1) + 1, math.ceil(math.sqrt(n_pairs / RULE_CELL_PAIRS)))
@@ -411,10 +547,10 @@ def class_rules(
     )
     if tail_prune:
         # a pair whose first match comes with fewer than num_bins positions left is not started
-        kept = kept.where(F.floor(F.array_min("found") / num_bins) <= F.col("n_points") - num_bins)
-    lags = F.transform("found", lambda key: key % num_bins)
+        kept = kept.where(F.floor(F.array_min("found") / bins) <= F.col("n_points") - bins)
+    lags = F.transform("found", lambda key: key % bins)
     hist = F.transform(
-        F.sequence(F.lit(0), F.lit(num_bins - 1)), lambda k: F.size(F.filter(lags, lambda lag: lag == k))
+        F.sequence(F.lit(0), bins - 1), lambda k: F.size(F.filter(lags, lambda lag: lag == k))
     )
     return kept.select(
         *by,
@@ -461,7 +597,7 @@ def expand_rules(rule_set: RuleSet) -> DataFrame:
 def mine_profile(
     profile: DataFrame,
     *,
-    num_bins: int,
+    num_bins: int | Sequence[int],
     min_conf: float,
     by: Sequence[str] = (),
     boundary_expiry: bool = True,
@@ -469,10 +605,20 @@ def mine_profile(
     extra: int = EXTRA_PROBES,
     layout: str = "auto",
 ) -> RuleSet:
-    """Mine rules from a profile that has passed a support filter (``min_abs`` set); pairs stay within ``by``."""
+    """Mine rules from a profile that has passed a support filter (``min_abs`` set); pairs stay within ``by``.
+
+    Several window sizes are mined in one run: the size is one more key of the join, and of the rules, as ``num_bins``.
+    """
+    if not isinstance(num_bins, int):
+        profile = profile.withColumn("num_bins", F.explode(F.array(*[F.lit(width) for width in _widths(num_bins)])))
+        by = [*by, "num_bins"]
     classes, members = position_classes(profile, by, num_bins, boundary_expiry)
-    candidates = candidate_pairs(classes, by, num_bins, min_conf, extra, layout)
-    rules = class_rules(classes, candidates, by, num_bins, min_conf, tail_prune)
+    widest = classes.agg(F.max("n_points")).first()[0] if layout in ("auto", "words") else None
+    if widest is not None and widest <= WORD:
+        rules = word_rules(classes, by, num_bins, min_conf, tail_prune)
+    else:
+        candidates = candidate_pairs(classes, by, num_bins, min_conf, extra, layout)
+        rules = class_rules(classes, candidates, by, num_bins, min_conf, tail_prune)
     return RuleSet(materialize(rules, "class-rules"), members, tuple(by))
 
 

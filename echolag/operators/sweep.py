@@ -65,7 +65,7 @@ def mine_sweep(
 
     ``occurrences(period, change_id, tp)`` comes from ``split_by_period``, ``timepoints(period, tp, tp_idx, days)``
     from ``period_domain``. Both changes of a rule lie in the same period, category and band, so these are just
-    further keys of one join.
+    further keys of one join, and so is the window size.
     """
     by = ["period"]
     changes = occurrences
@@ -74,18 +74,13 @@ def mine_sweep(
         by = ["period", "category"]
     profile = profile_changes(changes, timepoints, by, domain_by=["period"])
     days = timepoints.select("period", "days").distinct()
-    # one profile serves all window sizes
     banded = materialize(assign_bands(lookup(profile, days, ["period"]), hourly=granularity == "h"), "banded")
-    found = None
-    for bins in num_bins or WINDOWS[granularity]:
-        rules = mine_profile(
-            banded,
-            num_bins=bins,
-            min_conf=min_conf,
-            by=[*by, "band"],
-            boundary_expiry=boundary_expiry,
-            tail_prune=tail_prune,
-        ).expand()
-        rules = rules.withColumn("num_bins", F.lit(bins))
-        found = rules if found is None else found.unionByName(rules)
-    return found
+    # period, category, band and window size are keys of one join
+    return mine_profile(
+        banded,
+        num_bins=list(num_bins or WINDOWS[granularity]),
+        min_conf=min_conf,
+        by=[*by, "band"],
+        boundary_expiry=boundary_expiry,
+        tail_prune=tail_prune,
+    ).expand()
