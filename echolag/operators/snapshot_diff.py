@@ -30,9 +30,13 @@ class SnapshotChanges:
     def _pairs(self) -> DataFrame:
         """The rows that differ, written once for all that is asked for."""
         differing = F.filter("new", lambda fields: fields != F.col("old"))
-        pairs = _row_pairs(self.snapshots, self.timeline).withColumn("differing", differing)
+        pairs = _row_pairs(self.snapshots, self.timeline).withColumn(
+            "differing", F.when(F.col("old_width").isNotNull(), differing)
+        )
         touched = F.col("old_width").isNull() | F.col("new_width").isNull() | F.col("lost") | (F.size("differing") > 0)
-        return materialize(pairs.where(touched).drop("new"), "row-pairs")
+        # of a row with one side only its width matters, and of one with equal fields too
+        compared = F.when(F.size("differing") > 0, F.col("old"))
+        return materialize(pairs.where(touched).withColumn("old", compared).drop("new"), "row-pairs")
 
     @cached_property
     def field_changes(self) -> DataFrame:
@@ -55,12 +59,13 @@ def versions(
     The version before is the latest strictly earlier date, back to ``base_date``. Changes are reported from ``start``
     on, but never for ``base_date`` itself.
     """
-    light = snapshots.select("table_id", "snapshot_date", "attributes")
+    carried = [c for c in ("carried",) if c in snapshots.columns]
+    light = snapshots.select("table_id", "snapshot_date", "attributes", *carried)
     if base_date:
         light = light.where(F.col("snapshot_date") >= F.lit(base_date).cast("date"))
     if end:
         light = light.where(F.col("snapshot_date") <= F.lit(end).cast("date"))
-    reported = F.lit(True)
+    reported = ~F.col("carried") if "carried" in light.columns else F.lit(True)
     if start:
         reported = reported & (F.col("snapshot_date") >= F.lit(start).cast("date"))
     if base_date:
@@ -72,7 +77,25 @@ def versions(
         F.lead("snapshot_date").over(order).alias("next_date"),
         F.lag("attributes").over(order).alias("prev_attributes"),
         reported.alias("reported"),
-    )
+    ).drop(*carried)
+
+
+def last_versions(snapshots: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """The last version of each table, of ``previous`` where no newer one came; the state that a later diff goes on from."""
+    whole = snapshots.select("table_id", "snapshot_date", "attributes", "rows")
+    if previous is not None:
+        whole = whole.unionByName(previous.select(whole.columns))
+    last = whole.groupBy("table_id").agg(F.max("snapshot_date").alias("snapshot_date"))
+    return whole.join(last, ["table_id", "snapshot_date"], "left_semi").dropDuplicates(["table_id"])
+
+
+def _newer(snapshots: DataFrame, previous: DataFrame) -> DataFrame:
+    """``previous`` as versions that are compared with but not reported, and the versions that are newer than these."""
+    columns = ["table_id", "snapshot_date", "attributes", "rows"]
+    known = previous.select("table_id", F.col("snapshot_date").alias("_last"))
+    newer = lookup(snapshots.select(columns), known, ["table_id"], "left")
+    newer = newer.where("_last IS NULL OR snapshot_date > _last").select(*columns, F.lit(False).alias("carried"))
+    return newer.unionByName(previous.select(*columns, F.lit(True).alias("carried")))
 
 
 def select_tables(
@@ -149,15 +172,43 @@ def _row_pairs(snapshots: DataFrame, timeline: DataFrame) -> DataFrame:
     )
 
 
-def _field_changes(pairs: DataFrame, timeline: DataFrame, distinguish_null: bool) -> DataFrame:
+def _alignment(timeline: DataFrame) -> DataFrame:
+    """(table_id, date, attributes, prev, moves, gone) of the reported versions.
+
+    ``moves`` gives for each place of a column its first place in the version before, or -1; it is null where every column
+    has kept its place. ``gone`` lists the places and names of columns that are no longer there. Columns are matched by one
+    join over all versions whose lists differ, so the work grows with the columns and not with their square.
+    """
+    key = ["table_id", "date"]
     lists = timeline.where("reported").select(
         "table_id",
         F.col("snapshot_date").alias("date"),
         "attributes",
         F.coalesce("prev_attributes", F.array().cast("array<string>")).alias("prev"),
+        F.col("prev_attributes").isNotNull().alias("_had"),
     )
-    key = ["table_id", "date"]
-    opened = join_heavy(pairs, lists, key)
+    kept = (F.col("attributes") == F.col("prev")) & (F.size(F.array_distinct("attributes")) == F.size("attributes"))
+    # tables without an earlier version have nothing to be aligned with
+    differing = lists.where(~kept & F.col("_had"))
+    lists = lists.drop("_had")
+    none = F.array().cast("array<struct<place:int,name:string>>")
+    if differing.isEmpty():
+        return lists.select("*", F.lit(None).cast("array<int>").alias("moves"), none.alias("gone"))
+    new = differing.select(*key, F.posexplode("attributes").alias("place", "name"))
+    old = differing.select(*key, F.posexplode("prev").alias("place", "name"))
+    first = old.groupBy(*key, "name").agg(F.min("place").alias("old_place"))
+    placed = new.join(first, [*key, "name"], "left").select(
+        *key, F.struct("place", F.coalesce("old_place", F.lit(-1)).alias("old_place")).alias("move")
+    )
+    # a version has as many entries as columns
+    moves = placed.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list("move")), lambda m: m["old_place"]).alias("moves"))
+    lost = old.join(new.select(*key, "name").distinct(), [*key, "name"], "left_anti")
+    gone = lost.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("place", "name"))).alias("gone"))
+    return lookup(lookup(lists, moves, key, "left"), gone, key, "left").withColumn("gone", F.coalesce("gone", none))
+
+
+def _field_changes(pairs: DataFrame, timeline: DataFrame, distinguish_null: bool) -> DataFrame:
+    opened = join_heavy(pairs, materialize(_alignment(timeline), "alignment"), ["table_id", "date"])
 
     def change(kind: Column, column: Column) -> Column:
         return F.struct(kind.alias("change_type"), column.alias("column_id"))
@@ -165,22 +216,20 @@ def _field_changes(pairs: DataFrame, timeline: DataFrame, distinguish_null: bool
     width = F.when(F.col("new_table"), F.size("attributes")).otherwise(F.col("new_width"))
     inserted = F.transform(F.slice("attributes", F.lit(1), width), lambda a: change(F.lit("insert"), a))
     deleted = F.transform(F.slice("prev", F.lit(1), F.col("old_width")), lambda a: change(F.lit("delete"), a))
-    gone = F.transform(
-        F.array_except(F.slice("prev", F.lit(1), F.col("old_width")), "attributes"),
-        lambda a: change(F.lit("delete"), a),
-    )
+    # a short row ends before the last columns
+    lost = F.filter("gone", lambda g: g["place"] < F.col("old_width"))
+    gone = F.transform(lost, lambda g: change(F.lit("delete"), g["name"]))
 
     def compare(fields: Column) -> Column:
         def one(value: Column, place: Column) -> Column:
-            attribute = F.get("attributes", place)
-            old_place = F.array_position("prev", attribute)
-            before = F.get("old", (old_place - 1).cast("int"))
-            kind = F.when(old_place == 0, F.lit("insert")).when(value != before, _typed(value, before, distinguish_null))
-            return change(kind, attribute)
+            old_place = F.when(F.col("moves").isNull(), place).otherwise(F.get("moves", place))
+            before = F.get("old", F.greatest(old_place, F.lit(0)))
+            kind = F.when(old_place < 0, F.lit("insert")).when(value != before, _typed(value, before, distinguish_null))
+            return change(kind, F.get("attributes", place))
 
         return F.filter(F.transform(fields, one), lambda c: c["change_type"].isNotNull())
 
-    compared = F.flatten(F.transform("differing", compare))
+    compared = F.flatten(F.transform(F.coalesce("differing", F.array().cast("array<array<string>>")), compare))
     changes = (
         F.when(F.col("old_width").isNull(), inserted)
         .when(F.col("new_width").isNull(), deleted)
@@ -242,13 +291,19 @@ def find_changes(
     base_date: str | None = None,
     distinguish_null: bool = False,
     selected: DataFrame | None = None,
+    previous: DataFrame | None = None,
 ) -> SnapshotChanges:
     """Field changes and column, row and table events between each version and the one before.
 
+    With ``previous``, the state that ``last_versions`` gave after earlier dates, only newer versions are diffed and
+    reported; versions that the state has or is newer than are left out, so a batch that comes again adds nothing.
+
     ``selected`` (see ``select_tables``) limits which versions are reported, not which serve as the version before. A
     row that survives with equal fields gets no insert for a new column and no update for a reordered one; a column
     that disappears is still deleted from it.
     """
+    if previous is not None:
+        snapshots = materialize(_newer(snapshots, previous), "batch")
     timeline = versions(snapshots, start, end, base_date)
     if selected is not None:
         marked = selected.select("snapshot_date", "table_id", F.lit(True).alias("_chosen"))

@@ -17,6 +17,7 @@ from .mined import (
     write_timepoints_json,
 )
 from .tables import (
+    bad_snapshots,
     read_change_csv,
     read_change_log,
     read_download_log,
@@ -24,14 +25,19 @@ from .tables import (
     read_entity_events_csv,
     read_snapshots,
     read_table_list,
+    read_versions,
     write_change_csv,
     write_change_log,
+    write_download_log,
     write_entity_changes_csv,
     write_entity_events_csv,
     write_new_tables,
+    write_snapshots,
+    write_versions,
 )
 
 __all__ = [
+    "bad_snapshots",
     "read_change_csv",
     "read_change_log",
     "read_download_log",
@@ -46,8 +52,10 @@ __all__ = [
     "read_snapshots",
     "read_table_list",
     "read_timepoints_json",
+    "read_versions",
     "write_change_csv",
     "write_change_log",
+    "write_download_log",
     "write_entity_changes_csv",
     "write_entity_events_csv",
     "write_list_map",
@@ -59,5 +67,7 @@ __all__ = [
     "write_rules",
     "write_rules_csv",
     "write_scores",
+    "write_snapshots",
     "write_timepoints_json",
+    "write_versions",
 ]

@@ -11,17 +11,38 @@ from ..schemas import CHANGE_TYPES, SNAPSHOT_JSON
 _DATE_IN_PATH = r"(\d{4}-\d{2}-\d{2})"
 
 
+def _snapshot_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Every document below ``root`` with the date and table that its path names; of a broken one ``broken`` has the text.
+
+    Paths are ``<date>/<table>.json?`` as other tools write them, or ``snapshot_date=<date>/table_id=<table>/…`` as
+    ``write_snapshots`` does. Spark reads as many small files in one task as fit into ``spark.sql.files.maxPartitionBytes``.
+    """
+    schema = SNAPSHOT_JSON + ", broken STRING"
+    documents = spark.read.schema(schema).json(
+        root, multiLine=True, recursiveFileLookup=True, pathGlobFilter="*.json*", columnNameOfCorruptRecord="broken"
+    )
+    path = F.col("_metadata.file_path")
+    dated = F.coalesce(*[
+        F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
+        for pattern in ("/snapshot_date=" + _DATE_IN_PATH + "/", _DATE_IN_PATH + "/[^/]*$")
+    ])
+    named = F.coalesce(
+        F.nullif(F.url_decode(F.regexp_extract(path, "/table_id=([^/]*)/[^/]*$", 1)), F.lit("")),
+        F.regexp_replace(F.url_decode(F.substring_index(path, "/", -1)), r"\.json\??$", ""),
+    )
+    return documents.select(
+        dated.cast("date").alias("snapshot_date"), named.alias("table_id"), "attributes", "rows", "broken", path.alias("file")
+    )
+
+
 def read_snapshots(spark: SparkSession, root: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Read ``<root>/<YYYY-MM-DD>/<table>.json?``, one JSON document per table version.
+    """Read one JSON document per table version; see ``bad_snapshots`` for files that are none.
 
     Field values become the text of their JSON scalar, so that ``"1"`` and ``1`` differ while ``1`` and ``1.0`` do not.
     """
-    path = F.col("_metadata.file_path")
-    name = F.url_decode(F.substring_index(path, "/", -1))
-    documents = spark.read.schema(SNAPSHOT_JSON).json(f"{root.rstrip('/')}/*/*.json?", multiLine=True)
-    snapshots = documents.select(
-        F.regexp_extract(path, _DATE_IN_PATH + "/[^/]*$", 1).cast("date").alias("snapshot_date"),
-        F.regexp_replace(name, r"\.json\?$", "").alias("table_id"),
+    snapshots = _snapshot_documents(spark, root).where("broken IS NULL AND snapshot_date IS NOT NULL").select(
+        "snapshot_date",
+        "table_id",
         F.transform("attributes", lambda a: a["id"]).alias("attributes"),
         F.transform(
             "rows",
@@ -35,6 +56,38 @@ def read_snapshots(spark: SparkSession, root: str, start: str | None = None, end
     return snapshots
 
 
+def bad_snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """(file, reason) of the files below ``root`` that ``read_snapshots`` leaves out: no document, or no date in the path."""
+    documents = _snapshot_documents(spark, root)
+    reason = F.when(F.col("broken").isNotNull(), F.lit("not a document")).when(F.col("snapshot_date").isNull(), F.lit("no date"))
+    return documents.select("file", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def write_snapshots(snapshots: DataFrame, root: str, mode: str = "overwrite") -> None:
+    """One JSON document per table version, in folders by date and table."""
+    documents = snapshots.select(
+        "snapshot_date",
+        "table_id",
+        F.transform("attributes", lambda a: F.struct(a.alias("id"))).alias("attributes"),
+        F.transform(
+            "rows",
+            lambda r: F.struct(r["id"].alias("id"), F.transform(r["fields"], lambda v: F.parse_json(v)).alias("fields")),
+        ).alias("rows"),
+    )
+    placed = documents.repartition("snapshot_date", "table_id")
+    placed.write.mode(mode).partitionBy("snapshot_date", "table_id").json(root, ignoreNullFields=False)
+
+
+def write_versions(last: DataFrame, path: str) -> None:
+    """Keep the state of a diff, as ``last_versions`` gives it, in a folder of its own for each state."""
+    last.write.mode("overwrite").parquet(path)
+
+
+def read_versions(spark: SparkSession, path: str) -> DataFrame:
+    """Read what ``write_versions`` wrote."""
+    return spark.read.parquet(path).select("table_id", "snapshot_date", "attributes", "rows")
+
+
 def write_change_log(field_changes: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Field changes as Parquet, one folder per date."""
     field_changes.write.mode(mode).partitionBy("date").parquet(path)
@@ -139,7 +192,16 @@ def write_new_tables(new_tables: DataFrame, path: str, mode: str = "overwrite")
 
 
 def read_download_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of ``<domain>_urls.log`` files as (file_name, line)."""
-    return spark.read.text(path, pathGlobFilter="*.log").select(
-        F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("line")
+    """Lines of ``<domain>_urls.log`` files as (file_name, line); the name may also be a folder, as the sink writes it."""
+    file = F.col("_metadata.file_path")
+    folder = F.nullif(F.url_decode(F.regexp_extract(file, "/file_name=([^/]*)/[^/]*$", 1)), F.lit(""))
+    lines = spark.read.text(path, recursiveFileLookup=True).select(
+        F.coalesce(folder, F.col("_metadata.file_name")).alias("file_name"), F.col("value").alias("line")
     )
+    return lines.where(F.col("file_name").endswith(".log"))
+
+
+def write_download_log(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Log lines, in one folder per log file."""
+    name = F.substring_index("file_name", "/", -1).alias("file_name")
+    lines.select(F.col("line").alias("value"), name).write.mode(mode).partitionBy("file_name").text(path)

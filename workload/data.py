@@ -96,14 +96,14 @@ def valued_event_types(spark: SparkSession, sf: str) -> DataFrame:
 # -- snapshots ---------------------------------------------------------------------------------------------------------
 
 
-def snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    """A supplier's shipments of a month as a table: line number × (return flag, status) with the quantity.
+def snapshots(spark: SparkSession, sf: str, unit: str = "month") -> DataFrame:
+    """A supplier's shipments of a month (or another ``unit``) as a table: line number × (return flag, status) with the quantity.
 
     Missing cells are null, cells without discount hold the null mark ``"-"``.
     """
     items = table(spark, sf, "lineitem").select(
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("table_id"),
-        F.trunc(F.to_date("l_shipdate"), "month").alias("snapshot_date"),
+        F.trunc(F.to_date("l_shipdate"), unit).alias("snapshot_date"),
         F.col("l_linenumber").cast("string").alias("row_id"),
         F.concat("l_returnflag", "l_linestatus").alias("column_id"),
         "l_quantity",
