@@ -15,6 +15,9 @@ How the work is laid out:
   same cell, so pairs are counted without a shuffle of pair rows. Where few changes share a time point, copying rows
   per block would cost more than the pairs do; then the join runs by time point, with busy points cut into a grid.
 * The pairs that pass get the exact lag histogram from the two classes' position lists.
+* Where many changes share the time points of a domain of up to ``MAX_WORDS`` words of 64 positions, pairs are joined by a
+  few wide segments of the timeline, met at their first common one only, and kept by a bound that takes one AND and
+  ``bit_count`` per word: a match needs an open antecedent occurrence with a consequent's in the window behind it.
 * A domain of up to 64 positions fits into one word. Then every class carries one bitmap per lag, and a pair is counted by
   AND and ``bit_count`` right where the join by cell and time point meets it first, so pairs are neither counted up nor
   written before they are known to be rules.
@@ -47,6 +50,8 @@ POINT_ROWS = 2_000
 RULE_CELL_PAIRS = 500_000
 # positions of a domain whose bitmaps fit into one word
 WORD = 64
+# most words of the bitmaps that candidates are found with
+MAX_WORDS = 32
 # members of a class that stay together when rules are written out
 MEMBER_CHUNK = 10_000
 
@@ -300,23 +305,25 @@ def candidate_pairs(
 ) -> DataFrame:
     """Class pairs whose matches at the probed occurrences are enough for a rule. No rule is lost.
 
-    ``layout`` is ``blocks``, ``points``, or ``auto`` for the one that moves fewer rows.
+    ``layout`` is ``bitmaps``, ``blocks``, ``points``, or ``auto`` for the one that moves fewer rows.
     """
     by = list(by)
     probes = materialize(_probes(classes, by, num_bins, min_conf, extra), "probes")
     pairs = probes.agg(F.sum("load")).first()[0] or 0
     passes = math.ceil(2 * pairs / CELL_ROWS / MAX_CELLS)
     if passes <= 1:
-        return materialize(_candidates(classes, probes, by, layout), "candidates")
+        return materialize(_candidates(classes, probes, by, num_bins, layout), "candidates")
     found = None
     for k in range(passes):
         part = probes.where(F.pmod(F.xxhash64(F.lit("pass"), "class_id"), F.lit(passes)) == k)
-        some = materialize(_candidates(classes, part, by, layout), "candidates")
+        some = materialize(_candidates(classes, part, by, num_bins, layout), "candidates")
         found = some if found is None else found.unionByName(some)
     return found
 
 
-def _candidates(classes: DataFrame, probes: DataFrame, by: list[str], layout: str) -> DataFrame:
+def _candidates(
+    classes: DataFrame, probes: DataFrame, by: list[str], num_bins: int | Sequence[int], layout: str
+) -> DataFrame:
     work = probes.groupBy(*by).agg(
         F.sum("load").alias("pairs"), F.sum(F.col("hi") - F.col("idx")).alias("rows")
     )
@@ -342,7 +349,12 @@ def _candidates(classes: DataFrame, probes: DataFrame, by: list[str], layout: st
     side = max(1, math.ceil(math.sqrt(most / CELL_ROWS)))
     parallel = classes.sparkSession.sparkContext.defaultParallelism
     partitions = max(parallel, 2 * math.ceil(pairs / CELL_ROWS))
-    if layout == "blocks" or (layout == "auto" and (side == 1 or 2 * rows * side < pairs)):
+    dense = side == 1 or 2 * rows * side < pairs
+    if layout == "bitmaps" or (layout == "auto" and dense):
+        n_points = classes.agg(F.max("n_points")).first()[0] or 0
+        if n_points <= WORD * MAX_WORDS:
+            return _bitmap_candidates(classes, probes, by, num_bins, n_points, work, pairs, side, partitions)
+    if layout in ("blocks", "bitmaps") or (layout == "auto" and dense):
         side = max(side, math.isqrt(parallel - 1) + 1 if pairs > CELL_ROWS // 10 and not by else 1)
         blocks: DataFrame | int = side
         if by and side > 1:
@@ -373,6 +385,76 @@ def _candidates(classes: DataFrame, probes: DataFrame, by: list[str], layout: st
     )
 
 
+def _bitmap_candidates(
+    classes: DataFrame,
+    probes: DataFrame,
+    by: list[str],
+    num_bins: int | Sequence[int],
+    n_points: int,
+    work: DataFrame,
+    pairs: int,
+    side: int,
+    partitions: int,
+) -> DataFrame:
+    """Class pairs with enough open antecedent occurrences that have a consequent's occurrence in the window behind them."""
+    words = range(math.ceil(n_points / WORD))
+    # at most 64 segments, so that a class's segments are one word
+    length = max(*_widths(num_bins), math.ceil(n_points / WORD), 1)
+
+    def segment(place: Column) -> Column:
+        return F.floor(place / length).cast("int")
+
+    def word(places: str, k: int) -> Column:
+        inside = F.filter(places, lambda p: F.floor(p / WORD) == k)
+        return _bits(F.transform(inside, lambda p: p - WORD * k))
+
+    probed = probes.select(
+        "class_id", "theta", F.explode(F.sequence(segment(F.col("idx")), segment(F.col("hi") - 1))).alias("segment")
+    )
+    probed = probed.groupBy("class_id", "theta").agg(F.collect_set("segment").alias("segments"))
+    opened = F.transform(F.filter("points", lambda p: p["open"]), lambda p: p["idx"])
+    left = classes.join(probed, "class_id").select(
+        *by, F.col("class_id").alias("a"), F.col("size").alias("size_a"), "theta", "segments", opened.alias("opened")
+    )
+    left = left.select(
+        *by, "a", "size_a", "theta", "segments", _bits(F.col("segments")).alias("cover"), *[word("opened", k).alias(f"a_{k}") for k in words]
+    ).withColumn("segment", F.explode("segments"))
+    left = left.withColumn("below", F.col("cover").bitwiseAND(_below(F.col("segment")))).drop("segments", "cover")
+
+    width = _width(num_bins)
+    ahead = F.flatten(F.transform("points.idx", lambda i: F.sequence(F.greatest(i - width + 1, F.lit(0)), i)))
+    right = classes.select(
+        *by,
+        F.col("class_id").alias("c"),
+        F.col("n").alias("n_c"),
+        F.array_distinct(F.transform("points.idx", segment)).alias("segments"),
+        F.array_distinct(ahead).alias("ahead"),
+    )
+    right = right.select(
+        *by, "c", "n_c", "segments", _bits(F.col("segments")).alias("met"), *[word("ahead", k).alias(f"d_{k}") for k in words]
+    ).withColumn("segment", F.explode("segments"))
+    right = right.drop("segments")
+
+    parallel = classes.sparkSession.sparkContext.defaultParallelism
+    side = max(side, math.isqrt(parallel - 1) + 1 if pairs > CELL_ROWS // 10 and not by else 1)
+    blocks: DataFrame | int = side
+    if by and side > 1:
+        blocks = work.where(F.col("pairs") > CELL_ROWS).select(
+            *by, F.ceil(F.sqrt(F.col("pairs") / CELL_ROWS)).cast("int").alias("_blocks")
+        )
+    left, right, cell = _in_blocks(left, right, by, blocks, partitions)
+    left, right = left.alias("l"), right.alias("r")
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*cell, *by, "segment"]]
+    bound = sum((F.bit_count(F.col(f"a_{k}").bitwiseAND(F.col(f"d_{k}"))) for k in words), F.lit(0))
+    fits = (
+        (F.col("below").bitwiseAND(F.col("met")) == 0)
+        & (F.col("n_c") >= F.col("theta"))
+        & ((F.col("a") != F.col("c")) | (F.col("size_a") > 1))
+        & (bound >= F.col("theta"))
+    )
+    return left.join(right, [*same, fits]).select("a", "c")
+
+
 def _bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
 

@@ -56,20 +56,20 @@ def mine(spark, changes, n_points, bins, **kw):
     return as_dict(mining.mine_rules(occurrences, timepoints, num_bins=bins, **kw))
 
 
-@pytest.fixture(params=["blocks", "points", "grid", "words"])
+@pytest.fixture(params=["blocks", "points", "grid", "words", "bitmaps"])
 def layout(request, monkeypatch):
     """Each physical layout of the join; the limits are set so low that cells, grids and member chunks are in use."""
     monkeypatch.setattr(mining, "CELL_ROWS", 500)
     if request.param == "grid":
         monkeypatch.setattr(mining, "POINT_ROWS", 3)
         monkeypatch.setattr(mining, "MEMBER_CHUNK", 2)
-    return request.param if request.param in ("blocks", "words") else "points"
+    return request.param if request.param in ("blocks", "words", "bitmaps") else "points"
 
 
 @pytest.mark.parametrize("seed", range(2))
 def test_random_against_brute_force(spark, layout, seed):
     rng = random.Random(seed)
-    n_points, bins = rng.choice([(20, 4), (40, 5), (60, 7), (64, 9)])
+    n_points, bins = rng.choice([(20, 4), (40, 5), (60, 7), (64, 9), (150, 6)])
     changes = {f"c{i}": set(rng.sample(range(n_points), rng.randint(1, n_points // 2))) for i in range(18)}
     # gaps of exactly one window, copies, and a point that everything shares
     changes["run"] = set(range(0, n_points, bins))
