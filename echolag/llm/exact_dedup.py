@@ -4,11 +4,13 @@
    written to the shared folder.
 2. Directory: distinct keys are counted by their leading bits. The directory begins with one slot and doubles while a
    bucket holds more than ``BUCKET_KEYS`` keys; only overfull buckets are split, so a bucket has its own depth and covers
-   a range of keys. Copies of one text share a key, so no number of copies can overfill a bucket.
-3. Insertion: texts go to the task that owns their key range. Copies that one task reads meet before the shuffle, so a hot
-   text reaches its owner once per task. Owners chain the texts of a key and compare their bytes; each text is one entry of
-   the index, which is written out in the order of buckets and keys.
-4. Every light entry looks its text up in the index.
+   a range of keys. Copies of one text share a key, so no number of copies can overfill a bucket. At the deepest level a
+   bucket is not split any more: its further keys chain on to it.
+3. Insertion: the directory gives the slot's bucket and the owner task of the bucket; owners have ranges of whole buckets
+   with about equally many keys. Copies that one task reads meet before the shuffle, so a hot text reaches its owner once
+   per task. Owners chain the texts of a key and compare their bytes; each text is one entry of the index, which is written
+   out in the order of buckets and keys.
+4. Every light entry looks its text up in its bucket of the index.
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import join_heavy
+from ..functions import join_heavy, lookup
 from ..session import materialize
+from .rows import numbered, one_of_each
 from .text import collapsed, text_or_empty
 
 # most keys of a bucket, unless it has the deepest level
-BUCKET_KEYS = 500_000
+BUCKET_KEYS = 2_000
 # deepest level of the directory; it has at most 2 ** MAX_DEPTH slots, a few MB
-MAX_DEPTH = 16
+MAX_DEPTH = 18
 # bytes of repeated texts that a task holds back, to send each of them once
 HELD_BYTES = 32 << 20
 
@@ -62,6 +65,18 @@ def directory(counts: dict[int, int], deepest: int, most: int) -> tuple[int, lis
     return depth, slots
 
 
+def bucket_owners(counts: dict[int, int], deepest: int, depth: int, slots: list[int], n_owners: int) -> list[int]:
+    """The owner of each bucket: ranges of whole buckets with about equally many keys."""
+    sizes = [0] * (slots[-1] + 1)
+    for slot, n in counts.items():
+        sizes[slots[slot >> (deepest - depth)]] += n
+    total, before, owners = max(1, sum(sizes)), 0, []
+    for size in sizes:
+        owners.append(min(n_owners - 1, (2 * before + size) * n_owners // (2 * total)))
+        before += size
+    return owners
+
+
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per text of a batch, with the least id and the number of copies.
 
@@ -103,7 +118,7 @@ def _entries(docs: DataFrame, text: str) -> DataFrame:
 
 
 def build_index(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The light entries (doc_id, key, text_sha256, n_bytes), and the index with one row per distinct text."""
+    """The light entries (doc_id, key, text_sha256, n_bytes, bucket), and the index with one row per distinct text."""
     entries = _entries(docs, text)
     light = materialize(
         entries.select("doc_id", "key", F.sha2("body", 256).alias("text_sha256"), F.octet_length("body").alias("n_bytes")),
@@ -114,19 +129,23 @@ def build_index(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFra
     deepest = min(MAX_DEPTH, max(0, (total // BUCKET_KEYS).bit_length() + 3))
     # at most 2 ** MAX_DEPTH rows
     counted = keys.groupBy(_slot(F.col("key"), deepest).alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()
-    depth, slots = directory({row["slot"]: row["n"] for row in counted}, deepest, BUCKET_KEYS)
-    bucket = F.get(F.lit(slots), _slot(F.col("key"), depth)).cast("int").alias("bucket")
-
-    # owners take equal ranges of keys, as many as there are shuffle partitions
+    counts = {row["slot"]: row["n"] for row in counted}
+    depth, slots = directory(counts, deepest, BUCKET_KEYS)
     n_owners = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    owner = (_slot(F.col("key"), 31).cast("bigint") * n_owners / F.lit(2.0**31)).cast("int").alias("owner")
+    owners = bucket_owners(counts, deepest, depth, slots, n_owners)
+    table = [(slot, bucket, owners[bucket]) for slot, bucket in enumerate(slots)]
+    placed = docs.sparkSession.createDataFrame(table, "slot int, bucket int, owner int")
+
+    def in_bucket(rows: DataFrame) -> DataFrame:
+        return lookup(rows.withColumn("slot", _slot(F.col("key"), depth)), placed, ["slot"])
+
     body = F.col("body").cast("binary").alias("body")
-    rows = entries.select(owner, bucket, "key", body, "doc_id", F.lit(1).cast("bigint").alias("n"))
+    rows = in_bucket(entries).select("owner", "bucket", "key", body, "doc_id", F.lit(1).cast("bigint").alias("n"))
     sent = rows.mapInArrow(_combine, rows.schema).repartitionById(n_owners, "owner")
     # the owner's hash table chains keys that collide and compares their bytes
     index = sent.groupBy("owner", "bucket", "key", "body").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
     index = index.select("owner", "bucket", "key", F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size")
-    return light, materialize(index.sortWithinPartitions("bucket", "key"), "index")
+    return in_bucket(light).drop("slot", "owner"), materialize(index.sortWithinPartitions("bucket", "key"), "index")
 
 
 def find_copies(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -138,17 +157,18 @@ def find_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     id. Long texts are compared whole. An empty table gives an empty table; other columns are ignored.
     """
     light, index = build_index(docs, text)
-    found = index.select("key", "text_sha256", "keep_id", "group_size")
-    weights = index.select("key", "text_sha256", F.col("group_size").alias("weight"))
-    looked_up = join_heavy(light, found, ["key", "text_sha256"], weights=weights)
+    place = ["bucket", "key", "text_sha256"]
+    found = index.select(*place, "keep_id", "group_size")
+    weights = index.select(*place, F.col("group_size").alias("weight"))
+    looked_up = join_heavy(light, found, place, weights=weights)
     return looked_up.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
 def drop_copies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; see ``find_copies``."""
-    gone = materialize(find_copies(docs, text).where("NOT kept").select("doc_id", "text_sha256").distinct(), "copies")
-    marked = docs.withColumn("_sha256", F.sha2(collapsed(text_or_empty(text)), 256))
-    same = marked["doc_id"].eqNullSafe(gone["doc_id"]) & (marked["_sha256"] == gone["text_sha256"])
-    return marked.join(gone, same, "left_anti").drop("_sha256")
+    """One row of each group of equal texts, with all its columns: that with the least ``doc_id``, nulls last, of these the
+    first. Rows that repeat an id with an equal text are copies too."""
+    placed, row = numbered(docs)
+    found = find_copies(placed.select(F.col(row).alias("doc_id"), F.col(text).alias("text")))
+    return one_of_each(placed, row, found.select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group")))

@@ -26,7 +26,7 @@ from .arrow import byte_buffer, pieces, text_bytes
 
 ORDER = 4
 TRAIN_ROWS = 1_500
-# most contexts of one order and language
+# size of the model: a tree keeps the contexts with 1 / CONTEXTS of its language's bytes, so at most so many of one order
 CONTEXTS = 2_000
 # bytes that come before a text and, for the scoring, part the texts of a batch
 _START = 0x20

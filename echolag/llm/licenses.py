@@ -7,9 +7,9 @@ happens inside the row, in one pass over the texts.
 
 A licence that no unit shows may still lie inside a longer line or paragraph, or run over several. So the whole text is also
 searched for windows of words. At least ``t`` needs t / (2 - t) of a template's pairs to be there, hence some of its longest
-pairs, of which a text is asked first. Templates of up to ``EXACT_PAIRS`` pairs are compared with every window that can be
-best: one that begins and ends with runs of the template's pairs, of a size within the bounds above. Longer ones, whole
-licences, are compared with the window in which 2 |A ∩ B| - t |A|, counted by occurrence, is largest.
+pairs, of which a text is asked first; units and windows are compared only with templates whose pairs are there. A template is
+compared with every window that can be best: one that begins and ends with runs of the template's pairs, of a size within the
+bounds above. That holds for notices and for whole licences, however many of them a text has.
 
 Of windows of several licences that overlap the one with most words in common counts: a shorter notice inside a longer licence
 says nothing of its own, in a unit neither. Where a text names another version or variant after the same word (version 2 for version 3, NC-SA for NC), it does not match.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .text import text_or_empty
 
 THRESHOLD = 0.8
-# templates of at most so many pairs are compared with every window that can be best
-EXACT_PAIRS = 300
+# a template with more pairs is a whole licence, which speaks of other versions and variants too
+WHOLE_PAIRS = 300
 # a window is judged with so many more words on either side, where a version or variant may follow
 MARGIN = 3
 
@@ -181,7 +181,7 @@ def _marks(pairs: list[str]) -> tuple[list[str], list[str], list[str]]:
     A whole licence speaks of others too; there only its version counts.
     """
     numbered = [p for p in pairs if re.fullmatch(_NUMBERED, p)]
-    if len(pairs) > EXACT_PAIRS:
+    if len(pairs) > WHOLE_PAIRS:
         return [p for p in numbered if p.startswith("version ")], [], []
     words = {w for p in pairs for w in p.split()}
     family = set().union(*(f for f, signs in zip(_FAMILIES, (["gnu"], ["cc", "commons"]), strict=True) if words & {*signs}))
@@ -232,54 +232,62 @@ def _agrees(pairs: Column, t: Column) -> Column:
     return ~_let(numbered, other_version) & ((F.size(t["family"]) == 0) | (named == t["variants"])) & same_version
 
 
-def _windows(words: Column, t: Column, low: float) -> Column:
-    """(first pair, last pair) of the windows that begin and end with runs of the template's pairs."""
+def _windows(words: Column, t: Column, threshold: float) -> Column:
+    """(first pair, last pair) of the windows that may reach the threshold, in templates of any length.
+
+    A window begins and ends with a run of the template's pairs. A run with a gap behind it that makes up three fifths of both
+    begins no window, as the window without them is nearer, and likewise at the end.
+    """
+    low = threshold / (2 - threshold)
+    most = F.floor(t["n"] / low).cast("int") + t["repeats"]
     at = F.filter(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.array_contains(t["pairs"], _pair(words, i)))
 
-    def between_runs(at: Column) -> Column:
-        first = F.filter(at, lambda p, k: (k == 0) | (F.get(at, k - 1) != p - 1))
-        last = F.filter(at, lambda p, k: (k == F.size(at) - 1) | (F.get(at, k + 1) != p + 1))
+    def runs(at: Column) -> Column:
+        # (first place, last place, hits before, hits up to the end)
+        starts = F.filter(
+            F.transform(at, lambda p, k: F.struct(p.alias("p"), k.alias("k"))),
+            lambda s: (s["k"] == 0) | (F.get(at, s["k"] - 1) != s["p"] - 1),
+        )
 
-        def of(ends: Column) -> Column:
-            longest = F.floor(t["n"] / low).cast("int")
+        def run(s: Column, k: Column) -> Column:
+            behind = F.coalesce(F.get(starts, k + 1)["k"], F.size(at))
+            return F.struct(s["p"].alias("first"), F.get(at, behind - 1).alias("last"), s["k"].alias("before"), behind.alias("upto"))
 
-            def from_run(p: Column, k: Column) -> Column:
-                # each run has a pair at least, so no more than ``longest`` of them lie in a window. Pairs count once in a
-                # set, so a window may hold more of them than the bound: ``repeats`` for those that the template repeats
-                near = F.filter(
-                    F.slice(ends, k + 1, longest + t["repeats"] + 1),
-                    lambda e: (e - p + 1 >= low * t["n"]) & (e - p + 1 <= longest + t["repeats"]),
-                )
-                return F.transform(near, lambda e: F.struct(p.alias("first"), e.alias("last")))
+        return F.transform(starts, run)
 
-            return F.flatten(F.transform(first, from_run))
+    def between(runs: Column) -> Column:
+        def worth(r: Column, gap: Column) -> Column:
+            return gap.isNull() | ((2 - threshold) * (r["last"] - r["first"] + 1) > threshold * gap)
 
-        return _let(last, of)
+        indexed = F.transform(
+            runs,
+            lambda r, k: F.struct(
+                r.alias("r"),
+                worth(r, F.get(runs, k + 1)["first"] - r["last"] - 1).alias("begins"),
+                worth(r, r["first"] - F.when(k > 0, F.get(runs, F.greatest(k - 1, F.lit(0)))["last"]) - 1).alias("ends"),
+            ),
+        )
 
-    return _let(at, between_runs)
+        def of(indexed: Column) -> Column:
+            begins = F.filter(indexed, lambda x: x["begins"])
+            ends = F.filter(indexed, lambda x: x["ends"])
 
+            def from_run(x: Column) -> Column:
+                first = x["r"]["first"]
+                # as many of the template's pairs as a near text has; repeated ones count once, so there may be more
+                near = F.filter(
+                    ends,
+                    lambda e: (e["r"]["last"] >= first)
+                    & (e["r"]["last"] - first + 1 <= most)
+                    & (e["r"]["upto"] - x["r"]["before"] >= low * t["n"]),
+                )
+                return F.transform(near, lambda e: F.struct(first.alias("first"), e["r"]["last"].alias("last")))
 
-def _largest(words: Column, t: Column, threshold: float) -> Column:
-    """The window with the largest sum of 2 - t per pair of the template and -t per other pair, in one pass."""
-    zero = F.struct(
-        F.lit(0.0).alias("sum"), F.lit(0).alias("from"), F.lit(0.0).alias("best"), F.lit(0).alias("first"), F.lit(0).alias("last")
-    )
+            return F.flatten(F.transform(begins, from_run))
 
-    def step(a: Column, i: Column) -> Column:
-        gain = F.when(F.array_contains(t["pairs"], _pair(words, i)), F.lit(2 - threshold)).otherwise(F.lit(-threshold))
-        grown = F.when(a["sum"] > 0, a["sum"] + gain).otherwise(gain)
-        start = F.when(a["sum"] > 0, a["from"]).otherwise(i)
-        better = grown > a["best"]
-        return F.struct(
-            grown.alias("sum"),
-            start.alias("from"),
-            F.when(better, grown).otherwise(a["best"]).alias("best"),
-            F.when(better, start).otherwise(a["first"]).alias("first"),
-            F.when(better, i).otherwise(a["last"]).alias("last"),
-        )
+        return _let(indexed, of)
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size(words) - 2), zero, step)
-    return F.transform(F.array(found), lambda w: F.struct(w["first"].alias("first"), w["last"].alias("last")))
+    return _let(_let(at, runs), between)
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -369,12 +377,28 @@ def scan_licenses(
         """The score of a template, or -1 where it is below the threshold or the context disagrees."""
         return _let(dice(pairs, t), lambda d: F.when(d >= threshold, F.when(_agrees(context, t), d)).otherwise(F.lit(None)))
 
+    hits = F.array_distinct(F.expr(f"filter(transform(_words, (w, i) -> {asked}), p -> p IS NOT NULL)"))
+    rows = rows.select("doc_id", "_units", "_words", hits.alias("_hits"))
+    # few texts hold enough of a template's longest pairs; in others no unit and no window is near it
+    numbers = F.sequence(F.lit(0), F.size(known) - 1)
+
+    def here(number: Column) -> Column:
+        t = F.get(known, number)
+        return (F.size("_hits") >= t["least"]) & (F.size(F.array_intersect(F.col("_hits"), t["asked"])) >= t["least"])
+
+    none = F.array().cast("array<int>")
+    rows = rows.select("doc_id", "_units", "_words", F.when(F.size("_hits") > 0, F.filter(numbers, here)).otherwise(none).alias("_here"))
+
     def best(pairs: Column) -> Column:
-        def score(t: Column) -> Column:
+        def score(number: Column) -> Column:
+            t = F.get(known, number)
             return F.struct(F.coalesce(agreed(pairs, t, pairs), F.lit(-1.0)).alias("dice"), t["license"].alias("license"))
 
-        near = F.filter(known, lambda t: (F.size(pairs) >= low * t["n"]) & (F.size(pairs) * low <= t["n"]))
-        scored = F.filter(F.transform(near, score), lambda s: s["dice"] >= threshold)
+        def fits(number: Column) -> Column:
+            n = F.get(known, number)["n"]
+            return (F.size(pairs) >= low * n) & (F.size(pairs) * low <= n)
+
+        scored = F.filter(F.transform(F.filter("_here", fits), score), lambda s: s["dice"] >= threshold)
         # of equal scores the first licence by name
         return F.aggregate(
             scored,
@@ -384,9 +408,14 @@ def scan_licenses(
 
     found = F.filter(F.transform("_units", lambda u: _let(_pairs(u), best)), lambda s: s["dice"] >= 0)
     matches = F.transform(found, lambda s: F.struct(s["license"].alias("license"), s["dice"].alias("dice")))
-
-    hits = F.array_distinct(F.expr(f"filter(transform(_words, (w, i) -> {asked}), p -> p IS NOT NULL)"))
-    rows = rows.select("doc_id", F.size("_units").cast("long").alias("n_units"), matches.alias("_found"), "_words", hits.alias("_hits"))
+    unmatched = F.array().cast("array<struct<license:string,dice:double>>")
+    rows = rows.select(
+        "doc_id",
+        F.size("_units").cast("long").alias("n_units"),
+        F.when(F.size("_here") > 0, matches).otherwise(unmatched).alias("_found"),
+        "_words",
+        "_here",
+    )
 
     def in_windows(t: Column) -> Column:
         words = F.col("_words")
@@ -407,18 +436,11 @@ def scan_licenses(
                 ),
             )
 
-        where = F.when(t["n"] <= EXACT_PAIRS, _windows(words, t, low)).otherwise(_largest(words, t, threshold))
-        scored = F.filter(F.transform(where, score), lambda w: w["dice"].isNotNull())
+        scored = F.filter(F.transform(_windows(words, t, threshold), score), lambda w: w["dice"].isNotNull())
         # of windows of one template that overlap, the nearest
         return _let(scored, lambda all: F.filter(all, lambda w: ~F.exists(all, lambda o: _overlap(o, w) & (o["dice"] > w["dice"]))))
 
-    # few texts hold enough of a template's longest pairs
-    here = F.filter(
-        known,
-        lambda t: (F.size("_hits") >= t["least"])
-        & (F.size(F.array_intersect(F.col("_hits"), t["asked"])) >= t["least"]),
-    )
-    windows = F.when(F.size("_hits") > 0, F.flatten(F.transform(here, in_windows)))
+    windows = F.when(F.size("_here") > 0, F.flatten(F.transform("_here", lambda number: in_windows(F.get(known, number)))))
     none = F.array().cast("array<struct<license:string,dice:double,weight:double,first:int,last:int>>")
     rows = rows.select("doc_id", "n_units", "_found", F.coalesce(windows, none).alias("_windows"))
 

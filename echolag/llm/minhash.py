@@ -30,6 +30,7 @@ from ..functions import join_heavy
 from ..operators.components import connected_components
 from ..session import materialize
 from .arrow import pieces, runs, text_bytes
+from .rows import numbered, one_of_each
 
 SHINGLE = 2
 PERCENT = 80
@@ -37,6 +38,8 @@ PERMUTATIONS = 120
 ROWS = 5
 # shingles of the texts that are compared in one task at a time
 CELL_SHINGLES = 400_000
+# and most texts of a block; short texts cost comparisons, not memory
+CELL_TEXTS = 1_000
 PIVOTS = 24
 # most words whose hashes a worker keeps
 _KEPT_WORDS = 1_000_000
@@ -107,11 +110,11 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return keys.view(np.int64)
 
 
-_SIGNED = "doc_id bigint, n_shingles bigint, fingerprint binary, bands array<bigint>"
+_SIGNED = "doc_id bigint, text_key bigint, n_shingles bigint, fingerprint binary, bands array<bigint>"
 
 
 def sign(docs: DataFrame, size: int = SHINGLE, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, fingerprint of the set, bands) per row; no bands for an empty set."""
+    """(doc_id, hash of the text, n_shingles, fingerprint of the set, bands) per row; no bands for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,14 +126,16 @@ def sign(docs: DataFrame, size: int = SHINGLE, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["doc_id"],
+                        part["text_key"],
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel())),
                     ],
-                    names=["doc_id", "n_shingles", "fingerprint", "bands"],
+                    names=["doc_id", "text_key", "n_shingles", "fingerprint", "bands"],
                 )
 
-    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", f"CAST(`{text}` AS BINARY) AS text")
+    body = F.col(text).cast("binary")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(body).alias("text_key"), body.alias("text"))
     return rows.mapInArrow(run, _SIGNED)
 
 
@@ -236,28 +241,38 @@ def _parts(weight, limit: int):
 
 
 def confirmed_links(
-    docs: DataFrame, candidates: DataFrame, size: int, percent: int, text: str, cell_shingles: int
+    docs: DataFrame, candidates: DataFrame, size: int, percent: int, text: str, cell_shingles: int, repeats: bool
 ) -> DataFrame:
-    """Links between documents whose sets are near, among ``candidates(vertex, component, n_shingles)``."""
+    """Links between documents whose sets are near, among ``candidates(vertex, text_key, component, n_shingles)``.
+
+    ``repeats`` tells that rows of ``docs`` repeat an id and its text; each text is compared once.
+    """
     sizes = candidates.groupBy("component").agg(
         F.sum("n_shingles").alias("total"), F.count(F.lit(1)).alias("weight")
     )
-    sizes = materialize(sizes.withColumn("blocks", _parts(F.col("total"), cell_shingles)), "components")
-    key = ["component"]
-    weights = sizes.select(*key, "weight")
-    placed = join_heavy(candidates, sizes.select(*key, "blocks", F.col("weight").alias("n")), key, weights=weights)
+    blocks = F.greatest(_parts(F.col("total"), cell_shingles), _parts(F.col("weight"), CELL_TEXTS))
+    sizes = materialize(sizes.withColumn("blocks", blocks), "components")
+    weights = sizes.select("component", "weight")
+    placed = join_heavy(
+        candidates, sizes.select("component", "blocks", F.col("weight").alias("n")), ["component"], weights=weights
+    )
     drawn = F.xxhash64("vertex")
     # a pivot goes to every block; about PIVOTS of a component are drawn
     pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit("pivot"), "vertex"), F.col("n")) < PIVOTS)
     placed = placed.select(
         "vertex",
+        "text_key",
         "component",
         "blocks",
         pivot.alias("pivot"),
         F.pmod(drawn, F.col("blocks")).cast("int").alias("block"),
     )
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("vertex"), F.col(text).cast("binary").alias("text"))
-    members = materialize(texts.join(placed, "vertex"), "members")
+    body = F.col(text).cast("binary")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("vertex"), F.xxhash64(body).alias("text_key"), body.alias("text"))
+    # one text of each class of the document; its other rows have no set, or one that another class stands for
+    key = ["vertex", "text_key"]
+    met = texts.join(placed, key)
+    members = materialize(met.dropDuplicates(key) if repeats else met, "members")
     everywhere = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     links = _cluster_cells(members.withColumn("block", F.explode(everywhere)), size, percent)
     links = materialize(links.where("src <> dst"), "links")
@@ -265,13 +280,14 @@ def confirmed_links(
         return links
 
     # what is outside the largest cluster of a component of several blocks meets every block
+    key = ["component"]
     cut = members.where("blocks > 1")
     merged = materialize(connected_components(links), "merged")
     named = cut.select("vertex", *key).join(merged.withColumnRenamed("component", "cluster"), "vertex", "left")
     named = materialize(named.withColumn("cluster", F.coalesce("cluster", "vertex")), "clusters")
     largest = named.groupBy(*key, "cluster").agg(F.count(F.lit(1)).alias("n"))
     largest = largest.groupBy(*key).agg(F.max_by("cluster", F.struct("n", "cluster")).alias("largest"))
-    outside = named.join(largest, key).where("cluster <> largest").select("vertex")
+    outside = named.join(largest, key).where("cluster <> largest").select("vertex").distinct()
     # chunks of outsiders are as large as a block
     n_outside = outside.join(candidates, "vertex").groupBy(*key).agg(F.sum("n_shingles").alias("outer"))
     chunks = n_outside.select(*key, _parts(F.col("outer"), cell_shingles).alias("chunks"))
@@ -313,9 +329,17 @@ def near_groups(
     signed = materialize(sign(docs, size, text), "signatures")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     classes = signed.where(linked).groupBy("fingerprint", "n_shingles", "bands").agg(
-        F.min("doc_id").alias("vertex"), F.count(F.lit(1)).alias("weight")
+        F.min(F.struct("doc_id", "text_key")).alias("least"), F.count(F.lit(1)).alias("weight")
     )
-    classes = materialize(classes, "classes")
+    classes = materialize(
+        classes.select("fingerprint", "n_shingles", "bands", F.col("least.doc_id").alias("vertex"), "least.text_key", "weight"),
+        "classes",
+    )
+    again = signed.where(linked).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("fingerprint").alias("one"), F.max("fingerprint").alias("other")
+    )
+    again = materialize(again.where("n > 1"), "repeated")
+    repeats = not again.isEmpty()
     banded = classes.select("vertex", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("vertex").alias("least"), F.count(F.lit(1)).alias("weight"))
     buckets = materialize(buckets.where("weight > 1"), "buckets")
@@ -323,10 +347,13 @@ def near_groups(
     edges = starred.where("vertex <> least").select(F.col("vertex").alias("src"), F.col("least").alias("dst")).distinct()
     candidates = connected_components(edges)
     # of a document with several texts each is a candidate of its own
-    candidates = materialize(
-        candidates.join(classes.groupBy("vertex").agg(F.sum("n_shingles").alias("n_shingles")), "vertex"), "candidates"
-    )
-    links = confirmed_links(docs, candidates, size, percent, text, cell_shingles)
+    candidates = materialize(candidates.join(classes.select("vertex", "text_key", "n_shingles"), "vertex"), "candidates")
+    links = confirmed_links(docs, candidates, size, percent, text, cell_shingles, repeats)
+    if repeats:
+        # a document with several sets links the classes it is in
+        several = signed.where(linked).join(again.where("one <> other").select("doc_id"), "doc_id", "left_semi")
+        own = several.join(classes.select("fingerprint", "n_shingles", "vertex"), ["fingerprint", "n_shingles"])
+        links = links.unionByName(own.select(F.col("doc_id").alias("src"), F.col("vertex").alias("dst")).where("src <> dst"))
     groups = connected_components(links)
     named = classes.select("fingerprint", "n_shingles", "vertex", "weight").join(groups, "vertex", "left")
     named = materialize(
@@ -355,6 +382,11 @@ def near_groups(
 
 
 def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    gone = near_groups(docs, text=text, **options).where("NOT kept").select("doc_id").distinct()
-    return docs.join(materialize(gone, "near-copies"), "doc_id", "left_anti")
+    """One row of each group, with all its columns: that with the least ``doc_id``, nulls last, of these the first.
+
+    Every row is a document of its own here, also one that repeats an id or has none. Rows without words all stay.
+    """
+    placed, row = numbered(docs)
+    rows = placed.select(F.col(row).alias("doc_id"), F.col(text).alias("text"))
+    groups = near_groups(rows, **options).where("n_shingles > 0")
+    return one_of_each(placed, row, groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")))

@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import join_heavy
 from ..functions.numbering import global_rank
 from ..session import materialize
+from .rows import numbered, unused
 from .text import text_or_empty, words_of
 
 WEIGHTS = (3, 1, 2)
@@ -125,21 +125,11 @@ def mix(
     return merged.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum(taken).alias("taken"))
 
 
-def _with_row(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, which tells its rows apart and stays the same when they are read again.
-
-    Rows of stored Parquet files are known by file and place. Others are numbered and written.
-    """
-    try:
-        return docs.withColumn("_row", F.concat_ws("#", "_metadata.file_path", "_metadata.row_index"))
-    except AnalysisException:
-        return materialize(docs.withColumn("_row", F.monotonically_increasing_id().cast("string")), "numbered")
-
-
 def mix_rows(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with all their columns."""
-    numbered = _with_row(docs)
-    mixed = mix(numbered, text=text, row="_row", **options).where("taken > 0")
-    turns = mixed.select(F.col("row").alias("_row"), (F.col("taken") / F.col("size")).cast("int").alias("_turns"))
-    taken = numbered.join(turns, "_row").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_turns"))))
-    return taken.select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns, whatever their names."""
+    placed, row = numbered(docs)
+    mixed = mix(placed, text=text, row=row, **options).where("taken > 0")
+    turns, turn = unused(placed, "turns"), unused(placed, "turn")
+    often = mixed.select(F.col("row").alias(row), (F.col("taken") / F.col("size")).cast("int").alias(turns))
+    taken = placed.join(often, row).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(turns))))
+    return taken.drop(row, turns, turn)

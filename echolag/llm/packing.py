@@ -3,9 +3,10 @@
 After Csirik, Johnson, Kenyon, Orlin, Shor and Weber, "On the sum-of-squares algorithm for bin packing" (2006): the packer
 keeps an array with the number of open windows at each fill level, and puts a piece where the sum of the squares of these
 numbers becomes least. Documents of a window's length and more are first cut into full windows and a rest. Every partition
-of the input packs its own rows while it reads them, so texts are never shuffled. What is still open at the end of a
-partition, or when too many windows are open, is laid out anew one piece after the other, cut at window ends; a last part
-window is cut into powers of two, which need no padding.
+of the input packs its own rows while it reads them, so texts are never shuffled. At the end of a partition, and when too many
+windows are open, the emptiest window is dissolved and its pieces are placed by the same rule, which may now also cut a piece
+to fill a window up and place what is left of it anew; so all pieces stay where the rule has put them. The last window of a
+partition is cut into powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -73,8 +74,11 @@ class Packer:
             if change[best] <= 2 * self.counts[size] + 1:
                 self._move(best + 1, piece, size)
                 return
-        if self.n_open >= self.most:
-            self.flush()
+        while self.n_open >= self.most:
+            self._dissolve()
+        self._open(piece, size)
+
+    def _open(self, piece: tuple, size: int) -> None:
         self.windows[size].append([piece])
         self.counts[size] += 1
         self.n_open += 1
@@ -90,9 +94,40 @@ class Packer:
             self.windows[level + size].append(window)
             self.counts[level + size] += 1
 
+    def _dissolve(self) -> None:
+        """Place the pieces of the emptiest window in the others, cut where the rule says so."""
+        level = int(np.flatnonzero(self.counts)[0])
+        window = self.windows[level].pop()
+        self.counts[level] -= 1
+        self.n_open -= 1
+        for piece in window:
+            self._place_cut(piece)
+
+    def _place_cut(self, piece: tuple) -> None:
+        doc, start, ids, total = piece
+        while ids:
+            size = len(ids) // 4
+            if not self.n_open:
+                self._open((doc, start, ids, total), size)
+                return
+            levels = np.flatnonzero(self.counts)
+            ends = levels + size
+            # a window that fills up leaves its level, and what is cut off begins a level of its own
+            inside = 2 * (self.counts[np.minimum(ends, self.length)] - self.counts[levels]) + 2
+            filled = 1 - 2 * self.counts[levels]
+            rest = filled + 2 * self.counts[np.maximum(ends - self.length, 0)] + 1
+            change = np.select([ends < self.length, ends == self.length], [inside, filled], rest)
+            # on a tie the fuller window
+            level = int(levels[::-1][np.argmin(change[::-1])])
+            taken = min(size, self.length - level)
+            self._move(level, (doc, start, ids[: 4 * taken], total), taken)
+            start, ids = start + taken, ids[4 * taken :]
+
     def flush(self) -> None:
-        """Lay all open windows out anew, one piece after the other."""
-        queue = [p for level in reversed(self.windows) for window in level for p in window]
+        """Dissolve windows until one is left, and cut that one into powers of two."""
+        while self.n_open > 1:
+            self._dissolve()
+        queue = [p for level in self.windows for window in level for p in window]
         self.counts[:] = 0
         self.windows = [[] for _ in range(self.length + 1)]
         self.n_open = 0
@@ -160,5 +195,5 @@ def pack(
         packer.flush()
         yield output.take()
 
-    rows = docs.selectExpr("doc_id", f"CAST(`{text}` AS BINARY) AS text")
+    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", f"CAST(`{text}` AS BINARY) AS text")
     return rows.mapInArrow(run, SPARK_SCHEMA)

@@ -91,9 +91,9 @@ def _covered(starts: Column) -> Column:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the metrics that the rules read, and a row number; a null text has no words.
 
-    The columns named in ``BASE``, ``n_stop_words`` and ``n_lines`` are replaced if ``docs`` has them already.
+    The columns named in ``BASE``, ``n_stop_words``, ``n_lines`` and ``_row_number`` are replaced if ``docs`` has them already.
     """
-    made = [*BASE, "n_stop_words", "n_lines"]
+    made = [*BASE, "n_stop_words", "n_lines", _ROW]
     carried = [F.col(c) for c in docs.columns if c not in made]
     whole = F.struct(*carried)
     split = docs.select(

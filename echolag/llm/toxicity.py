@@ -27,9 +27,8 @@ from .labelled import labelled_sample
 
 # labelled documents to train on
 TRAIN_ROWS = 8_000
-# a term is learnt from at least so many of them, and of the most frequent terms at most so many are tried
+# a term is learnt from at least so many of them
 LEAST_DOCS = 5
-MAX_TERMS = 60_000
 FACTORS = 8
 _KEPT_WORDS = 1_000_000
 
@@ -125,15 +124,13 @@ def learn(
 ) -> FactorizationMachine:
     """Learn ``labels.toxic`` from about ``rows`` labelled documents that are not held out.
 
-    Terms are counted by Spark, and only those in ``LEAST_DOCS`` documents and among the ``MAX_TERMS`` most frequent reach the
-    fit, so its input is bounded by the sample.
+    Terms are counted by Spark, and only those in ``LEAST_DOCS`` documents reach the fit, so its input is bounded by the sample.
     """
     sample = labelled_sample(docs, labels, "toxic", held_out, rows, "toxicity", text)
     sets = materialize(_term_sets(sample), "term-sets")
     one = sets.select("doc_id", F.explode("terms").alias("term"))
     counted = one.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS)
-    known = counted.orderBy(F.desc("n"), "term").limit(MAX_TERMS).select("term")
-    inside = one.join(known, "term").groupBy("doc_id").agg(F.sort_array(F.collect_set("term")).alias("found"))
+    inside = one.join(counted.select("term"), "term").groupBy("doc_id").agg(F.sort_array(F.collect_set("term")).alias("found"))
     table = sets.select("doc_id", "label").join(inside, "doc_id", "left").orderBy("doc_id", "label").toArrow()
     found = [np.array(t if t is not None else [], np.int64) for t in table["found"].to_pylist()]
     return fit(table["label"].to_numpy(), found)

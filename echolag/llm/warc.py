@@ -191,6 +191,12 @@ def mark_revisits(written: DataFrame) -> DataFrame:
     return marked.select("archive", "seq", F.when(other, F.col("first")).alias("refers_to"))
 
 
+def _by_archive(rows: DataFrame) -> DataFrame:
+    """The rows of an archive together. The rows are small and the archives large, so the number of tasks follows these."""
+    archives = rows.select("archive").distinct().count()
+    return rows.repartition(max(archives, rows.sparkSession.sparkContext.defaultParallelism), "archive")
+
+
 def normalise(marked: DataFrame, source: str, target: str) -> DataFrame:
     """Rewrite the archives named in ``marked(archive, seq, refers_to)``, one gzip member per record.
 
@@ -236,7 +242,7 @@ def normalise(marked: DataFrame, source: str, target: str) -> DataFrame:
             close()
 
     indexed = _schema(_INDEXED)
-    placed = marked.repartition("archive").sortWithinPartitions("archive", "seq")
+    placed = _by_archive(marked).sortWithinPartitions("archive", "seq")
     return placed.select("archive", "refers_to").mapInArrow(run, _INDEXED)
 
 
@@ -266,7 +272,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             yield _batch(rows, read)
 
     read = _schema(_READ)
-    return index.mapInArrow(run, _READ)
+    placed = _by_archive(index).sortWithinPartitions("archive", "start")
+    return placed.select("archive", "start", "length").mapInArrow(run, _READ)
 
 
 def archive_pages(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -76,7 +76,41 @@ def test_near_groups_of_odd_rows(edges, none):
     assert minhash.near_groups(none).count() == 0
     kept = minhash.keep_one(edges)
     assert kept.columns == edges.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 1, 4, 5, 6, 7, 8, 9, 10, None])
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 4, 5, 6, 7, 8, 9, 10])
+
+
+def test_repeated_ids(spark):
+    """Rows of one id whose other text is null, blank, equal or different; only its own sets are compared."""
+    base = " ".join(f"w{k}" for k in range(60))
+    near, other = base.replace("w7 ", "x7 "), " ".join(f"z{k}" for k in range(50))
+    rows = [(1, base), (2, near), (2, None), (3, " \n"), (3, near + " more"), (4, other), (4, base), (5, other), (6, base), (6, base)]
+    rows += [(9, None), (9, "")]
+    found = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    wanted = expected_groups(rows, 2)
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == sorted((d, wanted[d] if (t or "").split() else d) for d, t in rows)
+    assert wanted[5] == 1 and wanted[9] == 9
+
+
+def test_cells_of_many_short_texts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CELL_TEXTS", 7)
+    rows = noisy_copies(11, 90)
+    found = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), size=2)
+    wanted = expected_groups(rows, 2)
+    assert all(r["component_id"] == wanted[r["doc_id"]] for r in found.collect())
+
+
+def test_one_row_of_a_table_read_twice_stays(spark, tmp_path):
+    rows = noisy_copies(2, 60)
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row_number int")
+    docs.write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    twice = read.unionByName(read)
+    for drop in (exact_dedup.drop_copies, minhash.keep_one):
+        once = Counter(r["doc_id"] for r in drop(read).collect())
+        assert Counter(r["doc_id"] for r in drop(twice).collect()) == once
+        assert max(once.values()) == 1 and drop(twice).columns == docs.columns
+    nameless = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (3, "a b c d")], "doc_id long, text string")
+    assert [r["doc_id"] for r in exact_dedup.drop_copies(nameless).collect()] == [3]
 
 
 def test_cluster_equals_all_pairs():
@@ -124,7 +158,7 @@ def test_exact_groups(edges, none):
     assert exact_dedup.find_copies(none).count() == 0
     kept = exact_dedup.drop_copies(edges)
     assert kept.columns == edges.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 1, 3, 4, 6, 7, 8, 9, 10]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 6, 7, 8, 9, 10]
 
 
 def test_many_copies_leave_a_task_once(spark):
@@ -140,3 +174,20 @@ def test_directory_splits_overfull_buckets_only():
     assert exact_dedup.directory({}, 0, 5) == (0, [0])
     # the deepest level takes what is left
     assert exact_dedup.directory({0: 100}, 1, 5) == (1, [0, 1])
+
+
+def test_buckets_decide_owners(spark, monkeypatch):
+    """Buckets split, overflow at the deepest level, and belong to one owner each."""
+    monkeypatch.setattr(exact_dedup, "BUCKET_KEYS", 20)
+    rows = spark.range(3_000).selectExpr("id AS doc_id", "concat('t', id % 1000) AS text")
+    for deepest in (18, 3):
+        monkeypatch.setattr(exact_dedup, "MAX_DEPTH", deepest)
+        light, index = exact_dedup.build_index(rows)
+        sizes = index.groupBy("bucket").count().collect()
+        assert len(sizes) > 40 if deepest == 18 else len(sizes) == 8
+        assert (max(r["count"] for r in sizes) <= 20) == (deepest == 18)
+        owners = {(r["bucket"], r["owner"]) for r in index.select("bucket", "owner").collect()}
+        assert len(owners) == len({b for b, _ in owners}) and len({o for _, o in owners}) == 8
+        assert light.join(index, ["bucket", "key"]).count() == 3_000
+        found = exact_dedup.find_copies(rows)
+        assert found.where("group_size = 3 AND keep_id = doc_id % 1000").count() == 3_000
