@@ -671,8 +671,9 @@ def expand_rules(rule_set: RuleSet) -> DataFrame:
         return join_heavy(spread, named, [*by, f"sig_{side}", "chunk"]).drop("chunk")
 
     both = with_members(with_members(rules, "a", "antecedent"), "c", "consequent")
+    of_classes = {*by, "sig_a", "sig_c", "size_a", "size_c", "n_points"}
     return both.where(F.col("antecedent") != F.col("consequent")).select(
-        *by, "antecedent", "consequent", "support", "confidence", "lift", "hist"
+        *by, "antecedent", "consequent", *[c for c in rules.columns if c not in of_classes]
     )
 
 
@@ -704,6 +705,33 @@ def mine_profile(
     return RuleSet(materialize(rules, "class-rules"), members, tuple(by))
 
 
+def mine_classes(
+    occurrences: DataFrame,
+    timepoints: DataFrame,
+    *,
+    num_bins: int = 11,
+    min_sup: float = 0.05,
+    max_sup: float = 0.1,
+    min_conf: float = 0.9,
+    by: Sequence[str] = (),
+    domain_by: Sequence[str] = (),
+    boundary_expiry: bool = True,
+    tail_prune: bool = True,
+    layout: str = "auto",
+) -> RuleSet:
+    """The rules of ``mine_rules`` between classes of changes with equal positions, with the members of each class."""
+    profile = within_support(profile_changes(occurrences, timepoints, by, domain_by), min_sup, max_sup)
+    return mine_profile(
+        profile,
+        num_bins=num_bins,
+        min_conf=min_conf,
+        by=by,
+        boundary_expiry=boundary_expiry,
+        tail_prune=tail_prune,
+        layout=layout,
+    )
+
+
 def mine_rules(
     occurrences: DataFrame,
     timepoints: DataFrame,
@@ -723,12 +751,15 @@ def mine_rules(
     ``occurrences(by…, change_id, tp)`` has one row per change and time point, ``timepoints(domain_by…, tp, tp_idx)``
     is the domain.
     """
-    profile = within_support(profile_changes(occurrences, timepoints, by, domain_by), min_sup, max_sup)
-    return mine_profile(
-        profile,
+    return mine_classes(
+        occurrences,
+        timepoints,
         num_bins=num_bins,
+        min_sup=min_sup,
+        max_sup=max_sup,
         min_conf=min_conf,
         by=by,
+        domain_by=domain_by,
         boundary_expiry=boundary_expiry,
         tail_prune=tail_prune,
         layout=layout,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from echolag.operators import domains, interest, merge, mining, sweep, timeline, validation
+from echolag.operators import classes, domains, interest, merge, mining, sweep, timeline, validation
 from echolag.session import materialize
 
 from . import data, sql
@@ -251,6 +251,12 @@ def _scored_rules(spark, sf):
     return materialize(rules, "rules"), points.count()
 
 
+def _scored_classes(spark, sf):
+    occurrences = data.user_days(spark, sf)
+    points = timeline.observed_domain(occurrences)
+    return mining.mine_classes(occurrences, points, num_bins=7, min_sup=0.1, max_sup=0.4, min_conf=0.9), points.count()
+
+
 def _sample(rules, n_points):
     best_first = F.struct((-F.col("support")).alias("s"), "consequent")
     return interest.sample_rules(rules, n_points, 0.9, 0.1, 0.4, rank=best_first)
@@ -271,7 +277,8 @@ pdf AS (SELECT k, CAST(c AS DOUBLE) / CAST((SELECT sum(c) FROM lagged) AS DOUBLE
 
 @query(f"WITH {_SCORED_RULES}, {_PDF} SELECT CAST(k AS INTEGER) AS bin, round(p, 9) AS p FROM pdf")
 def general_pdf(spark, sf):
-    pdf = interest.general_pdf(_sample(*_scored_rules(spark, sf)), 7)
+    rules, n_points = _scored_classes(spark, sf)
+    pdf = interest.general_pdf(classes.sample_class_rules(rules, n_points, 0.9, 0.1, 0.4), 7)
     return pdf.select("bin", F.round("p", 9).alias("p"))
 
 
@@ -297,10 +304,10 @@ FROM long JOIN pdf USING (k) GROUP BY 1, 2
 )
 def rule_scores(spark, sf):
     """Score of each rule against the general lag distribution, and the Jensen-Shannon divergence next to it."""
-    rules, n_points = _scored_rules(spark, sf)
-    general = interest.general_pdf(_sample(rules, n_points), 7)
-    scored = interest.score_rules(rules, general, n_points, 0.9, 0.1, 0.4, method=("triangular", "jensen_shannon"))
-    rounded = scored.select(
+    rules, n_points = _scored_classes(spark, sf)
+    general = interest.general_pdf(classes.sample_class_rules(rules, n_points, 0.9, 0.1, 0.4), 7)
+    scored = classes.score_class_rules(rules, general, n_points, 0.9, 0.1, 0.4, method=("triangular", "jensen_shannon"))
+    rounded = scored.expand().select(
         "antecedent", "consequent", F.round("triangular", 6).alias("score"), F.round("jensen_shannon", 6).alias("divergence")
     )
     return interest.rank_rules(rounded)
@@ -312,6 +319,76 @@ def scored_with_general(spark, sf):
     return interest.score_rules(rules, general, n_points, 0.9, 0.1, 0.4), general
 
 
+_MONTHLY = f"{sql.ORDER_MONTHS}, {sql.OBSERVED}, {sql.profile(0.0, 0.05)}, {sql.rules(3, 0.9)}"
+_MONTHLY_PDF = _PDF.replace("CAST(0.1 AS DOUBLE)", "CAST(0.0 AS DOUBLE)").replace("CAST(0.4 AS DOUBLE)", "CAST(0.06 AS DOUBLE)").replace(
+    """CASE k WHEN 0 THEN bin_0 WHEN 1 THEN bin_1 WHEN 2 THEN bin_2 WHEN 3 THEN bin_3 WHEN 4 THEN bin_4
+                WHEN 5 THEN bin_5 ELSE bin_6 END""",
+    "CASE k WHEN 0 THEN bin_0 WHEN 1 THEN bin_1 ELSE bin_2 END",
+).replace("generate_series(0, 6)", "generate_series(0, 2)")
+
+
+def _monthly_classes(spark, sf):
+    """Customers' rare order months: few classes of many copies."""
+    occurrences = data.order_months(spark, sf)
+    points = timeline.observed_domain(occurrences)
+    return mining.mine_classes(occurrences, points, num_bins=3, min_sup=0.0, max_sup=0.05, min_conf=0.9), points.count()
+
+
+@query(f"WITH {_MONTHLY} SELECT count(*) AS rules FROM rules")
+def class_rule_count(spark, sf):
+    """How many rules there are, without writing any of them out."""
+    return classes.count_rules(_monthly_classes(spark, sf)[0])
+
+
+@query(
+    f"""
+WITH {_MONTHLY}, {_MONTHLY_PDF},
+long AS (
+  SELECT antecedent, consequent, k, CAST(CASE k WHEN 0 THEN bin_0 WHEN 1 THEN bin_1 ELSE bin_2 END AS DOUBLE) / support AS q
+  FROM rules, (SELECT unnest(generate_series(0, 2)) AS k)),
+scores AS (
+  SELECT round(sum(0.5 * p * (p / greatest(1e-9, 0.5 * (p + q))) + 0.5 * q * (q / greatest(1e-9, 0.5 * (p + q)))), 6) AS score
+  FROM long JOIN pdf USING (k) GROUP BY antecedent, consequent)
+SELECT score, count(*) AS rules FROM scores GROUP BY 1
+"""
+)
+def class_score_counts(spark, sf):
+    """How many rules have which score, from the scores of classes."""
+    rules, n_points = _monthly_classes(spark, sf)
+    general = interest.general_pdf(classes.sample_class_rules(rules, n_points, 0.9, 0.0, 0.06), 3)
+    return classes.count_scores(classes.score_class_rules(rules, general, n_points, 0.9, 0.0, 0.06))
+
+
+_GROUP_CHANGE = "'s' || lpad(o_custkey::VARCHAR, 8, '0') || '_' || substr(o_orderpriority, 1, 1)"
+_GROUP_MONTHS = f"""
+occ AS (SELECT DISTINCT {_GROUP_CHANGE} AS change_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS tp FROM orders)
+"""
+
+
+@query(
+    f"""
+WITH {_LOG}, {_GROUP_MONTHS}, {sql.OBSERVED}, {sql.profile(0.0, 0.04)}, {sql.rules(3, 0.9)}
+SELECT a.domain, count(*) AS rules, sum(support)::BIGINT AS support
+FROM rules JOIN dom a ON a.table_id = substr(antecedent, 1, 9) JOIN dom c ON c.table_id = substr(consequent, 1, 9)
+WHERE a.domain = c.domain GROUP BY 1
+"""
+)
+def class_rules_per_domain(spark, sf):
+    """Rules within a domain, counted by classes split by the domains of their members."""
+    change = F.concat(F.format_string("s%08d", "o_custkey"), F.lit("_"), F.substring("o_orderpriority", 1, 1))
+    orders = data.table(spark, sf, "orders").select(change.alias("change_id"), F.trunc(F.to_date("o_orderdate"), "month").alias("tp"))
+    occurrences = orders.distinct()
+    rules = mining.mine_classes(
+        occurrences, timeline.observed_domain(occurrences), num_bins=3, min_sup=0.0, max_sup=0.04, min_conf=0.9
+    )
+    tables = domains.table_domain(domains.domain_tables(data.download_log(spark, sf)))
+    kept = classes.same_domain_classes(rules, tables).rules
+    pairs = classes.pair_count()
+    return kept.groupBy("domain").agg(
+        F.sum(pairs).cast("long").alias("rules"), F.sum(pairs * F.col("support")).cast("long").alias("support")
+    )
+
+
 @query(
     f"""
 WITH {_SCORED_RULES},
@@ -352,6 +429,13 @@ def page_rules(spark, sf):
     return mining.mine_rules(occurrences, points, num_bins=24, min_sup=0.01, max_sup=0.05, min_conf=0.7)
 
 
+def merged_classes(spark, sf):
+    occurrences = _page_occurrences(spark, sf)
+    points = timeline.observed_domain(occurrences)
+    rules = mining.mine_classes(occurrences, points, num_bins=24, min_sup=0.01, max_sup=0.05, min_conf=0.7)
+    return classes.merge_classes(rules, *data.user_pages(spark, sf))
+
+
 def merged(spark, sf):
     return materialize(merge.merge_rules(page_rules(spark, sf), *data.user_pages(spark, sf)), "merged")
 
@@ -376,7 +460,7 @@ FROM c
 """
 )
 def external_rate(spark, sf):
-    return merge.external_rate(merged(spark, sf))
+    return classes.external_rate(merged_classes(spark, sf))
 
 
 _DAYS = "list_aggregate(list_sort(list_distinct(list(substr(tp, 1, length(tp) - 3)))), 'string_agg', ',')"
@@ -425,7 +509,7 @@ pages AS (
 
 @query(f"WITH RECURSIVE {_CLUSTERS} SELECT * FROM comp")
 def rule_clusters(spark, sf):
-    return merge.rule_clusters(merged(spark, sf))
+    return classes.rule_clusters(merged_classes(spark, sf))
 
 
 @query(f"WITH RECURSIVE {_CLUSTERS} SELECT * FROM pages")
@@ -441,8 +525,7 @@ SELECT size, count(*) AS clusters FROM sizes GROUP BY 1
 """
 )
 def cluster_sizes(spark, sf):
-    rules = merged(spark, sf)
-    pages = merge.cluster_pages(rules, merge.rule_clusters(rules))
+    pages = classes.cluster_pages(merged_classes(spark, sf))
     return merge.cluster_size_counts(merge.cluster_sizes(pages))
 
 
