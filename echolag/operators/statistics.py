@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,8 +61,12 @@ def change_counts(
     )
 
 
-def distinct_entities(field_changes: DataFrame) -> DataFrame:
-    """Number of distinct changed entities per level and change type."""
+# log2 of the buckets of a sketch
+SKETCH_SIZE = 14
+
+
+def distinct_entities(field_changes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Number of distinct changed entities per level and change type; ``entity_sketches`` for an estimate that merges."""
     shapes = [
         F.struct(
             F.lit(level).alias("level"),
@@ -72,8 +77,37 @@ def distinct_entities(field_changes: DataFrame) -> DataFrame:
         )
         for level in LEVELS
     ]
-    opened = field_changes.select("change_type", F.explode(F.array(*shapes)).alias("e")).distinct()
-    return opened.groupBy(F.col("e.level").alias("level"), "change_type").agg(F.count(F.lit(1)).alias("entities"))
+    opened = field_changes.select(*by, "change_type", F.explode(F.array(*shapes)).alias("e")).distinct()
+    return opened.groupBy(*by, F.col("e.level").alias("level"), "change_type").agg(F.count(F.lit(1)).alias("entities"))
+
+
+def entity_sketches(field_changes: DataFrame, lg_k: int = SKETCH_SIZE) -> DataFrame:
+    """(date, level, change_type, sketch): a HyperLogLog sketch of the changed entities of each date.
+
+    Sketches are small, whatever the data, and merge: keep them per date, and ask for any range of dates later.
+    """
+    identity = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in ("table_id", "column_id", "row_id")])
+    shapes = [
+        F.struct(
+            F.lit(level).alias("level"),
+            # what a level does not use is left out; a unit separator keeps parts apart
+            F.concat_ws("\x1f", *[F.get(identity, F.lit(("table_id", "column_id", "row_id").index(c))) for c in entity_columns(level)]).alias("entity"),
+        )
+        for level in LEVELS
+    ]
+    opened = field_changes.select("date", "change_type", F.explode(F.array(*shapes)).alias("e"))
+    return opened.groupBy("date", F.col("e.level").alias("level"), "change_type").agg(
+        F.hll_sketch_agg("e.entity", F.lit(lg_k)).alias("sketch")
+    )
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by…, level, change_type, entities): the number of distinct entities over all dates of a group, estimated.
+
+    With ``lg_k`` = 14 the standard error is 0.8 percent.
+    """
+    union = F.hll_union_agg("sketch", False)
+    return sketches.groupBy(*by, "level", "change_type").agg(F.hll_sketch_estimate(union).alias("entities"))
 
 
 def count_tables(snapshots: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:

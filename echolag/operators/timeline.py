@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dense_index
+from ..functions import dense_index, join_heavy
 
 # fixed values: bounds that a calendar domain starts from before any occurrence is seen
 LATEST_START = "2020-11-11"
@@ -100,6 +100,38 @@ def split_by_period(
     )
 
 
+def split_by_intervals(
+    occurrences: DataFrame, intervals: DataFrame, name: str = "period", width_days: int | None = None
+) -> DataFrame:
+    """Copy each occurrence into the ``intervals(name, start, end)`` that hold its day, both ends included; adds ``name``.
+
+    Intervals may be uneven and overlap. Both sides are dealt to stretches of ``width_days``, about an interval's mean length
+    where not given, and joined by stretch, so an interval is copied to the few stretches it touches and an occurrence is
+    compared with the intervals of its own stretch only. A stretch with very many occurrences is split. Intervals that end
+    before they start, or lack an end, hold nothing.
+    """
+    day = lambda c: F.unix_date(F.col(c).cast("date"))
+    spans = intervals.select(name, day("start").alias("_from"), day("end").alias("_to")).where("_from <= _to").distinct()
+    if width_days is None:
+        mean = spans.agg(F.avg(F.col("_to") - F.col("_from") + 1)).first()[0]
+        width_days = max(1, round(mean or 1))
+    stretch = lambda c: F.floor(F.col(c) / width_days).cast("int")
+    dealt = spans.withColumn("_stretch", F.explode(F.sequence(stretch("_from"), stretch("_to"))))
+    dated = occurrences.withColumn("_day", F.unix_date(F.substring(F.col("tp").cast("string"), 1, 10).cast("date")))
+    placed = dated.withColumn("_stretch", stretch("_day"))
+    met = join_heavy(placed, dealt, ["_stretch"]).where("_day BETWEEN _from AND _to")
+    return met.select(*occurrences.columns, name)
+
+
+def interval_domain(intervals: DataFrame, name: str = "period") -> DataFrame:
+    """Every day of each interval, indexed from its first, with its number of ``days``: the domain for mining by interval."""
+    spans = intervals.select(name, F.col("start").cast("date").alias("_from"), F.col("end").cast("date").alias("_to"))
+    days = spans.where("_from <= _to").distinct().select(
+        name, (F.datediff("_to", "_from") + 1).alias("days"), F.posexplode(F.sequence("_from", "_to")).alias("tp_idx", "tp")
+    )
+    return days.select(name, "tp", "tp_idx", "days")
+
+
 def period_domain(
     spark: SparkSession, first_year: int = 2015, last_year: int = 2019, length: int = 4, hours_per_day: int | None = None
 ) -> DataFrame:
