@@ -380,25 +380,20 @@ def scan_licenses(
     hits = F.array_distinct(F.expr(f"filter(transform(_words, (w, i) -> {asked}), p -> p IS NOT NULL)"))
     rows = rows.select("doc_id", "_units", "_words", hits.alias("_hits"))
     # few texts hold enough of a template's longest pairs; in others no unit and no window is near it
-    numbers = F.sequence(F.lit(0), F.size(known) - 1)
-
-    def here(number: Column) -> Column:
-        t = F.get(known, number)
-        return (F.size("_hits") >= t["least"]) & (F.size(F.array_intersect(F.col("_hits"), t["asked"])) >= t["least"])
+    def here(t: Column, number: Column) -> Column:
+        held = (F.size("_hits") >= t["least"]) & (F.size(F.array_intersect(F.col("_hits"), t["asked"])) >= t["least"])
+        return F.when(held, number)
 
     none = F.array().cast("array<int>")
-    rows = rows.select("doc_id", "_units", "_words", F.when(F.size("_hits") > 0, F.filter(numbers, here)).otherwise(none).alias("_here"))
+    near_by = F.when(F.size("_hits") > 0, F.array_compact(F.transform(known, here))).otherwise(none)
+    rows = rows.select("doc_id", "_units", "_words", near_by.alias("_here"))
 
-    def best(pairs: Column) -> Column:
-        def score(number: Column) -> Column:
-            t = F.get(known, number)
+    def best(pairs: Column, templates: Column) -> Column:
+        def score(t: Column) -> Column:
             return F.struct(F.coalesce(agreed(pairs, t, pairs), F.lit(-1.0)).alias("dice"), t["license"].alias("license"))
 
-        def fits(number: Column) -> Column:
-            n = F.get(known, number)["n"]
-            return (F.size(pairs) >= low * n) & (F.size(pairs) * low <= n)
-
-        scored = F.filter(F.transform(F.filter("_here", fits), score), lambda s: s["dice"] >= threshold)
+        near = F.filter(templates, lambda t: (F.size(pairs) >= low * t["n"]) & (F.size(pairs) * low <= t["n"]))
+        scored = F.filter(F.transform(near, score), lambda s: s["dice"] >= threshold)
         # of equal scores the first licence by name
         return F.aggregate(
             scored,
@@ -406,7 +401,12 @@ def scan_licenses(
             lambda a, s: F.when((s["dice"] > a["dice"]) | ((s["dice"] == a["dice"]) & (s["license"] < a["license"])), s).otherwise(a),
         )
 
-    found = F.filter(F.transform("_units", lambda u: _let(_pairs(u), best)), lambda s: s["dice"] >= 0)
+    # the templates are one literal, which is named once here and once below, and handed on
+    scores = _let(
+        F.transform("_here", lambda number: F.get(known, number)),
+        lambda templates: F.transform("_units", lambda u: _let(_pairs(u), lambda pairs: best(pairs, templates))),
+    )
+    found = F.filter(scores, lambda s: s["dice"] >= 0)
     matches = F.transform(found, lambda s: F.struct(s["license"].alias("license"), s["dice"].alias("dice")))
     unmatched = F.array().cast("array<struct<license:string,dice:double>>")
     rows = rows.select(
@@ -440,7 +440,7 @@ def scan_licenses(
         # of windows of one template that overlap, the nearest
         return _let(scored, lambda all: F.filter(all, lambda w: ~F.exists(all, lambda o: _overlap(o, w) & (o["dice"] > w["dice"]))))
 
-    windows = F.when(F.size("_here") > 0, F.flatten(F.transform("_here", lambda number: in_windows(F.get(known, number)))))
+    windows = F.when(F.size("_here") > 0, F.flatten(F.transform("_here", lambda number: _let(F.get(known, number), in_windows))))
     none = F.array().cast("array<struct<license:string,dice:double,weight:double,first:int,last:int>>")
     rows = rows.select("doc_id", "n_units", "_found", F.coalesce(windows, none).alias("_windows"))
 
