@@ -39,7 +39,7 @@ ROWS = 5
 # shingles of the texts that are compared in one task at a time
 CELL_SHINGLES = 400_000
 # and most texts of a block; short texts cost comparisons, not memory
-CELL_TEXTS = 1_000
+CELL_TEXTS = 10_000
 PIVOTS = 24
 # most words whose hashes a worker keeps
 _KEPT_WORDS = 1_000_000
