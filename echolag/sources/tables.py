@@ -11,6 +11,17 @@ from ..schemas import CHANGE_TYPES, SNAPSHOT_JSON
 _DATE_IN_PATH = r"(\d{4}-\d{2}-\d{2})"
 
 
+def _decoded(part: Column) -> Column:
+    """A part of a file's URL as the name it stands for; in paths a plus sign is itself."""
+    return F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
+
+
+def _folder_value(path: Column, name: str) -> Column:
+    """The value of the innermost folder ``name=value``, which Spark has escaped before the path was."""
+    part = F.nullif(F.regexp_extract(path, f"/{name}=([^/]*)/[^/]*$", 1), F.lit(""))
+    return _decoded(_decoded(part))
+
+
 def _snapshot_documents(spark: SparkSession, root: str) -> DataFrame:
     """Every document below ``root`` with the date and table that its path names; of a broken one ``broken`` has the text.
 
@@ -27,8 +38,8 @@ def _snapshot_documents(spark: SparkSession, root: str) -> DataFrame:
         for pattern in ("/snapshot_date=" + _DATE_IN_PATH + "/", _DATE_IN_PATH + "/[^/]*$")
     ])
     named = F.coalesce(
-        F.nullif(F.url_decode(F.regexp_extract(path, "/table_id=([^/]*)/[^/]*$", 1)), F.lit("")),
-        F.regexp_replace(F.url_decode(F.substring_index(path, "/", -1)), r"\.json\??$", ""),
+        _folder_value(path, "table_id"),
+        F.regexp_replace(_decoded(F.substring_index(path, "/", -1)), r"\.json\??$", ""),
     )
     return documents.select(
         dated.cast("date").alias("snapshot_date"), named.alias("table_id"), "attributes", "rows", "broken", path.alias("file")
@@ -194,9 +205,8 @@ def write_new_tables(new_tables: DataFrame, path: str, mode: str = "overwrite")
 def read_download_log(spark: SparkSession, path: str) -> DataFrame:
     """Lines of ``<domain>_urls.log`` files as (file_name, line); the name may also be a folder, as the sink writes it."""
     file = F.col("_metadata.file_path")
-    folder = F.nullif(F.url_decode(F.regexp_extract(file, "/file_name=([^/]*)/[^/]*$", 1)), F.lit(""))
     lines = spark.read.text(path, recursiveFileLookup=True).select(
-        F.coalesce(folder, F.col("_metadata.file_name")).alias("file_name"), F.col("value").alias("line")
+        F.coalesce(_folder_value(file, "file_name"), F.col("_metadata.file_name")).alias("file_name"), F.col("value").alias("line")
     )
     return lines.where(F.col("file_name").endswith(".log"))
 
