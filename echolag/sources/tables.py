@@ -51,7 +51,7 @@ def read_snapshots(spark: SparkSession, root: str, start: str | None = None, end
 
     Field values become the text of their JSON scalar, so that ``"1"`` and ``1`` differ while ``1`` and ``1.0`` do not.
     """
-    snapshots = _snapshot_documents(spark, root).where("broken IS NULL AND snapshot_date IS NOT NULL").select(
+    snapshots = _snapshot_documents(spark, root).where("broken IS NULL AND attributes IS NOT NULL AND snapshot_date IS NOT NULL").select(
         "snapshot_date",
         "table_id",
         F.transform("attributes", lambda a: a["id"]).alias("attributes"),
@@ -70,7 +70,7 @@ def read_snapshots(spark: SparkSession, root: str, start: str | None = None, end
 def bad_snapshots(spark: SparkSession, root: str) -> DataFrame:
     """(file, reason) of the files below ``root`` that ``read_snapshots`` leaves out: no document, or no date in the path."""
     documents = _snapshot_documents(spark, root)
-    reason = F.when(F.col("broken").isNotNull(), F.lit("not a document")).when(F.col("snapshot_date").isNull(), F.lit("no date"))
+    reason = F.when(F.col("broken").isNotNull() | F.col("attributes").isNull(), F.lit("not a document")).when(F.col("snapshot_date").isNull(), F.lit("no date"))
     return documents.select("file", reason.alias("reason")).where("reason IS NOT NULL")
 
 
