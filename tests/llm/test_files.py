@@ -3,18 +3,21 @@
 import gzip
 import hashlib
 import io
+import re
 import zlib
 from base64 import b32encode
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from echolag.llm import packing, tokens, warc
+from echolag.session import materialize
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -160,34 +163,135 @@ def test_open_windows_are_bounded():
     assert sum(len(p[2]) for w in finished for p in w) == 4 * sum(1 + 7 * k % 60 for k in range(200))
 
 
+def plain_mix(spark, rows):
+    """How often each document is taken: queues by source in the order of a digest, merged by finish time, cut at the budget."""
+    import hashlib
+
+    from test_texts import fill
+
+    size = {r["doc_id"]: len((r["text"] or "").split()) for r in rows}
+    sources = {}
+    for r in rows:
+        sources.setdefault(r["source"], []).append(r["doc_id"])
+    totals = {s: sum(size[d] for d in ids) for s, ids in sources.items()}
+    target = fill(totals)
+    number = {r["doc_id"]: k for k, r in enumerate(rows)}
+    queue = []
+    for source, ids in sources.items():
+        upto = 0
+        for doc in sorted(ids, key=lambda d: (hashlib.md5(f"mix:{d}".encode()).hexdigest(), d, size[d], number[d])):
+            upto += size[doc]
+            for turn in range(2):
+                if target[source]:
+                    queue.append(((upto + turn * totals[source]) / target[source], source is None, source or "", turn, doc))
+    budget, line, taken = int(1.5 * sum(totals.values())), 0, Counter()
+    places = {d: hashlib.md5(f"mix:{d}".encode()).hexdigest() for d in size}
+    for *_, doc in sorted(queue, key=lambda q: (q[0], q[1], q[2].encode(), q[3], places[q[4]], q[4])):
+        line += size[doc]
+        if line <= budget and size[doc]:
+            taken[doc] += 1
+    return taken
+
+
 def test_pipeline_stages(spark):
     """Each stage against plain Python on what the stage before has kept."""
+    from test_dedup import expected_groups
+    from test_texts import WORD, base_of
+
+    from echolag.llm.quality_rules import STOP_WORDS
+
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["quality rules", "exact dedup", "near dedup", "source mix", "packing"]
-    from test_dedup import expected_groups
 
+    def good(text):
+        n_words, chars, symbols, dup_lines, repeated = base_of(text)
+        if n_words < 10 or 100 * repeated > 20 * n_words:
+            return False
+        lines = sum(bool(WORD.search(line)) for line in text.split("\n"))
+        stop = sum(w in STOP_WORDS for w in WORD.findall(text)) / n_words
+        return (
+            2 <= chars / n_words <= 15
+            and symbols / n_words <= 0.1
+            and (n_words < 50 or stop >= 0.02)
+            and stop <= 0.9
+            and dup_lines / max(lines, 1) <= 0.5
+        )
+
+    def first_copies(rows):
+        first = {}
+        for r in rows:
+            body = re.sub(r"[\x20\x09-\x0D]+", " ", r["text"])
+            first[body] = min(first.get(body, r["doc_id"]), r["doc_id"])
+        return set(first.values())
+
+    def first_near(rows):
+        groups = expected_groups([(r["doc_id"], r["text"]) for r in rows], 5)
+        return {d for d, g in groups.items() if d == g}
+
+    plain = {"quality rules": lambda rows: {r["doc_id"] for r in rows if good(r["text"] or "")}, "exact dedup": first_copies, "near dedup": first_near}
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:3]:
         before = kept.collect()
         kept = spark.createDataFrame(stage(spark, kept, sf).collect(), docs.schema)
-        assert kept.columns == columns
-        left = {r["doc_id"] for r in kept.collect()}
-        if name == "exact dedup":
-            first = {}
-            for r in before:
-                body = " ".join(r["text"].split(" "))
-                first[body] = min(first.get(body, r["doc_id"]), r["doc_id"])
-            assert len(left) <= len(first)
-        if name == "near dedup":
-            groups = expected_groups([(r["doc_id"], r["text"]) for r in before], 5)
-            assert left == {d for d, g in groups.items() if d == g}
+        assert kept.columns == docs.columns
+        left = [r["doc_id"] for r in kept.collect()]
+        assert sorted(left) == sorted(plain[name](before)) and len(left) < len(before), name
+    before = kept.collect()
     mixed = corpus_pipeline.mix_sources(spark, kept, sf)
-    assert mixed.columns == columns
+    assert mixed.columns == docs.columns
     rows = mixed.collect()
-    assert {r["doc_id"] for r in rows} <= left
+    assert Counter(r["doc_id"] for r in rows) == plain_mix(spark, before)
     packed = corpus_pipeline.pack_documents(spark, spark.createDataFrame(rows, docs.schema), sf).collect()
-    assert sum(r["length"] for r in packed) == sum(r["doc_tokens"] for r in packed if r["start"] == 0)
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    tokens = {r["doc_id"]: len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1 for r in before}
+    pieces, wanted = Counter(), Counter()
+    for r in packed:
+        pieces[r["doc_id"]] += r["length"]
+    for r in rows:
+        wanted[r["doc_id"]] += tokens[r["doc_id"]]
+    assert pieces == wanted
+    lengths = Counter()
+    for r in packed:
+        lengths[r["sequence_id"]] += r["length"]
+    assert all(n == 4096 or n & (n - 1) == 0 for n in lengths.values())
     assert corpus_pipeline.run(spark, sf).groupBy().sum("length").first()[0] == sum(r["length"] for r in packed)
+
+
+def test_rule_places_nearly_all_in_small_partitions(monkeypatch):
+    """Of documents shorter than a window nearly all tokens are where the rule, with or without a cut, has put them."""
+    draw = np.random.default_rng(4)
+    sizes = np.minimum(4095, draw.lognormal(6, 1.2, 310).astype(int) + 1)
+    finished, last = [], []
+    packer = packing.Packer(finished.append)
+    whole_flush = packing.Packer.flush
+
+    def flush(self):
+        while self.n_open > 1:
+            self._dissolve()
+        last.append(sum(len(ids) // 4 for level in self.windows for window in level for _, _, ids, _ in window))
+        whole_flush(self)
+
+    monkeypatch.setattr(packing.Packer, "flush", flush)
+    for k, size in enumerate(sizes):
+        packer.add(k, b"\1\0\0\0" * int(size))
+    packer.flush()
+    assert sum(last) < 0.1 * sizes.sum()
+    filled = [sum(len(ids) // 4 for _, _, ids, _ in window) for window in finished]
+    assert sum(filled) == sizes.sum() and all(n == 4096 or n & (n - 1) == 0 for n in filled)
+    # most documents stay in one piece
+    pieces = Counter(doc for window in finished for doc, *_ in window)
+    assert np.mean([n == 1 for n in pieces.values()]) > 0.6
+
+
+def test_archives_are_dealt_to_tasks(spark, tmp_path):
+    pages = spark.range(400).selectExpr("id AS page_id", "concat('u', id) AS url", "cast(repeat(cast(id AS string), 500) AS binary) AS payload")
+    folder = tmp_path / "whole"
+    folder.mkdir()
+    written = materialize(warc.write_archives(pages.repartition(6), str(folder), archive_bytes=20_000), "written")
+    archives = written.select("archive").distinct().count()
+    assert archives > 8
+    placed = warc._by_archive(written)
+    assert placed.rdd.getNumPartitions() >= archives
+    assert placed.select(F.spark_partition_id()).distinct().count() > archives // 3

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from echolag.llm import language_id, licenses, mixing, quality_knn, quality_rules, toxicity
 
@@ -194,6 +195,20 @@ def test_mix_of_odd_rows(edges, none):
     assert total == found.groupBy().sum("taken").first()[0]
 
 
+def test_mix_of_multiplied_rows(spark, tmp_path):
+    """Rows of a file that an explode has repeated, with columns named like those that the mix makes."""
+    names = "doc_id long, source string, text string, row_number int, turns int, turn int"
+    rows = [(k, "ab"[k % 2], "w " * (k % 9 + 1), 5, 6, 7) for k in range(60)]
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    twice = docs.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    for given in (docs, twice):
+        size = given.groupBy().agg(F.sum(F.size(F.split(F.trim("text"), " ")))).first()[0]
+        mixed = mixing.mix_rows(given)
+        taken = sum(len(r["text"].split()) for r in mixed.collect())
+        assert mixed.columns == given.columns and 1.5 * size - 20 <= taken <= 1.5 * size
+
+
 def test_running_total_is_that_of_one_sort(spark):
     rows = spark.range(1000).selectExpr("id * 7919 % 1000 AS k", "id % 11 AS v")
     found = {r["k"]: r["t"] for r in mixing.running_total(rows, ["k"], "v", "t").collect()}
