@@ -124,6 +124,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op11_spelling_variants": sql.SPELLING_VARIANTS,
     "op2_license_scan": sql.LICENSE_SCAN,
     "op4_warc": sql.WARC,
     "op3_source_mix": sql.SOURCE_MIX,

