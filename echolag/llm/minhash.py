@@ -42,7 +42,7 @@ CELL_SHINGLES = 400_000
 CELL_TEXTS = 10_000
 PIVOTS = 24
 # most words whose hashes a worker keeps
-_KEPT_WORDS = 1_000_000
+_KEPT_WORDS = 300_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -13,8 +13,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-# most words whose ids a worker keeps, about 200 MB
-KEPT_WORDS = 900_000
+# most words whose ids a worker keeps, about 90 MB
+KEPT_WORDS = 400_000
 # Latin letters that stand alone under composition, and marks that split off as one
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
