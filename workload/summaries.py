@@ -41,7 +41,7 @@ FROM marked GROUP BY {ids}
 
 
 def _counts(spark, sf, level, with_base=False):
-    snapshots = data.snapshots(spark, sf)
+    snapshots = data.kept_snapshots(spark, sf)
     found = snapshot_diff.find_changes(snapshots)
     base = snapshots.select("table_id").distinct() if with_base else None
     return statistics.change_counts(found.field_changes, found.entity_events, level, base)
@@ -86,7 +86,7 @@ UNION ALL SELECT 'field', change_type, count(DISTINCT (table_id, column_id, row_
 """
 )
 def distinct_entities(spark, sf):
-    return statistics.distinct_entities(snapshot_diff.find_changes(data.snapshots(spark, sf)).field_changes)
+    return statistics.distinct_entities(snapshot_diff.find_changes(data.kept_snapshots(spark, sf)).field_changes)
 
 
 @query(
