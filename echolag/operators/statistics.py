@@ -67,18 +67,22 @@ SKETCH_SIZE = 14
 
 def distinct_entities(field_changes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Number of distinct changed entities per level and change type; ``entity_sketches`` for an estimate that merges."""
+    whole = ["table_id", "column_id", "row_id"]
+    # every other level follows from the distinct fields, which are far fewer than their changes
+    fields = materialize(field_changes.select(*by, "change_type", *whole).distinct(), "entities")
     shapes = [
         F.struct(
             F.lit(level).alias("level"),
-            *[
-                (F.col(c) if c in entity_columns(level) else F.lit(None).cast("string")).alias(c)
-                for c in ("table_id", "column_id", "row_id")
-            ],
+            *[(F.col(c) if c in entity_columns(level) else F.lit(None).cast("string")).alias(c) for c in whole[1:]],
         )
         for level in LEVELS
+        if level != "field"
     ]
-    opened = field_changes.select(*by, "change_type", F.explode(F.array(*shapes)).alias("e")).distinct()
-    return opened.groupBy(*by, F.col("e.level").alias("level"), "change_type").agg(F.count(F.lit(1)).alias("entities"))
+    opened = fields.select(*by, "change_type", "table_id", F.explode(F.array(*shapes)).alias("e"))
+    upper = opened.select(*by, "e.level", "change_type", "table_id", *[f"e.{c}" for c in whole[1:]]).distinct()
+    keys = [*by, "level", "change_type"]
+    levels = upper.select(*keys).unionByName(fields.select(*by, F.lit("field").alias("level"), "change_type"))
+    return levels.groupBy(*keys).agg(F.count(F.lit(1)).alias("entities"))
 
 
 def entity_sketches(field_changes: DataFrame, lg_k: int = SKETCH_SIZE) -> DataFrame:
@@ -86,19 +90,15 @@ def entity_sketches(field_changes: DataFrame, lg_k: int = SKETCH_SIZE) -> DataFr
 
     Sketches are small, whatever the data, and merge: keep them per date, and ask for any range of dates later.
     """
-    identity = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in ("table_id", "column_id", "row_id")])
-    shapes = [
-        F.struct(
-            F.lit(level).alias("level"),
-            # what a level does not use is left out; a unit separator keeps parts apart
-            F.concat_ws("\x1f", *[F.get(identity, F.lit(("table_id", "column_id", "row_id").index(c))) for c in entity_columns(level)]).alias("entity"),
-        )
-        for level in LEVELS
-    ]
-    opened = field_changes.select("date", "change_type", F.explode(F.array(*shapes)).alias("e"))
-    return opened.groupBy("date", F.col("e.level").alias("level"), "change_type").agg(
-        F.hll_sketch_agg("e.entity", F.lit(lg_k)).alias("sketch")
+    # what a level does not use is left out; a unit separator keeps parts apart
+    named = {
+        level: F.concat_ws("\x1f", *[F.coalesce(F.col(c), F.lit("")) for c in entity_columns(level)]) for level in LEVELS
+    }
+    per_date = field_changes.groupBy("date", "change_type").agg(
+        *[F.hll_sketch_agg(entity, F.lit(lg_k)).alias(level) for level, entity in named.items()]
     )
+    sketches = F.array(*[F.struct(F.lit(level).alias("level"), F.col(level).alias("sketch")) for level in LEVELS])
+    return per_date.select("date", F.explode(sketches).alias("s"), "change_type").select("date", "s.level", "change_type", "s.sketch")
 
 
 def merge_sketches(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -66,3 +66,20 @@ def test_versions_and_rows_are_not_broadcast(spark):
     # rows that lie by table and date are rolled up where they are
     final = plan.split("== Initial Plan ==")[0]
     assert final.count("Exchange hashpartitioning") == 2
+
+
+def test_entities_are_opened_once(spark):
+    """Sketches take one row per change, and levels above the field come from distinct fields."""
+    from echolag.operators import statistics
+
+    rows = [
+        (dt.date(2024, 1, 1 + k % 3), kind, "t", f"c{k % 4}" if k else None, f"r{k % 5}") for k in range(20) for kind in ("insert", "update")
+    ]
+    changes = spark.createDataFrame(rows, "date DATE, change_type STRING, table_id STRING, column_id STRING, row_id STRING")
+    expected = {(level, kind): n for kind in ("insert", "update") for level, n in (("table", 1), ("column", 5), ("row", 5), ("field", 20))}
+    exact = statistics.distinct_entities(changes)
+    assert {(r["level"], r["change_type"]): r["entities"] for r in exact.collect()} == expected
+    sketches = statistics.entity_sketches(changes)
+    assert {(r["level"], r["change_type"]): r["entities"] for r in statistics.merge_sketches(sketches).collect()} == expected
+    plan = sketches._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
