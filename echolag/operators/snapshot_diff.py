@@ -30,25 +30,17 @@ class SnapshotChanges:
     timeline: DataFrame
     distinguish_null: bool
 
-    @cached_property
-    def _pairs(self) -> DataFrame:
-        """The rows that differ, written once for all that is asked for."""
-        differing = F.filter("new", lambda fields: fields != F.col("old"))
-        pairs = _row_pairs(self.snapshots, self.timeline).withColumn(
-            "differing", F.when(F.col("old_width").isNotNull(), differing)
-        )
-        touched = F.col("old_width").isNull() | F.col("new_width").isNull() | F.col("lost") | (F.size("differing") > 0)
-        # of a row with one side only its width matters, and of one with equal fields too
-        compared = F.when(F.size("differing") > 0, F.col("old"))
-        return materialize(pairs.where(touched).withColumn("old", compared).drop("new"), "row-pairs")
-
     @cached_property
     def field_changes(self) -> DataFrame:
-        return _field_changes(self._pairs, self.timeline, self.distinguish_null)
+        return _field_changes(self.snapshots, self.timeline, self.distinguish_null)
 
     @cached_property
     def entity_events(self) -> DataFrame:
-        return _entity_events(self._pairs, self.timeline)
+        # only the ids of rows matter, and whether there are fields at all
+        none = F.array().cast("array<string>")
+        bare = F.transform("rows", lambda r: F.struct(r["id"].alias("id"), F.when(r["fields"].isNotNull(), none).alias("fields")))
+        ids = self.snapshots.withColumn("rows", bare)
+        return _entity_events(_row_pairs(ids, self.timeline, _is_large(self.timeline)), self.timeline)
 
     @cached_property
     def new_tables(self) -> DataFrame:
@@ -138,11 +130,23 @@ def _typed(new: Column, old: Column, distinguish_null: bool) -> Column:
     )
 
 
-def _row_pairs(snapshots: DataFrame, timeline: DataFrame) -> DataFrame:
-    """One row per (table, reported version, row id) with the old side's first copy and the new side's distinct copies."""
+def _is_large(timeline: DataFrame) -> bool:
+    """Whether a table has more rows than may meet in one task."""
+    of_table = timeline.groupBy("table_id").agg(F.sum("n_rows").alias("n"))
+    total, most = of_table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    return most > max(HEAVY_CHUNK, total // HEAVY_SHARE)
+
+
+def _row_pairs(snapshots: DataFrame, timeline: DataFrame, large: bool, places: dict[str, Column] | None = None) -> DataFrame:
+    """One row per (table, reported version, row id) with the old side's first copy and the new side's distinct copies.
+
+    ``places`` are columns of the version's alignment that its rows carry, so that none need to be looked up later. The row
+    of a version that is gone in the next one carries its own version's.
+    """
     key = ["table_id", "snapshot_date"]
     after = Window.partitionBy("table_id").orderBy("snapshot_date")
     lost = F.size(F.array_except("prev_attributes", "attributes")) > 0
+    places = places or {}
     marks = timeline.select(
         *key,
         "reported",
@@ -151,16 +155,14 @@ def _row_pairs(snapshots: DataFrame, timeline: DataFrame) -> DataFrame:
         F.when(F.lead("reported").over(after), F.col("next_date")).alias("next_date"),
         F.lead(F.coalesce(lost, F.lit(False))).over(after).alias("next_lost"),
         "repeats",
+        *[column.alias(name) for name, column in places.items()],
     ).where("reported OR next_date IS NOT NULL")
     # all versions of a table may meet in one task unless they are very many rows; then its versions and rows are dealt out
-    of_table = timeline.groupBy("table_id").agg(F.sum("n_rows").alias("n"))
-    total, most = of_table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    large = most > max(HEAVY_CHUNK, total // HEAVY_SHARE)
     documents = snapshots.select(*key, "rows")
     if large:
         documents, marks = documents.repartition(*key), marks.repartition(*key)
     rows = documents.join(marks.hint("merge"), key)
-    marked = ["reported", "lost", "prev_date", "next_date", "next_lost"]
+    marked = ["reported", "lost", "prev_date", "next_date", "next_lost", *places]
     opened = rows.select(*key, *marked, "repeats", F.posexplode("rows").alias("pos", "row")).select(
         *key, *marked, "repeats", "pos", F.col("row.id").alias("row_id"), F.col("row.fields").alias("fields")
     )
@@ -169,12 +171,15 @@ def _row_pairs(snapshots: DataFrame, timeline: DataFrame) -> DataFrame:
     if timeline.where("repeats").isEmpty():
         single = opened.select(*shape)
     else:
-        copied = opened.where("repeats").groupBy(*key, *marked, "row_id").agg(
-            F.min_by("fields", "pos").alias("fields"),
-            F.max(F.size("fields")).alias("width"),
-            F.collect_set("fields").alias("copies"),
-        )
-        single = opened.where("NOT repeats").select(*shape).unionByName(copied)
+        # copies are neighbours in the order that versions are compared in
+        copy = Window.partitionBy("table_id", "row_id", "snapshot_date").orderBy("pos")
+        whole = copy.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        copied = opened.withColumns({
+            "width": F.max(F.size("fields")).over(whole),
+            "copies": F.collect_set("fields").over(whole),
+            "_copy": F.row_number().over(copy),
+        })
+        single = copied.where("_copy = 1").select(*key, *marked, "row_id", "fields", "width", "copies")
 
     if large:
         single = single.repartition("table_id", "row_id")
@@ -207,8 +212,29 @@ def _row_pairs(snapshots: DataFrame, timeline: DataFrame) -> DataFrame:
             F.lit(False).alias("new_table"),
         ),
     )
-    sides = beside.select("table_id", "row_id", F.explode(F.array_compact(F.array(as_new, as_old))).alias("side"))
-    return sides.select("table_id", "row_id", "side.*")
+    sides = beside.select("table_id", "row_id", F.explode(F.array_compact(F.array(as_new, as_old))).alias("side"), *places)
+    return sides.select("table_id", "row_id", "side.*", *places)
+
+
+def _places(prev: Column) -> tuple[Column, Column, Column, Column]:
+    """Whether all of ``attributes`` have kept their place in ``prev``, whether both are short, ``moves`` and ``gone``."""
+    kept = (F.col("attributes") == prev) & (F.size(F.array_distinct("attributes")) == F.size("attributes"))
+    short = F.size("attributes").cast("long") * F.size(prev) <= SHORT_LISTS
+    moves = F.transform("attributes", lambda a: F.coalesce(F.array_position(prev, a).cast("int") - 1, F.lit(-1)))
+    named = F.transform(prev, lambda name, place: F.struct(place.alias("place"), name.alias("name")))
+    gone = F.filter(named, lambda g: ~F.coalesce(F.array_contains("attributes", g["name"]), F.lit(False)))
+    return kept, short, moves, gone
+
+
+def _carried(timeline: DataFrame) -> dict[str, Column] | None:
+    """The columns of ``_alignment`` but ``prev``, where all lists are short and so can be matched in place; else None."""
+    prev = F.coalesce("prev_attributes", F.array().cast("array<string>"))
+    kept, short, moves, gone = _places(prev)
+    differs = ~kept & F.col("prev_attributes").isNotNull()
+    if not timeline.where(F.col("reported") & differs & ~short).isEmpty():
+        return None
+    none = F.array().cast("array<struct<place:int,name:string>>")
+    return {"attributes": F.col("attributes"), "moves": F.when(differs, moves), "gone": F.when(differs, gone).otherwise(none)}
 
 
 def _alignment(timeline: DataFrame) -> DataFrame:
@@ -227,14 +253,10 @@ def _alignment(timeline: DataFrame) -> DataFrame:
         F.coalesce("prev_attributes", F.array().cast("array<string>")).alias("prev"),
         F.col("prev_attributes").isNotNull().alias("_had"),
     )
-    kept = (F.col("attributes") == F.col("prev")) & (F.size(F.array_distinct("attributes")) == F.size("attributes"))
-    short = F.size("attributes").cast("long") * F.size("prev") <= SHORT_LISTS
+    kept, short, places, lost_here = _places(F.col("prev"))
     none = F.array().cast("array<struct<place:int,name:string>>")
     # tables without an earlier version have nothing to be aligned with
     here, elsewhere = ~kept & F.col("_had") & short, ~kept & F.col("_had") & ~short
-    places = F.transform("attributes", lambda a: F.coalesce(F.array_position("prev", a).cast("int") - 1, F.lit(-1)))
-    named = F.transform("prev", lambda name, place: F.struct(place.alias("place"), name.alias("name")))
-    lost_here = F.filter(named, lambda g: ~F.coalesce(F.array_contains("attributes", g["name"]), F.lit(False)))
     differing = lists.where(elsewhere)
     lists = lists.select(
         *key,
@@ -261,12 +283,28 @@ def _alignment(timeline: DataFrame) -> DataFrame:
     return materialize(both, "alignment")
 
 
-def _field_changes(pairs: DataFrame, timeline: DataFrame, distinguish_null: bool) -> DataFrame:
+def _aligned_pairs(snapshots: DataFrame, timeline: DataFrame) -> DataFrame:
+    """The rows that differ, with the alignment of their versions."""
+    large = _is_large(timeline)
+    # rows of a large table are dealt out, and long lists would be many times as much as the rows they go with
+    places = None if large else _carried(timeline)
+    pairs = _row_pairs(snapshots, timeline, large, places).withColumn(
+        "differing", F.when(F.col("old_width").isNotNull(), F.filter("new", lambda fields: fields != F.col("old")))
+    )
+    touched = F.col("old_width").isNull() | F.col("new_width").isNull() | F.col("lost") | (F.size("differing") > 0)
+    pairs = pairs.where(touched).drop("new")
+    if places is not None:
+        # of a row that is gone, the columns before are those of its own version
+        return pairs.withColumn("prev", F.col("attributes"))
     order = Window.partitionBy("table_id").orderBy("snapshot_date")
     # rows of both versions, which is no less than the pairs
     weight = F.col("n_rows") + F.coalesce(F.lag("n_rows").over(order), F.lit(0))
     weights = timeline.select("table_id", F.col("snapshot_date").alias("date"), weight.cast("long").alias("weight"))
-    opened = join_heavy(pairs, _alignment(timeline), ["table_id", "date"], weights=weights, hint="merge")
+    return join_heavy(pairs, _alignment(timeline), ["table_id", "date"], weights=weights, hint="merge")
+
+
+def _field_changes(snapshots: DataFrame, timeline: DataFrame, distinguish_null: bool) -> DataFrame:
+    opened = _aligned_pairs(snapshots, timeline)
 
     def change(kind: Column, column: Column) -> Column:
         return F.struct(kind.alias("change_type"), column.alias("column_id"))

@@ -83,3 +83,37 @@ def test_entities_are_opened_once(spark):
     assert {(r["level"], r["change_type"]): r["entities"] for r in statistics.merge_sketches(sketches).collect()} == expected
     plan = sketches._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Aggregate")
+
+
+def test_field_changes_move_rows_once(spark):
+    """Rows and versions travel once each; nothing is written between a snapshot and its changes."""
+    from echolag.operators import snapshot_diff
+
+    changes = snapshot_diff.find_changes(_snapshots(spark, _HISTORY)).field_changes
+    changes.collect()
+    plan = changes._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "row-pairs" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_snapshots_move_lines_once(spark, tmp_path):
+    from workload import data
+
+    rows = [(k % 3, dt.datetime(2024, 1 + k % 4, 5), k % 7, "AN"[k % 2], "F", float(k), 0.1 * (k % 3)) for k in range(60)]
+    schema = "l_suppkey LONG, l_shipdate TIMESTAMP, l_linenumber INT, l_returnflag STRING, l_linestatus STRING, l_quantity DOUBLE, l_discount DOUBLE"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = data.snapshots(spark, str(tmp_path))
+    assert found.count() == 12
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_events_of_rows_without_fields(spark):
+    """Events come from row ids alone; a row whose fields are missing counts as one that was not there."""
+    from echolag.operators import snapshot_diff
+
+    history = [
+        ("2024-01-01", "t", ["a"], [("1", ["1"]), ("2", ["1"]), ("2", ["3"])]),
+        ("2024-01-02", "t", ["a"], [("1", None), ("2", ["5"]), ("3", ["5"])]),
+    ]
+    found = snapshot_diff.find_changes(_snapshots(spark, history)).entity_events
+    later = {(r["change_type"], r["item_id"]) for r in found.where("level = 'row' AND date = '2024-01-02'").collect()}
+    assert later == {("delete", "1"), ("insert", "3")}

@@ -111,6 +111,8 @@ def snapshots(spark: SparkSession, sf: str, unit: str = "month") -> DataFrame:
         "l_discount",
     )
     doc = ["l_suppkey", "snapshot_date"]
+    # lines lie by document, so that neither its cells nor itself move again
+    items = items.repartition(*doc)
     quantity = F.sum("l_quantity").cast("long").cast("string")
     cells = items.groupBy(*doc, "l_linenumber", "column_id").agg(
         F.when(F.max("l_discount") == 0, F.lit('"-"')).otherwise(quantity).alias("value")
