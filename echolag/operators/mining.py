@@ -333,17 +333,17 @@ def _candidates(
         F.max("pairs").alias("most"),
     ).first()
     antecedents = probes.select(
-        *by,
-        F.col("class_id").alias("a"),
-        F.col("size").alias("size_a"),
-        "theta",
-        "need",
-        F.col("idx").alias("_from"),
-        F.explode(F.sequence(F.col("idx"), F.col("hi") - 1)).alias("idx"),
-    ).withColumn("lag", F.col("idx") - F.col("_from"))
-    consequents = classes.select(
-        *by, F.col("class_id").alias("c"), F.col("n").alias("n_c"), F.explode("points").alias("p")
-    ).select(*by, "c", "n_c", F.col("p.idx").alias("idx"), F.col("p.gap").alias("gap"))
+        *by, F.col("class_id").alias("a"), F.col("size").alias("size_a"), "theta", "need", F.col("idx").alias("_from"), "hi"
+    )
+    consequents = classes.select(*by, F.col("class_id").alias("c"), F.col("n").alias("n_c"), "points")
+
+    def opened_up(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+        left = left.withColumn("idx", F.explode(F.sequence(F.col("_from"), F.col("hi") - 1))).drop("hi")
+        right = right.withColumn("p", F.explode("points")).drop("points")
+        return (
+            left.withColumn("lag", F.col("idx") - F.col("_from")).drop("_from"),
+            right.withColumns({"idx": F.col("p.idx"), "gap": F.col("p.gap")}).drop("p"),
+        )
 
     pairs, rows, most = total["pairs"] or 0, total["rows"] or 0, total["most"] or 0
     side = max(1, math.ceil(math.sqrt(most / CELL_ROWS)))
@@ -362,10 +362,12 @@ def _candidates(
                 *by, F.ceil(F.sqrt(F.col("pairs") / CELL_ROWS)).cast("int").alias("_blocks")
             )
         left, right, cell = _in_blocks(antecedents, consequents, by, blocks, partitions)
+        # time points are opened up where their cell is, so they do not move
+        left, right = opened_up(left, right)
         # a pair lives in one cell, so counting by cell and pair needs no shuffle
         pair = cell
     else:
-        left, right, cell = _by_point(antecedents, consequents, by, partitions)
+        left, right, cell = _by_point(*opened_up(antecedents, consequents), by, partitions)
         pair = []
 
     left, right = left.alias("l"), right.alias("r")
@@ -418,8 +420,7 @@ def _bitmap_candidates(
     )
     left = left.select(
         *by, "a", "size_a", "theta", "segments", _bits(F.col("segments")).alias("cover"), *[word("opened", k).alias(f"a_{k}") for k in words]
-    ).withColumn("segment", F.explode("segments"))
-    left = left.withColumn("below", F.col("cover").bitwiseAND(_below(F.col("segment")))).drop("segments", "cover")
+    )
 
     width = _width(num_bins)
     ahead = F.flatten(F.transform("points.idx", lambda i: F.sequence(F.greatest(i - width + 1, F.lit(0)), i)))
@@ -432,8 +433,7 @@ def _bitmap_candidates(
     )
     right = right.select(
         *by, "c", "n_c", "segments", _bits(F.col("segments")).alias("met"), *[word("ahead", k).alias(f"d_{k}") for k in words]
-    ).withColumn("segment", F.explode("segments"))
-    right = right.drop("segments")
+    )
 
     parallel = classes.sparkSession.sparkContext.defaultParallelism
     side = max(side, math.isqrt(parallel - 1) + 1 if pairs > CELL_ROWS // 10 and not by else 1)
@@ -443,6 +443,9 @@ def _bitmap_candidates(
             *by, F.ceil(F.sqrt(F.col("pairs") / CELL_ROWS)).cast("int").alias("_blocks")
         )
     left, right, cell = _in_blocks(left, right, by, blocks, partitions)
+    # a class moves once per cell and is opened up into its segments there
+    left, right = (side_.withColumn("segment", F.explode("segments")).drop("segments") for side_ in (left, right))
+    left = left.withColumn("below", F.col("cover").bitwiseAND(_below(F.col("segment")))).drop("cover")
     left, right = left.alias("l"), right.alias("r")
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*cell, *by, "segment"]]
     bound = sum((F.bit_count(F.col(f"a_{k}").bitwiseAND(F.col(f"d_{k}"))) for k in words), F.lit(0))
@@ -504,15 +507,13 @@ def word_rules(
     last = F.greatest(F.col("n_points") - bins + 1, F.lit(0)).cast("int")
     early = F.when(last >= WORD, F.lit(-1).cast("bigint")).otherwise(_below(last))
     antecedents = antecedents.select("*", _bits(F.col("probed")).alias("cover"), early.alias("early"))
-    antecedents = antecedents.withColumn("idx", F.explode("probed")).drop("probed")
-    antecedents = antecedents.withColumn("below", F.col("cover").bitwiseAND(_below(F.col("idx")))).drop("cover")
     consequents = classes.select(
         *by,
         F.col("class_id").alias("c"),
         F.col("n").alias("n_c"),
         F.col("size").alias("size_c"),
         F.col("signature").alias("sig_c"),
-        F.explode("points.idx").alias("idx"),
+        F.col("points.idx").alias("places"),
         *[alone(k) for k in lags],
     )
     parallel = classes.sparkSession.sparkContext.defaultParallelism
@@ -525,6 +526,10 @@ def word_rules(
         )
     partitions = max(parallel, 2 * math.ceil(pairs / CELL_ROWS))
     left, right, cell = _in_blocks(antecedents, consequents, by, blocks, partitions)
+    # a class moves once per cell and is opened up into its time points there
+    left = left.withColumn("idx", F.explode("probed")).drop("probed")
+    left = left.withColumn("below", F.col("cover").bitwiseAND(_below(F.col("idx")))).drop("cover")
+    right = right.withColumn("idx", F.explode("places")).drop("places")
     left, right = left.alias("l"), right.alias("r")
 
     def matches(k: int) -> Column:

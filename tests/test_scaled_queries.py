@@ -117,3 +117,18 @@ def test_events_of_rows_without_fields(spark):
     found = snapshot_diff.find_changes(_snapshots(spark, history)).entity_events
     later = {(r["change_type"], r["item_id"]) for r in found.where("level = 'row' AND date = '2024-01-02'").collect()}
     assert later == {("delete", "1"), ("insert", "3")}
+
+
+def test_classes_move_once_per_cell(spark):
+    """A class is opened up into its time points where its cell is, not before it moves."""
+    from echolag.operators import mining
+
+    changes = [(f"c{k}", day) for k in range(12) for day in range(k % 3, 20, 2 + k % 4)]
+    occurrences = spark.createDataFrame(changes, "change_id STRING, tp INT")
+    points = spark.createDataFrame([(day, day) for day in range(20)], "tp INT, tp_idx INT")
+    profile = mining.within_support(mining.profile_changes(occurrences, points), 0.0, 1.0)
+    found, _ = mining.position_classes(profile, [], 3)
+    plan = mining.word_rules(found, [], 3, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    sides = [plan.index("explode(probed#"), plan.index("explode(places#")]
+    moved = [place for place in range(len(plan)) if plan.startswith("RepartitionByExpression", place)]
+    assert len(moved) == 2 and sides[0] < moved[0] < sides[1] < moved[1]
