@@ -172,6 +172,8 @@ def write_entity_changes_csv(entity_changes: DataFrame, path: str, level: str, m
     columns = [F.col(c).alias(c.removesuffix("_id")) for c in entity_columns(level)]
     kind = F.lit(f"{level}_changes_aggregated").alias("kind")
     chosen = entity_changes.where(F.col("level") == level).select("date", kind, "change_type", *columns)
+    # few files per date, however many tasks the changes come from; a busy date is split by size
+    chosen = chosen.hint("rebalance", F.col("date"))
     chosen.write.mode(mode).partitionBy("date", "kind").csv(path, sep=";", header=True)
 
 

@@ -132,3 +132,15 @@ def test_classes_move_once_per_cell(spark):
     sides = [plan.index("explode(probed#"), plan.index("explode(places#")]
     moved = [place for place in range(len(plan)) if plan.startswith("RepartitionByExpression", place)]
     assert len(moved) == 2 and sides[0] < moved[0] < sides[1] < moved[1]
+
+
+def test_entity_changes_take_few_files(spark, tmp_path):
+    """Files follow the dates and the size, not the tasks that the changes come from."""
+    from echolag import sources
+
+    rows = [(dt.date(2024, 1, 1 + k % 3), "row", "update", f"t{k}", None, "1") for k in range(96)]
+    changes = spark.createDataFrame(rows, "date DATE, level STRING, change_type STRING, table_id STRING, column_id STRING, row_id STRING")
+    sources.write_entity_changes_csv(changes.repartition(8), f"{tmp_path}/csv", "row")
+    assert len(list(tmp_path.glob("csv/date=*/kind=*/*.csv"))) == 3
+    back = sources.read_entity_changes_csv(spark, f"{tmp_path}/csv", "row")
+    assert back.count() == changes.count() and back.exceptAll(changes.select(back.columns)).isEmpty()
