@@ -85,7 +85,9 @@ def write_snapshots(snapshots: DataFrame, root: str, mode: str = "overwrite") ->
             lambda r: F.struct(r["id"].alias("id"), F.transform(r["fields"], lambda v: F.parse_json(v)).alias("fields")),
         ).alias("rows"),
     )
-    placed = documents.repartition("snapshot_date", "table_id")
+    # files take the time, not their few bytes, so tasks are not put together by size
+    tasks = int(snapshots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = documents.repartition(tasks, "snapshot_date", "table_id")
     placed.write.mode(mode).partitionBy("snapshot_date", "table_id").json(root, ignoreNullFields=False)
 
 

@@ -144,3 +144,34 @@ def test_entity_changes_take_few_files(spark, tmp_path):
     assert len(list(tmp_path.glob("csv/date=*/kind=*/*.csv"))) == 3
     back = sources.read_entity_changes_csv(spark, f"{tmp_path}/csv", "row")
     assert back.count() == changes.count() and back.exceptAll(changes.select(back.columns)).isEmpty()
+
+
+def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
+    """A folder per table version makes many folders; listing them takes a bounded number of tasks."""
+    from echolag import session, sources
+
+    count = session.LISTING_TASKS + 100
+    for k in range(count):
+        folder = tmp_path / f"snapshot_date=2024-01-01/table_id=t{k}"
+        folder.mkdir(parents=True)
+        (folder / "part.json").write_text('{"attributes": [{"id": "a"}], "rows": [{"id": "1", "fields": [1]}]}')
+    spark.sparkContext.setJobGroup("listing", "listing")
+    found = sources.read_snapshots(spark, str(tmp_path))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(job) for job in tracker.getJobIdsForGroup("listing")]
+    tasks = [tracker.getStageInfo(stage).numTasks for job in jobs for stage in job.stageIds]
+    assert found.select("table_id").distinct().count() == count
+    assert tasks and max(tasks) <= session.LISTING_TASKS
+
+
+def test_documents_are_written_by_many_tasks(spark, tmp_path):
+    """Writing takes its time by file, so small documents are not put together in few tasks by their bytes."""
+    from echolag import sources
+
+    history = [(f"2024-01-0{1 + k % 3}", f"t{k}", ["a"], [("1", ["1"])]) for k in range(64)]
+    sources.write_snapshots(_snapshots(spark, history), str(tmp_path))
+    files = list(tmp_path.glob("snapshot_date=*/table_id=*/*.json"))
+    assert len(files) == 64
+    # the file's name begins with its task
+    assert len({file.name.split("-")[1] for file in files}) > 4
