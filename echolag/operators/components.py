@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 
 from ..functions import join_heavy
 from ..session import materialize
+from . import cells
+
+
+def contract(edges: DataFrame) -> DataFrame:
+    """Few edges that connect what ``edges(src, dst)`` do: each task makes stars of its own ones, a bounded number at a time.
+
+    For edges of which there are many more than vertices; they are read once and neither moved nor written.
+    """
+    known = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
+    return materialize(known.mapInArrow(cells.contract, known.schema), "contracted")
 
 
 def _least_neighbour(links: DataFrame) -> DataFrame:
