@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from echolag import session
-from echolag.operators import classes, components, merge, mining
+from echolag.operators import classes, components, domains, merge, mining
 
 
 def _changes(spark, n_points, users, most, seed=5, copies=3):
@@ -122,6 +122,18 @@ def test_pages_move_along_with_changes(spark, paged):
         merge.list_external(kept, hourly.where("NOT change_id LIKE '%_0x0_%'"))
 
 
+def test_domains_move_along_with_changes(spark, paged):
+    found, rules, *_ = paged
+    tables = spark.createDataFrame([(f"tableid{k:02d}", f"d{k // 2}") for k in range(4)], "table_id STRING, domain STRING")
+    plain = domains.same_domain_rules(rules, tables)
+    # the change that is in no rule has no domain
+    assert _rows(domains.same_domain_rules(found, tables), plain.columns) == _rows(plain, plain.columns)
+    tables = tables.union(spark.createDataFrame([("tableid09", "d0")], tables.schema))
+    kept = domains.same_domain_rules(found, tables)
+    assert _rows(kept, plain.columns) == _rows(plain, plain.columns) and 0 < kept.count() < rules.count()
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
 def test_contracted_edges_connect_the_same(spark, monkeypatch):
     draw = random.Random(4)
     edges = [(f"v{draw.randrange(90)}", f"v{draw.randrange(90)}") for _ in range(70)] + [("loop", "loop"), (None, "v1"), ("v2", None)]
